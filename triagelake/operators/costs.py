@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelake.session import local_table
+
 # Fixed values: (provider, model, USD per 1000 input tokens, USD per 1000 output tokens).
 PRICES = [
     ("openai", "gpt-4o", 0.0025, 0.010),
@@ -29,7 +31,7 @@ _MEASURES = ["input_tokens", "output_tokens", "requests"]
 
 
 def price_table(spark: SparkSession, prices: list = PRICES) -> DataFrame:
-    return spark.createDataFrame(prices, "provider string, model string, price_in double, price_out double")
+    return local_table(spark, prices, "provider string, model string, price_in double, price_out double")
 
 
 def attach_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:

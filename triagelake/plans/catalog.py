@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["catalog_metrics"]
+MODULES = ["catalog_metrics", "catalog_reports"]
 
 
 def load() -> None:
