@@ -101,6 +101,12 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _present(text: Column, kind: PersonalKind) -> Column:
+    """Whether the kind's pattern occurs, asking for its needed literal first."""
+    hit = F.rlike(text, F.lit(kind.pattern))
+    return F.contains(text, F.lit(kind.needs)) & hit if kind.needs else hit
+
+
 def replace_checked(text: Column, kind: PersonalKind) -> Column:
     """Replace every match that passes the kind's check, leaving others as they are."""
     if kind.check is None:
@@ -114,6 +120,15 @@ def replace_checked(text: Column, kind: PersonalKind) -> Column:
     return F.when(F.rlike(text, F.lit(kind.pattern)), F.array_join(woven, "")).otherwise(text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` reads it.
+
+    A stage that reads its input several times must not have that input substituted into
+    it: filters pushed below a projection would copy the whole chain again at every stage.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def redact_secrets(text: Column, extended: bool = False) -> Column:
     """Each secret pattern in turn, whole match replaced by ``<TYPE_REDACTED>``."""
     patterns = SECRET_PATTERNS + (EXTENDED_SECRET_PATTERNS if extended else [])
@@ -123,31 +138,23 @@ def redact_secrets(text: Column, extended: bool = False) -> Column:
     return F.when(F.rlike(text, F.lit(SECRET_HINT)), out).otherwise(text)
 
 
-def add_redacted(df: DataFrame, source: str, out: str, extended: bool = False) -> DataFrame:
-    """Add ``out``: ``source`` without secrets and personal data.
+def _personal_stage(kind: PersonalKind) -> Callable[[Column], Column]:
+    return lambda text: replace_checked(text, kind)
 
-    Each stage is its own projection: expressions that read their input more than once are
-    not multiplied into each other.
-    """
-    df = df.withColumn(out, redact_secrets(F.col(source), extended))
-    for kind in PERSONAL_KINDS:
-        df = df.withColumn(out, replace_checked(F.col(out), kind))
-    return df
 
-
-def redact_value(text: Column) -> Column:
-    """Secrets and personal data removed, as one expression (for array elements)."""
-
-    def stage(kind: PersonalKind) -> Callable[[Column], Column]:
-        return lambda v: replace_checked(v, kind)
-
-    out = redact_secrets(text)
+def redact_text(text: Column, extended: bool = False) -> Column:
+    """Text without secrets and personal data."""
+    out = bind(text, lambda v: redact_secrets(v, extended))
     for kind in PERSONAL_KINDS:
-        # A one-element transform binds the input once, however often the stage reads it.
-        out = F.transform(F.array(out), stage(kind))[0]
+        out = bind(out, _personal_stage(kind))
     return out
 
 
+def add_redacted(df: DataFrame, source: str, out: str, extended: bool = False) -> DataFrame:
+    """Add ``out``: ``source`` without secrets and personal data."""
+    return df.withColumn(out, redact_text(F.col(source), extended))
+
+
 def redact_path(path: Column) -> Column:
     """User names in home-directory paths."""
     # The three home-directory forms.
@@ -169,7 +176,7 @@ def is_clean(text: Column) -> Column:
         if kind.score <= HIGH_CONFIDENCE:
             continue
         if kind.check is None:
-            hit = F.rlike(text, F.lit(kind.pattern))
+            hit = _present(text, kind)
         else:
             hit = F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), kind.check)
         dirty = dirty | hit
@@ -210,36 +217,55 @@ def _personal_entry(kind: PersonalKind, field: str) -> Callable[[Column], Column
     return lambda _: _entry(kind.name, field, F.lit(None), kind.score)
 
 
+def _logged_secret(name: str, pattern: str, field: str) -> Callable[[Column], Column]:
+    regex = jvm(pattern)
+
+    def step(state: Column) -> Column:
+        entries = F.transform(_starts(state["text"], regex), _secret_entry(name, field))
+        changed = F.struct(
+            F.regexp_replace(state["text"], regex, f"<{name}_REDACTED>").alias("text"),
+            F.concat(state["log"], entries).alias("log"),
+        )
+        return F.when(F.rlike(state["text"], F.lit(regex)), changed).otherwise(state)
+
+    return step
+
+
+def _logged_personal(kind: PersonalKind, field: str) -> Callable[[Column], Column]:
+    def step(state: Column) -> Column:
+        found = F.regexp_extract_all(state["text"], F.lit(kind.pattern), F.lit(0))
+        if kind.check is not None:
+            found = F.filter(found, kind.check)
+        changed = F.struct(
+            replace_checked(state["text"], kind).alias("text"),
+            F.concat(state["log"], F.transform(found, _personal_entry(kind, field))).alias("log"),
+        )
+        return F.when(_present(state["text"], kind), changed).otherwise(state)
+
+    return step
+
+
 def add_redaction_log(df: DataFrame, source: str, field: str, out: str, log: str) -> DataFrame:
     """Add the redacted text and one log entry per replacement.
 
     Secrets carry the position of the match in the text as it was when their pattern ran;
     personal data carries the score of its kind.
     """
-    df = df.withColumn(out, F.col(source)).withColumn(log, F.array().cast(_LOG_TYPE))
-    for name, pattern in SECRET_PATTERNS:
-        regex = jvm(pattern)
-        entries = F.transform(_starts(F.col(out), regex), _secret_entry(name, field))
-        hit = F.rlike(F.col(out), F.lit(regex))
-        df = df.withColumns(
-            {
-                log: F.when(hit, F.concat(F.col(log), entries)).otherwise(F.col(log)),
-                out: F.regexp_replace(F.col(out), regex, f"<{name}_REDACTED>"),
-            }
-        )
+
+    def secrets(start: Column) -> Column:
+        chain = start
+        for name, pattern in SECRET_PATTERNS:
+            chain = bind(chain, _logged_secret(name, pattern, field))
+        return F.when(F.rlike(start["text"], F.lit(SECRET_HINT)), chain).otherwise(start)
+
+    state = F.struct(F.col(source).alias("text"), F.array().cast(_LOG_TYPE).alias("log"))
+    state = bind(state, secrets)
     for kind in PERSONAL_KINDS:
-        found = F.regexp_extract_all(F.col(out), F.lit(kind.pattern), F.lit(0))
-        if kind.check is not None:
-            found = F.filter(found, kind.check)
-        entries = F.transform(found, _personal_entry(kind, field))
-        hit = F.rlike(F.col(out), F.lit(kind.pattern))
-        df = df.withColumns(
-            {
-                log: F.when(hit, F.concat(F.col(log), entries)).otherwise(F.col(log)),
-                out: replace_checked(F.col(out), kind),
-            }
-        )
-    return df
+        state = bind(state, _logged_personal(kind, field))
+    kept = [F.col(c) for c in df.columns if c not in (out, log)]
+    return df.select(*kept, state.alias("__state")).select(
+        *kept, F.col("__state.text").alias(out), F.col("__state.log").alias(log)
+    )
 
 
 def redaction_counts(logged: DataFrame, log: str, by: list[str] | None = None) -> DataFrame:
@@ -253,17 +279,15 @@ def redaction_counts(logged: DataFrame, log: str, by: list[str] | None = None) -
 
 def sanitize_findings(findings: DataFrame) -> DataFrame:
     """Clean the snippet, the context code, each import and both paths; absent fields stay absent."""
-    df = findings
-    if "code_snippet" in df.columns:
-        df = add_redacted(df, "code_snippet", "code_snippet")
-    if "context" in df.columns:
-        df = df.withColumn("__ctx", F.col("context.context_code"))
-        df = add_redacted(df, "__ctx", "__ctx")
-        cleaned = (
+    cleaned = {"file_path": redact_path(F.col("file_path"))}
+    if "code_snippet" in findings.columns:
+        cleaned["code_snippet"] = redact_text(F.col("code_snippet"))
+    if "context" in findings.columns:
+        context = (
             F.col("context")
-            .withField("context_code", F.col("__ctx"))
-            .withField("imports", F.transform("context.imports", redact_value))
+            .withField("context_code", redact_text(F.col("context.context_code")))
+            .withField("imports", F.transform("context.imports", lambda line: redact_text(line)))
             .withField("file", redact_path(F.col("context.file")))
         )
-        df = df.withColumn("context", F.when(F.col("context").isNotNull(), cleaned)).drop("__ctx")
-    return df.withColumn("file_path", redact_path(F.col("file_path")))
+        cleaned["context"] = F.when(F.col("context").isNotNull(), context)
+    return findings.withColumns(cleaned)

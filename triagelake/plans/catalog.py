@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["catalog_metrics", "catalog_reports"]
+MODULES = ["catalog_metrics", "catalog_reports", "catalog_source", "catalog_findings"]
 
 
 def load() -> None:
