@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["catalog_metrics", "catalog_reports", "catalog_source", "catalog_findings"]
+MODULES = [
+    "catalog_metrics",
+    "catalog_reports",
+    "catalog_source",
+    "catalog_findings",
+    "catalog_review",
+    "catalog_streams",
+]
 
 
 def load() -> None:
