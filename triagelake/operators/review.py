@@ -117,12 +117,16 @@ def review(
     now: Column | None = None,
     with_examples: bool = True,
     parallel: int | None = None,
+    responses_path: str | None = None,
 ) -> DataFrame:
     """Verdict per finding: cached response if alive, else the completer's, validated.
 
     Equal requests are asked once: prompts are made distinct by key, those in the cache are
     taken out, and only the rest reaches the completer. Filters and caps on findings belong
-    before this call, since nothing is pushed through it.
+    before this call, since nothing is pushed through it. With ``responses_path`` (a folder
+    all executors share) the new responses are stored there before they are used: a lost
+    executor then never causes a paid call to be made again, and the folder feeds
+    :func:`cache_entries` and :func:`call_records`.
     """
     asked = requests_of(findings, model, with_examples)
     distinct = asked.select("key", "prompt").dropDuplicates(["key"])
@@ -130,7 +134,11 @@ def review(
         "key", F.col("payload").alias("content")
     )
     misses = distinct.join(live.select("key"), "key", "left_anti")
-    fresh = complete_prompts(misses, complete, parallel=parallel).select("key", "content")
+    fresh = complete_prompts(misses, complete, parallel=parallel)
+    if responses_path is not None:
+        fresh.write.mode("overwrite").parquet(responses_path)
+        fresh = findings.sparkSession.read.schema("key string, prompt string, content string").parquet(responses_path)
+    fresh = fresh.select("key", "content")
     hits = live.join(distinct.select("key"), "key", "left_semi")
     verdicts = parse_verdicts(hits.unionByName(fresh)).drop("content")
     return asked.select("id", "key").join(verdicts, "key", "left")

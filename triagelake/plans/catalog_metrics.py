@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import compliance, costs, feedback, findings, metrics, rules
 from triagelake.plans.registry import query
+from triagelake.session import work_dir
+from triagelake.sinks import exports
+from triagelake.sources import tables
 
 _JUDGED = (
     "judged AS (SELECT fb.id, fb.finding_id, fb.feedback_type, fb.created_at, f.scan_job_id, f.language, f.tool, "
@@ -186,9 +189,7 @@ def _(t):
     "feedback findings",
 )
 def _(t):
-    from triagelake.sinks.exports import metrics_export
-
-    return metrics_export(metrics.scores_by_period(t.feedback, t.findings, "daily", 6))
+    return exports.metrics_export(metrics.scores_by_period(t.feedback, t.findings, "daily", 6))
 
 
 @query(
@@ -839,3 +840,57 @@ def _(t):
         "AS delta",
     )
     return metrics.active_gauge(marks, keys=["lane"]).select("order_id", "lane", "active")
+
+
+# ------------------------------------------------------------ own tables
+
+
+@query(
+    "s19_typed_tables",
+    "SELECT id, scan_job_id, tool, line_number, CAST(NULL AS VARCHAR) AS cve, strftime(created_at, '%Y-%m-%d') AS day FROM findings",
+    "findings",
+)
+def _(t):
+    rows = tables.conform(t.findings, "findings")
+    return rows.select("id", "scan_job_id", "tool", "line_number", "cve", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "s20_rule_lists",
+    "SELECT CAST(ord AS VARCHAR) AS batch_id, 0 AS ord, name, language, tool, rule_id, CASE WHEN ord % 3 = 0 THEN TRUE ELSE enabled END AS enabled, "
+    "severity_override FROM incoming_rules",
+    "incoming_rules",
+)
+def _(t):
+    fields = [c for c in rules.EXPORT_COLUMNS if c != "enabled"]
+    rule = F.struct(*fields, F.when(F.col("ord") % 3 != 0, F.col("enabled")).alias("enabled"))
+    batches = t.incoming_rules.select(F.col("ord").cast("string").alias("batch_id"), F.to_json(F.array(rule)).alias("content"))
+    out = tables.parse_rule_lists(batches)
+    return out.select("batch_id", "ord", "name", "language", "tool", "rule_id", "enabled", "severity_override")
+
+
+@query(
+    "k10_audit_events",
+    "SELECT 'scan_started' AS event_type, repo AS repo_full_name, number AS pr_number, '{\"sha\":\"' || sha || '\",\"event\":\"' || event || '\"}' AS details, "
+    "strftime(received_at, '%Y-%m-%d') AS day FROM deliveries",
+    "deliveries",
+)
+def _(t):
+    rows = t.deliveries.withColumnRenamed("repo", "repo_full_name").withColumnRenamed("number", "pr_number")
+    out = tables.audit_events(rows, "scan_started", "received_at", ["sha", "event"])
+    return out.select(
+        "event_type", "repo_full_name", "pr_number", "details", F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+    )
+
+
+@query(
+    "k12_results_by_language",
+    "SELECT id, rule_id, line_number, language FROM findings",
+    "findings",
+)
+def _(t):
+    """Scan results written as JSON per language and read back."""
+    path = work_dir(t.spark, "results")
+    exports.write_scan_results(t.findings, path)
+    back = t.spark.read.schema("id long, rule_id string, line_number int, language string").json(path)
+    return back.select("id", "rule_id", "line_number", "language")

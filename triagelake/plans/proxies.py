@@ -254,6 +254,9 @@ class Tables:
     """The test tables of one folder and the views above, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # All times of the data model are naive UTC.
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 

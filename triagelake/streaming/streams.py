@@ -15,13 +15,11 @@ from triagelake.session import work_dir
 
 
 def read_table_stream(
-    spark: SparkSession, folder: str, file_name: str, schema: T.StructType, files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, file_name: str, schema: T.StructType, max_bytes: int = 1 << 30
 ) -> DataFrame:
-    """A Parquet table of a folder as a stream."""
+    """A Parquet table of a folder as a stream, at most ``max_bytes`` of input per micro-batch."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.option("maxBytesPerTrigger", max_bytes).parquet(folder)
 
 
 def read_json_stream(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
@@ -88,26 +86,50 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["us", "request_id"])
 
 
-def token_bucket_stream(requests: DataFrame, rate: float, per: float) -> DataFrame:
-    """Token-bucket admission on a stream of ``(request_id, key, ts)``."""
+def _forget_after(state: GroupState, us: int) -> None:
+    """Let the state go once event time has passed ``us``: it could not change an answer any more."""
+    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def _keyed(requests: DataFrame, late: str) -> DataFrame:
+    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return rows.select("request_id", "key", "ts", F.unix_micros("ts").alias("us"))
+
+
+def token_bucket_stream(requests: DataFrame, rate: float, per: float, late: str = "10 minutes") -> DataFrame:
+    """Token-bucket admission on a stream of ``(request_id, key, ts)``.
+
+    A bucket is full again ``per`` seconds after its last request, so its state is dropped
+    then and only keys seen within that time are kept.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         bucket = Bucket(rate, per, *state.get) if state.exists else Bucket(rate, per)
         rows = _in_order(frames)
         flags = [bucket.admit(us / 1e6) for us in rows["us"]]
         state.update((float(bucket.allowance), float(bucket.last)))
+        _forget_after(state, int((bucket.last + per) * 1e6))
         yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "admitted": flags})
 
-    return _timed(requests).groupBy("key").applyInPandasWithState(
-        step, _ADMITTED, _BUCKET_STATE, "append", GroupStateTimeout.NoTimeout
+    return _keyed(requests, late).groupBy("key").applyInPandasWithState(
+        step, _ADMITTED, _BUCKET_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def ttl_cache_stream(requests: DataFrame, ttl_s: int) -> DataFrame:
-    """First request of a key is a miss and writes; requests within the time to live are hits."""
+def ttl_cache_stream(requests: DataFrame, ttl_s: int, late: str = "10 minutes") -> DataFrame:
+    """First request of a key is a miss and writes; requests within the time to live are hits.
+
+    The state of a key is dropped when its entry has expired.
+    """
     ttl = ttl_s * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         written = state.get[0] if state.exists else None
         rows, hits = _in_order(frames), []
         for us in rows["us"]:
@@ -116,17 +138,14 @@ def ttl_cache_stream(requests: DataFrame, ttl_s: int) -> DataFrame:
                 written = int(us)
             hits.append(hit)
         state.update((written,))
+        _forget_after(state, written + ttl)
         yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "hit": hits})
 
-    return _timed(requests).groupBy("key").applyInPandasWithState(
-        step, _SEEN, _SEEN_STATE, "append", GroupStateTimeout.NoTimeout
+    return _keyed(requests, late).groupBy("key").applyInPandasWithState(
+        step, _SEEN, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def _timed(requests: DataFrame) -> DataFrame:
-    return requests.select("request_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-
-
 def run_available(
     stream: DataFrame, purpose: str, mode: str = "append", keys: list[str] | None = None
 ) -> DataFrame:
