@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,8 @@ PERSONAL_KINDS = [
         0.4,
     ),
 ]
+# What every card, account, social-security, network or phone number contains.
+DIGITS_HINT = r"[0-9][ .-]?[0-9]"
 HIGH_CONFIDENCE = 0.7
 
 
@@ -96,9 +99,10 @@ def jvm(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iU)", 1) if pattern.startswith("(?i)") else pattern
 
 
-def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
+def _pieces(text: Column, pattern: Column | str) -> tuple[Column, Column]:
     """Text between the matches, and the matches; one more piece than matches."""
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    return F.split(text, regex, F.lit(-1)), F.regexp_extract_all(text, regex, F.lit(0))
 
 
 def _present(text: Column, kind: PersonalKind) -> Column:
@@ -138,16 +142,56 @@ def redact_secrets(text: Column, extended: bool = False) -> Column:
     return F.when(F.rlike(text, F.lit(SECRET_HINT)), out).otherwise(text)
 
 
-def _personal_stage(kind: PersonalKind) -> Callable[[Column], Column]:
+def _plain(text: Column, kinds: list[PersonalKind]) -> Column:
+    for kind in kinds:
+        text = F.regexp_replace(text, kind.pattern, kind.placeholder)
+    return text
+
+
+def _checked_stage(kind: PersonalKind) -> Callable[[Column], Column]:
     return lambda text: replace_checked(text, kind)
 
 
+def _grouped(kinds: list[PersonalKind]) -> list[list[PersonalKind]]:
+    """Kinds in order, neighbours without a check together."""
+    groups: list[list[PersonalKind]] = []
+    for kind in kinds:
+        if groups and kind.check is None and groups[-1][0].check is None:
+            groups[-1].append(kind)
+        else:
+            groups.append([kind])
+    return groups
+
+
+# Kinds found by a literal come first in the list, those made of digits after them.
+_BY_LITERAL = [k for k in PERSONAL_KINDS if k.needs is not None]
+_BY_DIGITS = [k for k in PERSONAL_KINDS if k.needs is None]
+
+
+def _has_literal(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k.needs)) for k in _BY_LITERAL])
+
+
+def _has_digits(text: Column) -> Column:
+    return F.rlike(text, F.lit(DIGITS_HINT))
+
+
 def redact_text(text: Column, extended: bool = False) -> Column:
-    """Text without secrets and personal data."""
+    """Text without secrets and personal data.
+
+    Three cheap scans (for what secrets, addresses and numbers must contain) decide which
+    of the pattern groups run on a text at all.
+    """
+
+    def digits(v: Column) -> Column:
+        out = v
+        for kinds in _grouped(_BY_DIGITS):
+            out = bind(out, _checked_stage(kinds[0])) if kinds[0].check else _plain(out, kinds)
+        return F.when(_has_digits(v), out).otherwise(v)
+
     out = bind(text, lambda v: redact_secrets(v, extended))
-    for kind in PERSONAL_KINDS:
-        out = bind(out, _personal_stage(kind))
-    return out
+    out = bind(out, lambda v: F.when(_has_literal(v), _plain(v, _BY_LITERAL)).otherwise(v))
+    return bind(out, digits)
 
 
 def add_redacted(df: DataFrame, source: str, out: str, extended: bool = False) -> DataFrame:
@@ -169,21 +213,20 @@ def redact_path(path: Column) -> Column:
 
 def is_clean(text: Column) -> Column:
     """True iff no secret pattern and no high-confidence personal data is left."""
-    dirty = F.lit(False)
-    for _, pattern in SECRET_PATTERNS:
-        dirty = dirty | F.rlike(text, F.lit(jvm(pattern)))
+    secret = reduce(lambda a, b: a | b, [F.rlike(text, F.lit(jvm(p))) for _, p in SECRET_PATTERNS])
+    dirty = F.rlike(text, F.lit(SECRET_HINT)) & secret
     for kind in PERSONAL_KINDS:
         if kind.score <= HIGH_CONFIDENCE:
             continue
         if kind.check is None:
-            hit = _present(text, kind)
+            dirty = dirty | _present(text, kind)
         else:
-            hit = F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), kind.check)
-        dirty = dirty | hit
+            found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+            dirty = dirty | (_has_digits(text) & F.exists(found, kind.check))
     return ~F.coalesce(dirty, F.lit(False))
 
 
-def _starts(text: Column, pattern: str) -> Column:
+def _starts(text: Column, pattern: Column) -> Column:
     """0-based start of every match: what stands before it, pieces and earlier matches."""
     between, found = _pieces(text, pattern)
     grown = F.aggregate(
@@ -200,47 +243,56 @@ def _starts(text: Column, pattern: str) -> Column:
 _LOG_TYPE = "array<struct<type:string,field:string,position:int,score:double>>"
 
 
-def _entry(name: str, field: str, position: Column, score: float | None) -> Column:
+def _entry(name: Column, field: str, position: Column, score: Column) -> Column:
     return F.struct(
-        F.lit(name).alias("type"),
+        name.alias("type"),
         F.lit(field).alias("field"),
         position.cast("int").alias("position"),
-        F.lit(score).cast("double").alias("score"),
+        score.cast("double").alias("score"),
     )
 
 
-def _secret_entry(name: str, field: str) -> Callable[[Column], Column]:
-    return lambda position: _entry(name, field, position, None)
-
-
-def _personal_entry(kind: PersonalKind, field: str) -> Callable[[Column], Column]:
-    return lambda _: _entry(kind.name, field, F.lit(None), kind.score)
-
+def _fold(state: Column, steps: list[tuple[str, str, str, float | None]], field: str) -> Column:
+    """Apply ``(type, pattern, placeholder, score)`` steps in order to ``struct<text, log>``.
 
-def _logged_secret(name: str, pattern: str, field: str) -> Callable[[Column], Column]:
-    regex = jvm(pattern)
+    A fold over an array of patterns keeps the expression flat; the patterns are compiled
+    per row, so it is meant for the few rows that hold something to redact.
+    """
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit(pattern).alias("pattern"),
+                F.lit(placeholder).alias("placeholder"),
+                F.lit(score).cast("double").alias("score"),
+            )
+            for name, pattern, placeholder, score in steps
+        ]
+    )
 
-    def step(state: Column) -> Column:
-        entries = F.transform(_starts(state["text"], regex), _secret_entry(name, field))
-        changed = F.struct(
-            F.regexp_replace(state["text"], regex, f"<{name}_REDACTED>").alias("text"),
-            F.concat(state["log"], entries).alias("log"),
+    def step(acc: Column, rule: Column) -> Column:
+        secret = rule["score"].isNull()
+        entries = F.transform(
+            _starts(acc["text"], rule["pattern"]),
+            lambda start: _entry(rule["name"], field, F.when(secret, start), rule["score"]),
+        )
+        return F.struct(
+            F.regexp_replace(acc["text"], rule["pattern"], rule["placeholder"]).alias("text"),
+            F.concat(acc["log"], entries).alias("log"),
         )
-        return F.when(F.rlike(state["text"], F.lit(regex)), changed).otherwise(state)
 
-    return step
+    return F.aggregate(rules, state, step)
 
 
-def _logged_personal(kind: PersonalKind, field: str) -> Callable[[Column], Column]:
+def _logged_check(kind: PersonalKind, field: str) -> Callable[[Column], Column]:
     def step(state: Column) -> Column:
-        found = F.regexp_extract_all(state["text"], F.lit(kind.pattern), F.lit(0))
-        if kind.check is not None:
-            found = F.filter(found, kind.check)
+        found = F.filter(F.regexp_extract_all(state["text"], F.lit(kind.pattern), F.lit(0)), kind.check)
+        entry = _entry(F.lit(kind.name), field, F.lit(None), F.lit(kind.score))
         changed = F.struct(
             replace_checked(state["text"], kind).alias("text"),
-            F.concat(state["log"], F.transform(found, _personal_entry(kind, field))).alias("log"),
+            F.concat(state["log"], F.transform(found, lambda _: entry)).alias("log"),
         )
-        return F.when(_present(state["text"], kind), changed).otherwise(state)
+        return F.when(F.rlike(state["text"], F.lit(kind.pattern)), changed).otherwise(state)
 
     return step
 
@@ -251,17 +303,24 @@ def add_redaction_log(df: DataFrame, source: str, field: str, out: str, log: str
     Secrets carry the position of the match in the text as it was when their pattern ran;
     personal data carries the score of its kind.
     """
+    secrets = [(name, jvm(pattern), f"<{name}_REDACTED>", None) for name, pattern in SECRET_PATTERNS]
 
-    def secrets(start: Column) -> Column:
-        chain = start
-        for name, pattern in SECRET_PATTERNS:
-            chain = bind(chain, _logged_secret(name, pattern, field))
-        return F.when(F.rlike(start["text"], F.lit(SECRET_HINT)), chain).otherwise(start)
+    def fold_kinds(kinds: list[PersonalKind]) -> Callable[[Column], Column]:
+        steps = [(k.name, k.pattern, k.placeholder, k.score) for k in kinds]
+        return lambda s: _fold(s, steps, field)
+
+    def digits(start: Column) -> Column:
+        state = start
+        for kinds in _grouped(_BY_DIGITS):
+            state = bind(state, _logged_check(kinds[0], field) if kinds[0].check else fold_kinds(kinds))
+        return F.when(_has_digits(start["text"]), state).otherwise(start)
 
     state = F.struct(F.col(source).alias("text"), F.array().cast(_LOG_TYPE).alias("log"))
-    state = bind(state, secrets)
-    for kind in PERSONAL_KINDS:
-        state = bind(state, _logged_personal(kind, field))
+    state = bind(
+        state, lambda s: F.when(F.rlike(s["text"], F.lit(SECRET_HINT)), _fold(s, secrets, field)).otherwise(s)
+    )
+    state = bind(state, lambda s: F.when(_has_literal(s["text"]), fold_kinds(_BY_LITERAL)(s)).otherwise(s))
+    state = bind(state, digits)
     kept = [F.col(c) for c in df.columns if c not in (out, log)]
     return df.select(*kept, state.alias("__state")).select(
         *kept, F.col("__state.text").alias(out), F.col("__state.log").alias(log)
@@ -269,9 +328,14 @@ def add_redaction_log(df: DataFrame, source: str, field: str, out: str, log: str
 
 
 def redaction_counts(logged: DataFrame, log: str, by: list[str] | None = None) -> DataFrame:
-    """Replacements per type."""
+    """Replacements per type.
+
+    The outer explode keeps Spark from testing the log's size below the projection that
+    makes it, which would run the patterns once more per row.
+    """
     return (
-        logged.select(*(by or []), F.explode(log).alias("entry"))
+        logged.select(*(by or []), F.explode_outer(log).alias("entry"))
+        .where("entry IS NOT NULL")
         .groupBy(*(by or []), F.col("entry.type").alias("type"))
         .agg(F.count("*").alias("replacements"))
     )

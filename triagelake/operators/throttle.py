@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.operators.ordered import previous_value, running_sum
-
 
 class Bucket:
     """Allowance of one key: starts full, refills with time, one token per admission."""
@@ -30,19 +28,24 @@ class Bucket:
         return True
 
 
-def sessions(
-    requests: DataFrame, quiet_seconds: float, key: str = "key", ts: str = "ts", order_id: str = "request_id",
-    chunk_seconds: int = 3600,
+def runs_of(
+    requests: DataFrame, quiet_seconds: float, key: str = "key", ts: str = "ts"
 ) -> DataFrame:
-    """Number the runs of a key that are separated by at least ``quiet_seconds`` (``run``)."""
-    chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    timed = requests.withColumn("us", us)
-    before = previous_value(timed, [key], [ts, order_id], chunk, "us", "before")
-    starts = F.when(
-        F.col("before").isNull() | (F.col("us") - F.col("before") >= int(quiet_seconds * 1_000_000)), 1
-    ).otherwise(0)
-    return running_sum(before, [key], [ts, order_id], chunk, starts.cast("long"), "run").drop("before")
+    """Number the runs of a key that are separated by at least ``quiet_seconds`` (``run``).
+
+    Time is cut into slices of ``quiet_seconds``. A pause that long always crosses into
+    another slice, so only the first row of a slice can start a run, and the earliest and
+    latest time of each slice decide it: the window runs over that summary, not the rows.
+    """
+    quiet = int(quiet_seconds * 1_000_000)
+    timed = requests.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = timed.withColumn("slice", F.floor(F.col("us") / quiet))
+    order = Window.partitionBy(key).orderBy("slice")
+    summary = timed.groupBy(key, "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    gap = F.col("first") - F.lag("last").over(order)
+    summary = summary.withColumn("starts", F.when(gap.isNull() | (gap >= quiet), 1).otherwise(0))
+    summary = summary.select(key, "slice", F.sum("starts").over(order).alias("run"))
+    return timed.join(summary, [key, "slice"]).drop("slice")
 
 
 def _admit_sorted(rate: float, per: float):
@@ -59,9 +62,7 @@ def _admit_sorted(rate: float, per: float):
     return run
 
 
-def token_bucket(
-    requests: DataFrame, rate: float, per: float, chunk_seconds: int = 3600
-) -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float, per: float) -> DataFrame:
     """``(request_id, key, admitted)`` for requests ``(request_id, key, ts)``.
 
     After a pause of ``per`` seconds a bucket is full whatever came before, so each key is
@@ -70,9 +71,9 @@ def token_bucket(
     held in memory. (Within a run without any such pause admission is sequential by its
     definition.)
     """
-    runs = sessions(requests, per, chunk_seconds=chunk_seconds)
     ordered = (
-        runs.select("key", "run", "us", "request_id")
+        runs_of(requests, per)
+        .select("key", "run", "us", "request_id")
         .repartition("key", "run")
         .sortWithinPartitions("key", "run", "us", "request_id")
     )

@@ -376,7 +376,7 @@ def _url():
     "findings",
 )
 def _(t):
-    out = doc.notifications(t.findings, _url(), "slack")
+    out = doc.notifications(t.spread(t.findings, "id"), _url(), "slack")
     at = lambda path: F.get_json_object("payload", path)
     return out.select(
         "id",
@@ -396,7 +396,7 @@ def _(t):
     "findings",
 )
 def _(t):
-    out = doc.notifications(t.findings, _url(), "discord", "LOW")
+    out = doc.notifications(t.spread(t.findings, "id"), _url(), "discord", "LOW")
     at = lambda path: F.get_json_object("payload", path)
     return out.select(
         "id",
@@ -420,7 +420,7 @@ _COMMENT = (
 
 def _reviewed(t):
     none = F.lit(None).cast("string")
-    return t.findings.select(
+    return t.spread(t.findings, "id").select(
         "*",
         F.col("llm_decision").alias("v_decision"),
         F.col("llm_confidence").alias("v_confidence"),

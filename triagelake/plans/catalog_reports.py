@@ -18,7 +18,7 @@ def _entries(make) -> Column:
 
 
 def _reports(t, content: Column, tool: str = "") -> DataFrame:
-    return t.findings.select(
+    return t.spread(t.findings, "id").select(
         F.col("id").cast("string").alias("report_id"),
         F.lit(tool).alias("tool"),
         content.alias("content"),
@@ -266,7 +266,7 @@ def _cppcheck() -> Column:
     "findings",
 )
 def _(t):
-    out = rp.parse_cppcheck(t.spread(_reports(t, _cppcheck()), "report_id"))
+    out = rp.parse_cppcheck(_reports(t, _cppcheck()))
     return out.select("report_id", "ord", "rule_id", "severity", "description", "file_path", "line_number")
 
 
@@ -487,7 +487,7 @@ def _(t):
     content = F.lit("")
     for tool, make in _DISPATCH.items():
         content = F.when(F.col("tool") == tool, make()).otherwise(content)
-    raw = t.findings.select(
+    raw = t.spread(t.findings, "id").select(
         F.col("id").cast("string").alias("report_id"),
         F.when(F.col("tool") == "cargo-clippy", "fortran-lint").otherwise(F.col("tool")).alias("tool"),
         content.alias("content"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import prompts
 from triagelake.operators import fixes, review, throttle
 from triagelake.plans.registry import query
+from triagelake.session import local_table
 
 
 def _q(text: str) -> str:
@@ -36,7 +37,7 @@ def _(t):
 
 def _with_context(t):
     none = F.lit(None).cast("string")
-    return t.findings.withColumn(
+    return t.spread(t.findings, "id").withColumn(
         "context",
         F.when(
             F.col("id") % 2 == 0,
@@ -93,7 +94,7 @@ def _responses(t):
         )
     )
     content = F.when(F.col("id") % 23 == 0, "I cannot answer").otherwise(good)
-    return t.findings.select("id", content.alias("content"))
+    return t.spread(t.findings, "id").select("id", content.alias("content"))
 
 
 _VALID = (
@@ -148,8 +149,8 @@ _DECIDED = (
     "findings",
 )
 def review_run(t):
-    snapshot = t.spark.createDataFrame([], "key string, path string, payload string, cached_at timestamp, ttl_s long")
-    out = review.review(t.findings, snapshot, review.offline_completer)
+    snapshot = local_table(t.spark, [], "key string, path string, payload string, cached_at timestamp, ttl_s long")
+    out = review.review(t.spread(t.findings, "id"), snapshot, review.offline_completer)
     return out.select("id", "decision", "confidence", "valid")
 
 
@@ -160,7 +161,7 @@ def review_run(t):
 )
 def _(t):
     """Requests of HIGH findings are already answered in the cache."""
-    asked = review.requests_of(t.findings, "gpt-4o")
+    asked = review.requests_of(t.spread(t.findings, "id"), "gpt-4o")
     answer = F.lit('{"decision": "false_positive", "confidence": 0.9, "reasoning": "answered before"}')
     snapshot = (
         asked.where("severity = 'HIGH'")
@@ -175,7 +176,7 @@ def _(t):
         )
     )
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    return review.review(t.findings, snapshot, review.offline_completer, now=now).select("id", "decision")
+    return review.review(t.spread(t.findings, "id"), snapshot, review.offline_completer, now=now).select("id", "decision")
 
 
 @query(
@@ -262,7 +263,7 @@ _FIX_PROMPT = (
 
 @query("f12_fix_prompts", f"WITH {_MATCHED} SELECT id, {_FIX_PROMPT} AS prompt FROM mt", "findings")
 def _(t):
-    return fixes.fix_requests(t.findings, fixes.template_table(t.spark)).select("id", "prompt")
+    return fixes.fix_requests(t.spread(t.findings, "id"), fixes.template_table(t.spark)).select("id", "prompt")
 
 
 @query(
@@ -273,7 +274,7 @@ def _(t):
     "findings",
 )
 def _(t):
-    asked = fixes.fix_requests(t.findings, fixes.template_table(t.spark))
+    asked = fixes.fix_requests(t.spread(t.findings, "id"), fixes.template_table(t.spark))
     code = F.concat(F.lit("```\nsafe("), "code_snippet", F.lit(")\n```"))
     response = F.when(F.col("template").isNotNull(), code).otherwise(
         F.concat(code, F.lit("\n**Explanation**: why "), "rule_id")
@@ -359,7 +360,7 @@ def _(t):
 )
 def _(t):
     code = F.when(F.col("id") % 2 == 0, F.concat(F.lit("a = 1\n"), "code_snippet")).otherwise(F.lit("a = 1\nb = = 2\n"))
-    out = t.findings.select("id", fixes.syntax_check(code, F.col("language")).alias("c"))
+    out = t.spread(t.findings, "id").select("id", fixes.syntax_check(code, F.col("language")).alias("c"))
     return out.select("id", "c.ok", F.regexp_replace("c.message", "(line [0-9]+):.*", "$1").alias("message"))
 
 

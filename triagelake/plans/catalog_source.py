@@ -388,12 +388,8 @@ def _(t):
 )
 def _(t):
     logged = redact.add_redaction_log(_docs(t), "text", "text", "clean", "log")
-    first = F.filter("log", lambda e: e["type"] == "AUTH_TOKEN")
-    rows = logged.select("doc_id", first.alias("f")).where("size(f) > 0")
-    return rows.select("doc_id", F.col("f")[0]["position"].cast("long").alias("position"))
-
-
-_HOME = "CASE id % 3 WHEN 0 THEN '/Users/dev' WHEN 1 THEN '/home/dev' ELSE 'C:\\Users\\dev' END"
+    rows = logged.select("doc_id", F.explode_outer("log").alias("e")).where("e.type = 'AUTH_TOKEN'")
+    return rows.groupBy("doc_id").agg(F.min("e.position").cast("long").alias("position"))
 
 
 @query(
