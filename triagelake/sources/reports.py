@@ -518,7 +518,7 @@ def write_raw_reports(raw: DataFrame, path: str) -> None:
 
 def read_reports(spark: SparkSession, path: str, tool: str) -> DataFrame:
     """Report files of one tool, one row per file, ready for :func:`parse_reports`."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
     return files.select(
         F.col("_metadata.file_path").alias("report_id"),
         F.lit(tool).alias("tool"),

@@ -63,7 +63,7 @@ def parse_rule_lists(batches: DataFrame) -> DataFrame:
 
 def read_rule_list(spark: SparkSession, path: str) -> DataFrame:
     """Rule-import files, each one JSON list."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.format("text").option("wholetext", True).load(path)
     return parse_rule_lists(files.select(F.col("_metadata.file_path").alias("batch_id"), F.col("value").alias("content")))
 
 

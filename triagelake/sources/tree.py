@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.languages import outside_ignored, with_extensions
+from triagelake.functions.languages import IGNORED_DIRECTORIES, outside_ignored, with_extensions
+from triagelake.session import local_table
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
@@ -13,7 +18,9 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """All files below ``root`` as ``(path, length, content)``; paths are relative to it.
 
-    The optional size limit is pushed into the scan, so larger files are never read.
+    The optional size limit is pushed into the scan, so larger files are never read. Spark's
+    file index skips names that start with a dot or an underscore; where those matter (as
+    ``__init__.py`` does) and the tree is on a mounted file system, use :func:`walk_tree`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     if max_bytes is not None:
@@ -24,6 +31,57 @@ def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> D
     )
 
 
+def _list_below(root: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in frame["start"]:
+                for folder, _, names in os.walk(os.path.join(root, start)):
+                    paths = [os.path.join(folder, n) for n in names]
+                    paths = [p for p in paths if os.path.isfile(p)]
+                    yield pd.DataFrame(
+                        {
+                            "path": [os.path.relpath(p, root) for p in paths],
+                            "length": [os.path.getsize(p) for p in paths],
+                        }
+                    )
+
+    return run
+
+
+def _read_below(root: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, length in zip(frame["path"], frame["length"]):
+                with open(os.path.join(root, path), "rb") as f:
+                    yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
+
+    return run
+
+
+def walk_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """As :func:`read_tree`, hidden names included, for a tree mounted on every node.
+
+    Only the names directly below the root are listed on the driver; tasks walk the folders,
+    filters on path and length apply to the listing, and the files that are left are spread
+    evenly and read one at a time.
+    """
+    top = sorted(os.scandir(root), key=lambda e: e.name)
+    folders = [(e.name,) for e in top if e.is_dir()]
+    listed = local_table(
+        spark, [(e.name, e.stat().st_size) for e in top if e.is_file()], "path string, length long"
+    )
+    if folders:
+        starts = local_table(spark, folders, "start string").where(
+            ~F.col("start").isin(IGNORED_DIRECTORIES)
+        )
+        spread = starts.repartition(min(len(folders), 1000), "start")
+        listed = listed.unionByName(spread.mapInPandas(_list_below(root), "path string, length long"))
+    listed = listed.where(outside_ignored(F.col("path")))
+    if max_bytes is not None:
+        listed = listed.where(F.col("length") <= max_bytes)
+    return listed.repartition("path").mapInPandas(_read_below(root), "path string, length long, content binary")
+
+
 def list_files(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
     """``(path, hash)`` of files outside ignored folders, with the SHA-256 of their content."""
     kept = files.where(outside_ignored(F.col("path")))

@@ -29,7 +29,7 @@ def read_json_stream(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
 
 def read_report_stream(spark: SparkSession, folder: str, tool: str) -> DataFrame:
     """New report files of one tool, each picked up once, as rows for the report readers."""
-    files = spark.readStream.option("wholetext", True).text(folder)
+    files = spark.readStream.format("text").option("wholetext", True).load(folder)
     return files.select(
         F.col("_metadata.file_path").alias("report_id"),
         F.lit(tool).alias("tool"),
