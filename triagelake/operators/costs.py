@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +74,7 @@ def in_range(
     now: datetime | None = None,
 ) -> DataFrame:
     """Entries from ``start`` (default: first of the month of ``now``) to ``end`` (default ``now``)."""
-    now = now or datetime.utcnow()
+    now = now or datetime.now(UTC).replace(tzinfo=None)
     start = start or datetime(now.year, now.month, 1)
     rows = entries.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") <= F.lit(end or now)))
     return rows if provider is None else rows.where(F.col("provider") == provider)
