@@ -151,16 +151,16 @@ def test_gate(table):
 # ----------------------------------------------------------------- costs
 
 
-def test_prices_and_unknown_provider(spark, table):
+def test_prices_and_unknown_provider(table):
     calls = table(
         [("openai", "gpt-4", 1000, 1000), ("openai", "new", 1000, 0), ("acme", "x", 1, 1)],
         "provider string, model string, input_tokens long, output_tokens long",
     )
-    got = {(r.provider, r.model): r.cost_usd for r in costs.with_cost(calls, costs.price_table(spark)).collect()}
+    got = {(r.provider, r.model): r.cost_usd for r in costs.with_cost(calls).collect()}
     assert got[("openai", "gpt-4")] == pytest.approx(0.09)
     assert got[("openai", "new")] == pytest.approx(0.0025)
     assert got[("acme", "x")] is None
-    assert costs.cost_by(calls.limit(0), costs.price_table(spark), []).first().cost_usd == 0.0
+    assert costs.cost_by(calls.limit(0), []).first().cost_usd == 0.0
 
 
 def test_default_cost_range(table):

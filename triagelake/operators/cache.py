@@ -12,7 +12,7 @@ RESPONSE_TTL = 86400
 SCAN_TTL = 3600
 
 
-def lookup(requests: DataFrame, entries: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def lookup(requests: DataFrame, entries: DataFrame, chunk_seconds: int = 600) -> DataFrame:
     """Each request with the newest entry of its key written before it, if still alive.
 
     ``requests`` is ``(request_id, key, ts)``, ``entries`` ``(key, payload, cached_at, ttl_s)``.

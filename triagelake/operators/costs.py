@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.session import local_table
-
 # Fixed values: (provider, model, USD per 1000 input tokens, USD per 1000 output tokens).
 PRICES = [
     ("openai", "gpt-4o", 0.0025, 0.010),
@@ -30,32 +28,44 @@ RETENTION_DAYS = 90
 _MEASURES = ["input_tokens", "output_tokens", "requests"]
 
 
-def price_table(spark: SparkSession, prices: list = PRICES) -> DataFrame:
-    return local_table(spark, prices, "provider string, model string, price_in double, price_out double")
+Price = tuple[str, str, float, float]
 
 
-def attach_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price per call; a model not listed takes its provider's default, an unknown provider none."""
-    defaults = (
-        prices.where(
-            F.concat_ws("/", "provider", "model").isin([f"{p}/{m}" for p, m in DEFAULT_MODEL.items()])
-        ).select("provider", F.col("price_in").alias("__din"), F.col("price_out").alias("__dout"))
-    )
-    return (
-        calls.join(prices, ["provider", "model"], "left")
-        .join(defaults, "provider", "left")
-        .withColumn("price_in", F.coalesce("price_in", "__din"))
-        .withColumn("price_out", F.coalesce("price_out", "__dout"))
-        .withColumn("priced", F.col("price_in").isNotNull())
-        .drop("__din", "__dout")
+def attach_prices(calls: DataFrame, prices: list[Price] = PRICES) -> DataFrame:
+    """Price per call; a model not listed takes its provider's default, an unknown provider none.
+
+    The list is a few literals, looked up in a map inside the projection: no join, so calls
+    of the two or three providers there are never meet in two or three tasks.
+    """
+
+    def lookup(entries: dict[str, tuple[float, float]], key: Column) -> Column:
+        pairs = [
+            x
+            for name, (cost_in, cost_out) in entries.items()
+            for x in (F.lit(name), F.struct(F.lit(cost_in).alias("price_in"), F.lit(cost_out).alias("price_out")))
+        ]
+        return F.try_element_at(F.create_map(*pairs), key)
+
+    listed = {f"{p}/{m}": (i, o) for p, m, i, o in prices}
+    defaults = {p: listed[f"{p}/{m}"] for p, m in DEFAULT_MODEL.items() if f"{p}/{m}" in listed}
+    price = F.coalesce(
+        lookup(listed, F.concat_ws("/", "provider", "model")), lookup(defaults, F.col("provider"))
     )
+    priced = calls.withColumn("__price", price)
+    return priced.withColumns(
+        {
+            "price_in": F.col("__price.price_in"),
+            "price_out": F.col("__price.price_out"),
+            "priced": F.col("__price").isNotNull(),
+        }
+    ).drop("__price")
 
 
 def call_cost(input_tokens: Column, output_tokens: Column, price_in: Column, price_out: Column) -> Column:
     return input_tokens * price_in / 1000 + output_tokens * price_out / 1000
 
 
-def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def with_cost(calls: DataFrame, prices: list[Price] = PRICES) -> DataFrame:
     """Cost entries: calls with ``cost_usd``."""
     priced = attach_prices(calls, prices)
     return priced.withColumn(
@@ -94,7 +104,7 @@ def token_totals(calls: DataFrame, keys: list) -> DataFrame:
     )
 
 
-def cost_by(calls: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
+def cost_by(calls: DataFrame, keys: list[str], prices: list[Price] = PRICES) -> DataFrame:
     """Cost, tokens and requests per ``keys`` (none: one row, cost 0.0 when empty)."""
     priced = with_cost(token_totals(calls, keys), prices)
     return priced.groupBy(*keys).agg(
@@ -104,7 +114,7 @@ def cost_by(calls: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def breakdown(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def breakdown(calls: DataFrame, prices: list[Price] = PRICES) -> DataFrame:
     """Total, per provider and per model rows from one aggregation of the calls."""
     priced = with_cost(token_totals(calls, []), prices)
     sets = priced.groupingSets([[], ["provider"], ["model"]], "provider", "model")
@@ -133,8 +143,8 @@ def month_bounds(ts: Column) -> tuple[Column, Column]:
     return start, F.add_months(start, 1).cast("timestamp")
 
 
-def monthly_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    return cost_by(calls.withColumn("month", month_of(F.col("timestamp"))), prices, ["month"])
+def monthly_cost(calls: DataFrame, prices: list[Price] = PRICES) -> DataFrame:
+    return cost_by(calls.withColumn("month", month_of(F.col("timestamp"))), ["month"], prices)
 
 
 def budget_check(monthly: DataFrame, limit: float = MONTHLY_BUDGET_USD) -> DataFrame:

@@ -205,7 +205,7 @@ def histogram_quantile(
 
 def active_gauge(
     starts_ends: DataFrame, ts: str = "ts", order_id: str = "order_id", keys: list[str] | None = None,
-    chunk_seconds: int = 3600,
+    chunk_seconds: int = 600,
 ) -> DataFrame:
     """Running number of active scans after each start (+1) or end (−1) row."""
     chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)

@@ -76,17 +76,11 @@ def carry_forward(
     """The latest non-null ``value`` at or before each row."""
     tagged = df.withColumn(_CHUNK, chunk)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # max_by passes over rows without an ordering value, so null values never win.
+    newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
     summary = (
-        tagged.where(F.col(value).isNotNull())
-        .groupBy(*keys, _CHUNK)
-        .agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
-    )
-    chunks = tagged.select(*keys, _CHUNK).distinct()
-    cond = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, _CHUNK]]
-    summary = (
-        chunks.alias("c")
-        .join(summary.alias("s"), cond, "left")
-        .select(*[F.col(f"c.{k}") for k in [*keys, _CHUNK]], F.col("s.__last"))
+        tagged.groupBy(*keys, _CHUNK)
+        .agg(newest.alias("__last"))
         .withColumn(_BASE, F.last("__last", ignorenulls=True).over(before))
     )
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import digest, prompts
 from triagelake.operators import cache
-from triagelake.operators.costs import price_table, with_cost
+from triagelake.operators.costs import with_cost
 from triagelake.schemas import VERDICT_SEVERITIES, VERDICTS
 
 VERDICT_DDL = (
@@ -79,11 +79,14 @@ def offline_completer(texts: list[str]) -> list[str | None]:
 def _complete(complete: Completer, batch: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame["prompt"].tolist()
+            fresh = frame["content"].isna()
+            texts = frame.loc[fresh, "prompt"].tolist()
             answers: list[str | None] = []
             for i in range(0, len(texts), batch):
                 answers.extend(complete(texts[i : i + batch]))
-            yield pd.DataFrame({"key": frame["key"], "prompt": frame["prompt"], "content": answers})
+            content = frame["content"].astype(object).copy()
+            content[fresh] = answers
+            yield pd.DataFrame({"key": frame["key"], "prompt": frame["prompt"], "content": content, "fresh": fresh})
 
     return run
 
@@ -91,21 +94,25 @@ def _complete(complete: Completer, batch: int):
 def complete_prompts(
     asked: DataFrame, complete: Completer, batch: int = BATCH, parallel: int | None = None
 ) -> DataFrame:
-    """``(key, prompt)`` → ``(key, prompt, content)``, ``batch`` prompts per call.
+    """``(key, prompt[, content])`` → ``(key, prompt, content, fresh)``, ``batch`` prompts per call.
 
-    ``parallel`` bounds how many tasks call the completer at once.
+    Rows that already have content pass through. ``parallel`` bounds how many tasks call the
+    completer at once.
     """
+    if "content" not in asked.columns:
+        asked = asked.withColumn("content", F.lit(None).cast("string"))
     if parallel is not None:
         asked = asked.repartition(parallel, "key")
-    return asked.select("key", "prompt").mapInPandas(
-        _complete(complete, batch), "key string, prompt string, content string"
+    return asked.select("key", "prompt", "content").mapInPandas(
+        _complete(complete, batch), "key string, prompt string, content string, fresh boolean"
     )
 
 
 def requests_of(findings: DataFrame, model: str, with_examples: bool = True) -> DataFrame:
-    """Findings' request columns with ``prompt`` and cache ``key``."""
-    rows = prompts.review_request(findings).withColumn("prompt", prompts.review_prompt(with_examples))
-    key = digest.request_key(F.lit(prompts.SYSTEM_TEXT), F.col("prompt"), F.lit(model), F.lit(TEMPERATURE))
+    """Findings' request columns with their cache ``key``."""
+    rows = prompts.review_request(findings)
+    prompt = prompts.review_prompt(with_examples)
+    key = digest.request_key(F.lit(prompts.SYSTEM_TEXT), prompt, F.lit(model), F.lit(TEMPERATURE))
     return rows.withColumn("key", key)
 
 
@@ -121,26 +128,24 @@ def review(
 ) -> DataFrame:
     """Verdict per finding: cached response if alive, else the completer's, validated.
 
-    Equal requests are asked once: prompts are made distinct by key, those in the cache are
-    taken out, and only the rest reaches the completer. Filters and caps on findings belong
-    before this call, since nothing is pushed through it. With ``responses_path`` (a folder
-    all executors share) the new responses are stored there before they are used: a lost
-    executor then never causes a paid call to be made again, and the folder feeds
-    :func:`cache_entries` and :func:`call_records`.
+    Equal requests are asked once: they are made distinct by key before anything else is
+    done, and the long prompt text is built after that shuffle. Distinct requests meet the
+    cache in one join; only those without a response are sent to the completer. Filters and
+    caps on findings belong before this call, since nothing is pushed through it. With
+    ``responses_path`` (a folder all executors share) the responses are stored there before
+    they are used: a lost executor then never causes a paid call to be made again, and the
+    folder's ``fresh`` rows feed :func:`cache_entries` and :func:`call_records`.
     """
     asked = requests_of(findings, model, with_examples)
-    distinct = asked.select("key", "prompt").dropDuplicates(["key"])
-    live = cache.live_entries(snapshot, now if now is not None else F.current_timestamp()).select(
-        "key", F.col("payload").alias("content")
-    )
-    misses = distinct.join(live.select("key"), "key", "left_anti")
-    fresh = complete_prompts(misses, complete, parallel=parallel)
+    distinct = asked.drop("id").dropDuplicates(["key"])
+    live = cache.live_entries(snapshot, now if now is not None else F.current_timestamp())
+    known = distinct.join(live.select("key", F.col("payload").alias("content")), "key", "left")
+    prompt = F.when(F.col("content").isNull(), prompts.review_prompt(with_examples))
+    done = complete_prompts(known.select("key", prompt.alias("prompt"), "content"), complete, parallel=parallel)
     if responses_path is not None:
-        fresh.write.mode("overwrite").parquet(responses_path)
-        fresh = findings.sparkSession.read.schema("key string, prompt string, content string").parquet(responses_path)
-    fresh = fresh.select("key", "content")
-    hits = live.join(distinct.select("key"), "key", "left_semi")
-    verdicts = parse_verdicts(hits.unionByName(fresh)).drop("content")
+        done.write.mode("overwrite").parquet(responses_path)
+        done = findings.sparkSession.read.schema(done.schema).parquet(responses_path)
+    verdicts = parse_verdicts(done.select("key", "content")).drop("content")
     return asked.select("id", "key").join(verdicts, "key", "left")
 
 
@@ -165,4 +170,4 @@ def call_records(fresh: DataFrame, provider: str, model: str, now: Column) -> Da
         prompts.token_estimate(F.col("prompt")).alias("input_tokens"),
         prompts.token_estimate(F.coalesce("content", F.lit(""))).alias("output_tokens"),
     )
-    return with_cost(calls, price_table(fresh.sparkSession))
+    return with_cost(calls)

@@ -472,10 +472,6 @@ _PRICED = (
 )
 
 
-def _prices(t):
-    return costs.price_table(t.spark)
-
-
 @query(
     "j12_price_lookup",
     f"WITH {_PRICED} SELECT provider, model, pin AS price_in, pout AS price_out, count(*) AS calls FROM priced "
@@ -483,7 +479,7 @@ def _prices(t):
     "llm_calls",
 )
 def _(t):
-    rows = costs.attach_prices(t.llm_calls, _prices(t))
+    rows = costs.attach_prices(t.llm_calls)
     return rows.groupBy("provider", "model", "price_in", "price_out").agg(F.count("*").alias("calls"))
 
 
@@ -493,7 +489,7 @@ def _(t):
     "llm_calls",
 )
 def _(t):
-    rows = costs.with_cost(t.llm_calls, _prices(t))
+    rows = costs.with_cost(t.llm_calls)
     return rows.select("provider", "model", "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"))
 
 
@@ -504,7 +500,7 @@ def _(t):
     "llm_calls",
 )
 def _(t):
-    rows = costs.with_cost(t.llm_calls, _prices(t))
+    rows = costs.with_cost(t.llm_calls)
     return rows.select(
         costs.month_of(F.col("timestamp")).alias("month"),
         "provider",
@@ -525,7 +521,7 @@ def _(t):
 )
 def _(t):
     kept = costs.in_range(t.llm_calls, datetime(1997, 3, 1), datetime(1998, 6, 30), "anthropic")
-    out = costs.cost_by(kept, _prices(t), [])
+    out = costs.cost_by(kept, [])
     return out.select(F.round("cost_usd", 4).alias("cost_usd"), "requests")
 
 
@@ -538,7 +534,7 @@ def _(t):
     "llm_calls",
 )
 def cost_breakdown(t):
-    return costs.breakdown(t.llm_calls, _prices(t)).withColumn("cost_usd", F.round("cost_usd", 4))
+    return costs.breakdown(t.llm_calls).withColumn("cost_usd", F.round("cost_usd", 4))
 
 
 @query(
@@ -548,7 +544,7 @@ def cost_breakdown(t):
     "llm_calls",
 )
 def _(t):
-    return costs.monthly_cost(t.llm_calls, _prices(t)).withColumn("cost_usd", F.round("cost_usd", 4))
+    return costs.monthly_cost(t.llm_calls).withColumn("cost_usd", F.round("cost_usd", 4))
 
 
 @query(
@@ -558,7 +554,7 @@ def _(t):
     "llm_calls",
 )
 def _(t):
-    out = costs.budget_check(costs.monthly_cost(t.llm_calls, _prices(t)), 15.0)
+    out = costs.budget_check(costs.monthly_cost(t.llm_calls), 15.0)
     return out.withColumn("cost_usd", F.round("cost_usd", 4))
 
 
