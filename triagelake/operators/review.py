@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,44 +77,54 @@ def offline_completer(texts: list[str]) -> list[str | None]:
     return answers
 
 
-def _complete(complete: Completer, batch: int):
+def _complete(complete: Completer, batch: int, prefix: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fresh = frame["content"].isna()
-            texts = frame.loc[fresh, "prompt"].tolist()
+            texts = [prefix + text for text in frame.loc[fresh, "prompt"]]
             answers: list[str | None] = []
             for i in range(0, len(texts), batch):
                 answers.extend(complete(texts[i : i + batch]))
-            content = frame["content"].astype(object).copy()
-            content[fresh] = answers
-            yield pd.DataFrame({"key": frame["key"], "prompt": frame["prompt"], "content": content, "fresh": fresh})
+            out = pd.DataFrame({"key": frame["key"], "content": frame["content"].astype(object), "fresh": fresh})
+            out["prompt_chars"] = 0
+            out.loc[fresh, "content"] = answers
+            out.loc[fresh, "prompt_chars"] = [len(text) for text in texts]
+            yield out
 
     return run
 
 
 def complete_prompts(
-    asked: DataFrame, complete: Completer, batch: int = BATCH, parallel: int | None = None
+    asked: DataFrame, complete: Completer, batch: int = BATCH, parallel: int | None = None, prefix: str = ""
 ) -> DataFrame:
-    """``(key, prompt[, content])`` → ``(key, prompt, content, fresh)``, ``batch`` prompts per call.
+    """``(key, prompt[, content])`` → ``(key, content, fresh, prompt_chars)``, ``batch`` prompts per call.
 
     Rows that already have content pass through. ``parallel`` bounds how many tasks call the
-    completer at once.
+    completer at once; ``prefix`` is put before every prompt on the Python side, so that a
+    long constant text is not moved with each row.
     """
     if "content" not in asked.columns:
         asked = asked.withColumn("content", F.lit(None).cast("string"))
     if parallel is not None:
         asked = asked.repartition(parallel, "key")
     return asked.select("key", "prompt", "content").mapInPandas(
-        _complete(complete, batch), "key string, prompt string, content string, fresh boolean"
+        _complete(complete, batch, prefix), "key string, content string, fresh boolean, prompt_chars long"
     )
 
 
+def _fixed_text(with_examples: bool) -> str:
+    return prompts.EXAMPLES_TEXT + prompts.EXAMPLES_SEPARATOR if with_examples else ""
+
+
 def requests_of(findings: DataFrame, model: str, with_examples: bool = True) -> DataFrame:
-    """Findings' request columns with their cache ``key``."""
-    rows = prompts.review_request(findings)
-    prompt = prompts.review_prompt(with_examples)
-    key = digest.request_key(F.lit(prompts.SYSTEM_TEXT), prompt, F.lit(model), F.lit(TEMPERATURE))
-    return rows.withColumn("key", key)
+    """Findings' request columns with their cache ``key``.
+
+    The constant texts enter the key by their hash, so that only what differs is hashed per row.
+    """
+    constant = hashlib.sha256((prompts.SYSTEM_TEXT + _fixed_text(with_examples)).encode()).hexdigest()
+    prompt = prompts.review_prompt(with_examples=False)
+    key = digest.request_key(F.lit(constant), prompt, F.lit(model), F.lit(TEMPERATURE))
+    return prompts.review_request(findings).withColumn("key", key)
 
 
 def review(
@@ -129,8 +140,8 @@ def review(
     """Verdict per finding: cached response if alive, else the completer's, validated.
 
     Equal requests are asked once: they are made distinct by key before anything else is
-    done, and the long prompt text is built after that shuffle. Distinct requests meet the
-    cache in one join; only those without a response are sent to the completer. Filters and
+    done, and the prompt text is built after that shuffle. Distinct requests meet the cache
+    in one join; only those without a response are sent to the completer. Filters and
     caps on findings belong before this call, since nothing is pushed through it. With
     ``responses_path`` (a folder all executors share) the responses are stored there before
     they are used: a lost executor then never causes a paid call to be made again, and the
@@ -140,8 +151,13 @@ def review(
     distinct = asked.drop("id").dropDuplicates(["key"])
     live = cache.live_entries(snapshot, now if now is not None else F.current_timestamp())
     known = distinct.join(live.select("key", F.col("payload").alias("content")), "key", "left")
-    prompt = F.when(F.col("content").isNull(), prompts.review_prompt(with_examples))
-    done = complete_prompts(known.select("key", prompt.alias("prompt"), "content"), complete, parallel=parallel)
+    prompt = F.when(F.col("content").isNull(), prompts.review_prompt(with_examples=False))
+    done = complete_prompts(
+        known.select("key", prompt.alias("prompt"), "content"),
+        complete,
+        parallel=parallel,
+        prefix=_fixed_text(with_examples),
+    )
     if responses_path is not None:
         done.write.mode("overwrite").parquet(responses_path)
         done = findings.sparkSession.read.schema(done.schema).parquet(responses_path)
@@ -151,7 +167,7 @@ def review(
 
 def cache_entries(fresh: DataFrame, now: Column, ttl_s: int = cache.RESPONSE_TTL) -> DataFrame:
     """Completed responses as cache entries (failed ones are not cached)."""
-    valid = parse_verdicts(fresh).where("valid")
+    valid = parse_verdicts(fresh.where("fresh")).where("valid")
     return valid.select(
         "key",
         F.lit(None).cast("string").alias("path"),
@@ -163,11 +179,11 @@ def cache_entries(fresh: DataFrame, now: Column, ttl_s: int = cache.RESPONSE_TTL
 
 def call_records(fresh: DataFrame, provider: str, model: str, now: Column) -> DataFrame:
     """Cost entries of completed calls, tokens estimated from text lengths."""
-    calls = fresh.select(
+    calls = fresh.where("fresh").select(
         now.alias("timestamp"),
         F.lit(provider).alias("provider"),
         F.lit(model).alias("model"),
-        prompts.token_estimate(F.col("prompt")).alias("input_tokens"),
+        F.floor(F.col("prompt_chars") / 4).alias("input_tokens"),
         prompts.token_estimate(F.coalesce("content", F.lit(""))).alias("output_tokens"),
     )
     return with_cost(calls)

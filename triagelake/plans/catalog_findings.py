@@ -444,7 +444,7 @@ def _(t):
 @query(
     "k09_review_comments",
     "WITH g AS (SELECT scan_job_id, count(*) AS n FROM findings WHERE llm_decision = 'true_positive' GROUP BY 1) SELECT j.id AS scan_job_id, CASE WHEN g.n IS NULL "
-    "THEN 'none' ELSE 'summary' END AS kind, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INT) AS line, CASE WHEN g.n IS NULL THEN '✅ **Security Scan Complete** - No verified "
+    "THEN 'none' ELSE 'summary' END AS kind, CAST(NULL AS VARCHAR) AS path, 0 AS line, CASE WHEN g.n IS NULL THEN '✅ **Security Scan Complete** - No verified "
     "security issues found!' ELSE '🔒 **Security Scan Complete**' || chr(10) || chr(10) || 'Found **' || CAST(g.n AS VARCHAR) || ' verified security issues** in this PR.' || chr(10) || chr(10) || "
     f"'See inline comments for details.' END AS body FROM scan_jobs j LEFT JOIN g ON j.id = g.scan_job_id UNION ALL SELECT scan_job_id, 'inline', file_path, line_number, {_COMMENT} "
     "FROM (SELECT *, CAST(id % 101 AS INT) AS o FROM findings WHERE llm_decision = 'true_positive') f",
@@ -452,7 +452,7 @@ def _(t):
 )
 def _(t):
     jobs = t.scan_jobs.select(F.col("id").alias("scan_job_id"))
-    return doc.review_comments(_reviewed(t), jobs)
+    return doc.review_comments(_reviewed(t), jobs).withColumn("line", F.coalesce("line", F.lit(0)))
 
 
 @query(

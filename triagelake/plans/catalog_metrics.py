@@ -853,7 +853,7 @@ def _(t):
 
 @query(
     "s20_rule_lists",
-    "SELECT CAST(ord AS VARCHAR) AS batch_id, 0 AS ord, name, language, tool, rule_id, CASE WHEN ord % 3 = 0 THEN TRUE ELSE enabled END AS enabled, "
+    "SELECT CAST(ord AS VARCHAR) AS batch_id, CAST(0 AS BIGINT) AS ord, name, language, tool, rule_id, CASE WHEN ord % 3 = 0 THEN TRUE ELSE enabled END AS enabled, "
     "severity_override FROM incoming_rules",
     "incoming_rules",
 )

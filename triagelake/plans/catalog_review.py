@@ -71,7 +71,7 @@ def _(t):
     "count(*) AS findings, string_agg('## Finding ' || CAST((rn - 1) % 8 + 1 AS VARCHAR) || ':' || chr(10) || '- Rule: ' || rule_id || chr(10) || '- Description: ' || description || chr(10) || "
     "'- Code: ' || substr(code_snippet, 1, 100) || '...' || chr(10), chr(10) ORDER BY rn) AS body FROM n GROUP BY 1, 2) SELECT scan_job_id, batch, findings, "
     "'**Batch Verification Request:**' || chr(10) || 'You are verifying ' || CAST(findings AS VARCHAR) || ' SAST findings.' || chr(10) || chr(10) || "
-    "'For each finding, provide a verification decision.' || chr(10) || chr(10) || body AS prompt FROM b",
+    "'Decide on each of them.' || chr(10) || chr(10) || body AS prompt FROM b",
     "findings",
 )
 def _(t):
@@ -252,10 +252,10 @@ def _(t):
 
 
 _FIX_PROMPT = (
-    "CASE WHEN kind IS NOT NULL THEN 'Fix this security vulnerability using the provided template as a guide.' || chr(10) || chr(10) || '**Vulnerability**: ' || description || chr(10) || "
+    "CASE WHEN kind IS NOT NULL THEN 'Repair the weakness below along the lines of the template.' || chr(10) || chr(10) || '**Vulnerability**: ' || description || chr(10) || "
     "'**Rule**: ' || rule_id || chr(10) || chr(10) || '**Original Code**:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) || '**Fix Template**:' || chr(10) || "
     f"guide || chr(10) || chr(10) || {_q(chr(10).join(prompts.FIX_INSTRUCTIONS))} || chr(10) || '3. Answer with the fixed code only' || chr(10) || chr(10) || '**Fixed Code**:' ELSE "
-    "'Fix this security vulnerability.' || chr(10) || chr(10) || '**Vulnerability**: ' || description || chr(10) || '**Rule**: ' || rule_id || chr(10) || '**Severity**: ' || severity || chr(10) || "
+    "'Repair the weakness below.' || chr(10) || chr(10) || '**Vulnerability**: ' || description || chr(10) || '**Rule**: ' || rule_id || chr(10) || '**Severity**: ' || severity || chr(10) || "
     "'**File**: ' || file_path || chr(10) || '**Line**: ' || CAST(line_number AS VARCHAR) || chr(10) || chr(10) || '**Original Code**:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) || "
     f"{_q(chr(10).join(prompts.FIX_INSTRUCTIONS))} || chr(10) || '3. Follow the code with a short explanation' || chr(10) || chr(10) || 'Write the code between ``` lines, then ''**Explanation**:'' and the explanation.' END"
 )

@@ -266,13 +266,19 @@ _STATUS = (
 @query(
     "s18_parse_deliveries",
     "SELECT delivery_id, event, CASE event WHEN 'pull_request' THEN action END AS action, CASE event WHEN 'push' THEN ref END AS ref, "
-    "repo AS repo_full_name, CASE event WHEN 'pull_request' THEN number END AS pr_number, CASE WHEN event IN ('push', 'pull_request') "
+    "repo AS repo_full_name, CASE event WHEN 'pull_request' THEN number ELSE 0 END AS pr_number, CASE WHEN event IN ('push', 'pull_request') "
     "THEN sha END AS commit_sha FROM deliveries",
     "deliveries",
 )
 def _(t):
     return dv.parse(deliveries(t)).select(
-        "delivery_id", "event", "action", "ref", "repo_full_name", "pr_number", "commit_sha"
+        "delivery_id",
+        "event",
+        "action",
+        "ref",
+        "repo_full_name",
+        F.coalesce("pr_number", F.lit(0)).alias("pr_number"),
+        "commit_sha",
     )
 
 

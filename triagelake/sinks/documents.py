@@ -24,6 +24,11 @@ SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Sc
 TOOL_NAME = "triagelake"
 TOOL_VERSION = "1.0.0"
 NO_ISSUES = "✅ No security issues found!"
+SUMMARY_TEXT = (
+    "🔒 **Security Scan Complete**\n\nFound **",
+    " verified security issues** in this PR.\n\nSee inline comments for details.",
+)
+NOTHING_TEXT = "✅ **Security Scan Complete** - No verified security issues found!"
 CWE_URL = "https://cwe.mitre.org/data/definitions/"
 
 
@@ -166,11 +171,8 @@ def review_comments(reviewed: DataFrame, jobs: DataFrame, by: str = "scan_job_id
     """
     good = reviewed.where("v_decision = 'true_positive'")
     counts = good.groupBy(by).agg(F.count("*").alias("n"))
-    summary = F.concat(
-        F.lit("🔒 **Security Scan Complete**\n\nFound **"), F.col("n").cast("string"),
-        F.lit(" verified security issues** in this PR.\n\nSee inline comments for details."),
-    )
-    nothing = F.lit("✅ **Security Scan Complete** - No verified security issues found!")
+    summary = F.concat(F.lit(SUMMARY_TEXT[0]), F.col("n").cast("string"), F.lit(SUMMARY_TEXT[1]))
+    nothing = F.lit(NOTHING_TEXT)
     heads = jobs.select(by).join(counts, by, "left").select(
         by,
         F.when(F.col("n").isNotNull(), "summary").otherwise("none").alias("kind"),
