@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.severity import lookup
 from triagelake.operators.ordered import first_n
 
 
@@ -72,6 +73,26 @@ def funnel(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+# The audit tool of each kind of project, by the files that mark it.
+PROJECT_FILES = {
+    "requirements.txt": "pip-audit",
+    "pyproject.toml": "pip-audit",
+    "package.json": "npm-audit",
+    "go.mod": "govulncheck",
+    "Cargo.toml": "cargo-dependencies",
+    "pom.xml": "dependency-check",
+    "build.gradle": "dependency-check",
+}
+
+
+def dependency_tools(files: DataFrame) -> DataFrame:
+    """``(project, tool)``: which dependency audits apply to each folder of a file listing."""
+    name = F.substring_index("path", "/", -1)
+    folder = F.left(F.col("path"), F.greatest(F.length("path") - F.length(name) - 1, F.lit(0)))
+    rows = files.select(folder.alias("project"), lookup(name, PROJECT_FILES, None).alias("tool"))
+    return rows.where("tool IS NOT NULL").distinct()
+
+
 def relative_path(path, root):
     """Path below the clone root."""
     return F.replace(path, F.concat(root, F.lit("/")), F.lit(""))

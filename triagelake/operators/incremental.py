@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.languages import with_extensions
+from triagelake.functions.languages import language_extensions, with_extensions
 
 
 def compare_manifests(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -31,3 +31,13 @@ def changed_files(new: DataFrame, old: DataFrame | None, extensions: list[str] |
         return new.select("path", "hash")
     # A pair that is in both snapshots is unchanged; everything else of the new one is work.
     return new.select("path", "hash").join(old.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+def files_for_language(
+    new: DataFrame, old: DataFrame | None, language: str, only_changed: bool = True
+) -> DataFrame:
+    """``(path, hash)`` of one language's files, changed ones only or all; none for an unknown language."""
+    extensions = language_extensions(language)
+    if not extensions:
+        return new.select("path", "hash").limit(0)
+    return changed_files(new, old if only_changed else None, extensions)

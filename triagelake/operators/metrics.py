@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +116,15 @@ def period_bucket(period: str, ts: str = "created_at") -> Column:
 
 
 def scores_by_period(
-    feedback: DataFrame, findings: DataFrame, period: str = "daily", digits: int | None = None
+    feedback: DataFrame, findings: DataFrame, period: str = "daily", digits: int | None = None,
+    days: int | None = None, now: datetime | None = None,
 ) -> DataFrame:
-    """Time series of the metrics."""
+    """Time series of the metrics, of the last ``days`` (1 to 365) before ``now`` if given."""
+    if days is not None:
+        if not 1 <= days <= 365:
+            raise ValueError("days must be between 1 and 365")
+        end = now or datetime.now(UTC).replace(tzinfo=None)
+        feedback = filter_window(feedback, start=end - timedelta(days=days), end=end)
     judged = judged_findings(feedback, findings, period_bucket(period))
     return scores_by(judged, ["bucket"], digits).withColumnRenamed("bucket", "timestamp").withColumn(
         "period", F.lit(period)

@@ -234,6 +234,18 @@ def _(t):
     return fo.union_all([first, second]).groupBy("part", "tool").agg(F.count("*").alias("n"), F.count("extra").alias("extras"))
 
 
+_PROJECT = "'app/' || source || '/' || CASE lang WHEN 'en' THEN 'requirements.txt' WHEN 'fr' THEN 'package.json' WHEN 'de' THEN 'go.mod' ELSE 'notes.txt' END"
+
+
+@query(
+    "u01_dependency_tools",
+    "SELECT DISTINCT 'app/' || source AS project, CASE lang WHEN 'en' THEN 'pip-audit' WHEN 'fr' THEN 'npm-audit' ELSE 'govulncheck' END AS tool "
+    "FROM documents WHERE lang IN ('en', 'fr', 'de')",
+)
+def _(t):
+    return fo.dependency_tools(t.documents.selectExpr(f"{_PROJECT} AS path"))
+
+
 @query(
     "a24_findings_per_language",
     "SELECT language, count(*) AS total FROM findings GROUP BY 1",

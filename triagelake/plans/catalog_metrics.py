@@ -696,6 +696,38 @@ def _(t):
     )
 
 
+@query(
+    "a19_report_choice",
+    "SELECT report_type, status, count(*) AS projects FROM ("
+    "SELECT 'SOC2' AS report_type, CASE WHEN 100 - 10 * count(*) FILTER (WHERE severity = 'CRITICAL') - 5 * count(*) FILTER (WHERE severity = 'HIGH') >= 80 "
+    "THEN 'COMPLIANT' ELSE 'NON_COMPLIANT' END AS status FROM findings GROUP BY scan_job_id UNION ALL "
+    f"SELECT 'GDPR', CASE WHEN 100 - 15 * count(*) FILTER (WHERE {_GDPR['pii']} AND severity IN ('CRITICAL', 'HIGH')) >= 85 THEN 'COMPLIANT' ELSE "
+    "'NON_COMPLIANT' END FROM findings GROUP BY scan_job_id UNION ALL "
+    f"SELECT 'HIPAA', CASE WHEN 100 - 20 * count(*) FILTER (WHERE {_HIPAA['phi']}) >= 90 THEN 'COMPLIANT' ELSE 'NON_COMPLIANT' END FROM findings "
+    "GROUP BY scan_job_id) z GROUP BY 1, 2",
+    "findings",
+)
+def _(t):
+    parts = [compliance.summary(t.findings, kind, "scan_job_id").select("report_type", "status") for kind in ("soc2", "Gdpr", "HIPAA")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("report_type", "status").agg(F.count("*").alias("projects"))
+
+
+@query(
+    "a06_metrics_last_days",
+    f"WITH {_JUDGED} "
+    + _scores(
+        f"SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, {_KINDS} FROM judged WHERE created_at >= TIMESTAMP '2024-01-13 00:00:00' "
+        "AND created_at <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1",
+        "day,",
+    ),
+    "feedback findings",
+)
+def _(t):
+    out = metrics.scores_by_period(t.feedback, t.findings, "daily", 6, days=7, now=datetime(2024, 1, 20))
+    return out.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), *_SCORE_COLS)
+
+
 @query(
     "t05_top_compliance_findings",
     "WITH long AS ("

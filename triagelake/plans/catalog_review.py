@@ -251,6 +251,18 @@ def _(t):
     return out.select("id", "rule_id", "vulnerability_type")
 
 
+@query(
+    "a26_supported_rules_in_findings",
+    f"WITH {_MATCHED} SELECT language, rule_id, count(*) AS n FROM mt WHERE ord IS NOT NULL GROUP BY 1, 2",
+    "findings",
+)
+def _(t):
+    """How often rules that have a fix template occur, by language."""
+    supported = fixes.supported_rules(fixes.template_table(t.spark))
+    pairs = supported.select("language", F.explode("rule_ids").alias("rule_id"))
+    return t.findings.join(pairs, ["language", "rule_id"]).groupBy("language", "rule_id").agg(F.count("*").alias("n"))
+
+
 _FIX_PROMPT = (
     "CASE WHEN kind IS NOT NULL THEN 'Repair the weakness below along the lines of the template.' || chr(10) || chr(10) || '**Vulnerability**: ' || description || chr(10) || "
     "'**Rule**: ' || rule_id || chr(10) || chr(10) || '**Original Code**:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) || '**Fix Template**:' || chr(10) || "

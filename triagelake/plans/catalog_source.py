@@ -151,6 +151,19 @@ def changed_files(t):
     return incremental.changed_files(t.manifest_new, t.manifest_old, [".py"])
 
 
+@query(
+    "j07_changed_files_of_language",
+    "SELECT n.path, n.hash FROM (SELECT replace(path, '.py', CASE WHEN hash < '8' THEN '.tsx' ELSE '.py' END) AS path, hash FROM manifest_new) n "
+    "LEFT JOIN manifest_old o ON n.path = o.path AND n.hash = o.hash WHERE o.path IS NULL AND ends_with(n.path, '.tsx')",
+    "manifest_new manifest_old",
+)
+def _(t):
+    renamed = t.manifest_new.withColumn(
+        "path", F.replace("path", F.lit(".py"), F.when(F.col("hash") < "8", ".tsx").otherwise(".py"))
+    )
+    return incremental.files_for_language(renamed, t.manifest_old, "TypeScript")
+
+
 # ----------------------------------------------------------------- cache
 
 _REQ = "req AS (SELECT request_id, key, ts FROM requests)"

@@ -66,6 +66,11 @@ def _or(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
+def _nested_ord() -> Column:
+    """Order of the ``j``-th entry inside the ``i``-th element."""
+    return F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")
+
+
 def parse_bandit(reports: DataFrame) -> DataFrame:
     rows = _entries(
         reports,
@@ -97,9 +102,7 @@ def _eslint_messages(reports: DataFrame) -> DataFrame:
     rows = files.select(
         "report_id", "i", _or(F.col("f.filePath"), "").alias("path"), F.posexplode("f.messages").alias("j", "e")
     )
-    return rows.where("e.ruleId IS NOT NULL AND e.ruleId <> ''").withColumn(
-        "ord", F.col("i").cast("long") * 1000000 + F.col("j")
-    )
+    return rows.where("e.ruleId IS NOT NULL AND e.ruleId <> ''").withColumn("ord", _nested_ord())
 
 
 def _eslint(rows: DataFrame, tool: str, confidence: str) -> DataFrame:
@@ -201,7 +204,7 @@ def _json_lines(reports: DataFrame, ddl: str) -> DataFrame:
     """One row per non-blank line; a line that is no JSON object gives a null struct field."""
     lines = reports.select("report_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("ord", "line"))
     return lines.where(F.trim("line") != "").select(
-        "report_id", "ord", F.from_json("line", ddl, {"mode": "PERMISSIVE"}).alias("e")
+        "report_id", "ord", "line", F.from_json("line", ddl, {"mode": "PERMISSIVE"}).alias("e")
     )
 
 
@@ -388,7 +391,7 @@ def parse_npm_audit(reports: DataFrame) -> DataFrame:
 def parse_govulncheck(reports: DataFrame) -> DataFrame:
     rows = _json_lines(
         reports, "finding struct<osv:string,description:string,module:string,found:string,fixed:string>"
-    ).where("e.finding IS NOT NULL")
+    ).where("e.finding IS NOT NULL AND get_json_object(line, '$.finding') <> '{}'")
     return _shape(
         rows,
         tool="govulncheck",
@@ -412,7 +415,7 @@ def parse_dependency_check(reports: DataFrame) -> DataFrame:
     deps = _entries(reports, ddl, "dependencies").select("report_id", F.col("ord").alias("i"), "e")
     rows = deps.select(
         "report_id", "i", F.col("e.fileName").alias("file"), F.posexplode("e.vulnerabilities").alias("j", "e")
-    ).withColumn("ord", F.col("i").cast("long") * 1000000 + F.col("j"))
+    ).withColumn("ord", _nested_ord())
     return _shape(
         rows,
         tool="dependency-check",
