@@ -24,7 +24,7 @@ def hot(table):
     rng = random.Random(1)
     rows = []
     for i in range(600):
-        key = "hot" if i % 3 else rng.choice("abc")
+        key = "hot" if i % 3 else rng.choice(["a", "b", None])
         rows.append((i, key, rng.randint(-3, 5), rng.choice([None, f"v{i}"])))
     return rows, table(rows, "i long, k string, n int, v string")
 
@@ -42,15 +42,13 @@ def test_running_and_carried_values(hot, size):
     chunk = F.floor(F.col("i") / size)
     total = {r.i: r.s for r in ordered.running_sum(df, ["k"], ["i"], chunk, F.col("n"), "s").collect()}
     number = {r.i: r.s for r in ordered.running_number(df, ["k"], ["i"], chunk, "s").collect()}
-    before = {r.i: r.s for r in ordered.previous_value(df, ["k"], ["i"], chunk, "i", "s").collect()}
     carried = {r.i: r.s for r in ordered.carry_forward(df, ["k"], ["i"], chunk, "v", "s").collect()}
     assert len(total) == len(rows)
     for group in by_key(rows).values():
-        s, last, prev = 0, None, None
+        s, last = 0, None
         for pos, (i, _, n, v) in enumerate(group, 1):
             s, last = s + n, v if v is not None else last
-            assert (total[i], number[i], before[i], carried[i]) == (s, pos, prev, last)
-            prev = i
+            assert (total[i], number[i], carried[i]) == (s, pos, last)
 
 
 def test_running_sum_without_key(hot):
@@ -62,6 +60,19 @@ def test_running_sum_without_key(hot):
         assert got[i] == s
 
 
+def test_one_shuffle_of_the_rows(spark, hot):
+    _, df = hot
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered.running_number(df, ["k"], ["i"], F.floor(F.col("i") / 50), "s")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    on_rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(__k" in line]
+    assert len(on_rows) == 2  # the rows, and the summary that meets them
+
+
 def test_first_n_prunes_before_the_shuffle(hot):
     _, df = hot
     plan = ordered.first_n(df, ["k"], [F.col("i")], 10)._jdf.queryExecution().executedPlan().toString()

@@ -41,8 +41,9 @@ def test_reports_are_cut_into_documents(found):
     assert docs[(1, 2)]["total_findings"] == 23 and len(docs[(1, 2)]["findings"]) == 3
     assert docs[(1, 0)]["findings"][0]["description"] == 'say "hi" ✓'
     assert docs[(3, 0)]["findings"][0]["rule_id"] is None
-    whole = doc.json_reports(found, [], ["id"], chunk, per_document=100).collect()
-    assert len(whole) == 1 and json.loads(whole[0].report)["total_findings"] == 31
+    whole = [json.loads(r.report) for r in doc.json_reports(found, [], ["id"], chunk, per_document=20).collect()]
+    assert sorted(len(d["findings"]) for d in whole) == [11, 20]
+    assert {d["total_findings"] for d in whole} == {31}
 
 
 def test_text_report_files(spark, table, found, tmp_path):

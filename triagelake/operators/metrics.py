@@ -40,9 +40,10 @@ def filter_window(
     ts: str = "created_at",
 ) -> DataFrame:
     """Optional filters of the metrics and feedback reports; dates are inclusive."""
-    for bound, keep in ((start, F.col(ts).__ge__), (end, F.col(ts).__le__)):
-        if bound is not None:
-            df = df.where(keep(F.lit(bound)))
+    if start is not None:
+        df = df.where(F.col(ts) >= F.lit(start))
+    if end is not None:
+        df = df.where(F.col(ts) <= F.lit(end))
     for column, wanted in (("language", language), ("tool", tool), ("severity", severity)):
         if wanted is not None:
             df = df.where(F.col(column) == wanted)

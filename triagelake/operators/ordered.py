@@ -16,31 +16,38 @@ from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
 _BASE = "__base"
+_KEY = "__k"
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, _CHUNK]
-    renamed = summary.select(*[F.col(c).alias(f"__s_{c}") for c in on], _BASE)
-    cond = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in on]
-    return df.join(renamed, cond, "left").drop(*[f"__s_{c}" for c in on])
+def _tag(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Add the chunk and ``__k``, a struct of key and chunk.
+
+    A struct is equal to another also where both hold a null, so one plain equality on it
+    serves the join and the window, which then share a single shuffle of the rows.
+    """
+    return df.withColumn(_CHUNK, chunk).withColumn(_KEY, F.struct(*keys, _CHUNK))
+
+
+def _attach(tagged: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    return tagged.join(summary.select(F.struct(*keys, _CHUNK).alias(_KEY), _BASE), _KEY)
 
 
 def running_sum(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, out: str
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key; ``order`` must be unique per key."""
-    tagged = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
+    tagged = _tag(df, keys, chunk).withColumn("__v", value)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         tagged.groupBy(*keys, _CHUNK)
         .agg(F.sum("__v").alias("__t"))
         .withColumn(_BASE, F.coalesce(F.sum("__t").over(before), F.lit(0)))
     )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         _attach(tagged, summary, keys)
         .withColumn(out, F.col(_BASE) + F.sum("__v").over(inside))
-        .drop(_CHUNK, _BASE, "__v")
+        .drop(_CHUNK, _KEY, _BASE, "__v")
     )
 
 
@@ -51,30 +58,11 @@ def running_number(
     return running_sum(df, keys, order, chunk, F.lit(1).cast("long"), out)
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
-) -> DataFrame:
-    """The value of the row just before, null on a key's first row."""
-    tagged = df.withColumn(_CHUNK, chunk)
-    summary = (
-        tagged.groupBy(*keys, _CHUNK)
-        .agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
-        .withColumn(_BASE, F.lag("__last").over(Window.partitionBy(*keys).orderBy(_CHUNK)))
-    )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    return (
-        _attach(tagged, summary, keys)
-        .withColumn("__n", F.row_number().over(inside))
-        .withColumn(out, F.when(F.col("__n") == 1, F.col(_BASE)).otherwise(F.lag(value).over(inside)))
-        .drop(_CHUNK, _BASE, "__n")
-    )
-
-
 def carry_forward(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
 ) -> DataFrame:
     """The latest non-null ``value`` at or before each row."""
-    tagged = df.withColumn(_CHUNK, chunk)
+    tagged = _tag(df, keys, chunk)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # max_by passes over rows without an ordering value, so null values never win.
     newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
@@ -83,11 +71,11 @@ def carry_forward(
         .agg(newest.alias("__last"))
         .withColumn(_BASE, F.last("__last", ignorenulls=True).over(before))
     )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         _attach(tagged, summary, keys)
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(_BASE)))
-        .drop(_CHUNK, _BASE)
+        .drop(_CHUNK, _KEY, _BASE)
     )
 
 

@@ -140,7 +140,8 @@ def review(
     """Verdict per finding: cached response if alive, else the completer's, validated.
 
     Equal requests are asked once: they are made distinct by key before anything else is
-    done, and the prompt text is built after that shuffle. Distinct requests meet the cache
+    done, and the prompt text is built after that shuffle. ``snapshot`` holds one entry per
+    key (as :func:`cache.put` leaves it). Distinct requests meet the cache
     in one join; only those without a response are sent to the completer. Filters and
     caps on findings belong before this call, since nothing is pushed through it. With
     ``responses_path`` (a folder all executors share) the responses are stored there before

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from triagelake.plans.catalog_findings import _url
 from triagelake.plans.catalog_review import BUCKET_SQL
 from triagelake.plans.catalog_source import SECRET, deliveries
-from triagelake.plans.proxies import Tables
+from triagelake.plans.proxies import RAW_DDL, Tables
 from triagelake.plans.registry import query
 from triagelake.session import work_dir
 from triagelake.sinks import documents as doc
@@ -16,19 +16,12 @@ from triagelake.sources import deliveries as dv
 from triagelake.sources import reports as rp
 from triagelake.streaming import streams
 
-_TABLE_SCHEMAS = {
-    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
-    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
-    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-}
-
 
 class StreamTables(Tables):
     """The same tables and views, read as streams."""
 
     def raw(self, name: str):
-        schema = T.StructType.fromDDL(_TABLE_SCHEMAS[name])
+        schema = T.StructType.fromDDL(RAW_DDL[name])
         return streams.read_table_stream(self.spark, self.sf_dir, f"{name}.parquet", schema)
 
 

@@ -47,8 +47,9 @@ def _parts(
             F.array_sort(F.collect_list(F.struct("__n", "__entry"))), lambda e: e["__entry"]
         ).alias("entries")
     )
-    totals = findings.groupBy(*by).agg(F.count("*").alias("total"))
-    return parts.join(totals, by) if by else parts.withColumn("total", F.size("entries").cast("long"))
+    if not by:
+        return parts.withColumn("total", findings.agg(F.count("*")).scalar())
+    return parts.join(findings.groupBy(*by).agg(F.count("*").alias("total")), by)
 
 
 def json_reports(
