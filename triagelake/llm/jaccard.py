@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from triagelake.llm.arrays import U64, deal, forest, mix, pack, shingle_set, small, unpack, words_of
 from triagelake.llm.components import components
 from triagelake.llm.store import materialize, shuffle_parts
+from triagelake.llm.urls import bloom, maybe
 
 #: Bands of set sizes grow by this factor; a partner is at most one band away for t >= 1 / GROWTH.
 GROWTH = 1.25
@@ -227,6 +228,9 @@ def _empties(batches, percent: int):
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
     """All sets of a block, or of two, against each other -> spanning links."""
+    # Repeated rows bring a set more than once.
+    _, once = np.unique(table.column("node").to_numpy(), return_index=True)
+    table = table.take(pa.array(np.sort(once)))
     node = table.column("node").to_numpy()
     side = table.column("side").to_numpy()
     sets = [unpack(x, U64) for x in table.column("shingles").to_pylist()]
@@ -268,9 +272,13 @@ def _comparison(percent: int):
     return run
 
 
-def _shingle_blobs(batches):
-    for b in small(batches, 1):
-        yield pa.record_batch([b.column(0), pa.array([pack(s) for s in _sets(b)], pa.binary())], names=["node", "shingles"])
+def _shingle_blobs(batches, shared):
+    """key, text -> node and shingles of the rows whose key may be a chosen one."""
+    for b in batches:
+        chosen = b.filter(pa.array(maybe(b.column(0).to_numpy(zero_copy_only=False), shared.value))) if b.num_rows else b
+        for part in small([chosen], 1):
+            sets = list(_sets(part))
+            yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], names=["node", "shingles"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -307,10 +315,10 @@ def candidate_links(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def exact_links(docs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """``u, v``: spanning links of the sets of each candidate component; ``sets`` has ``node, component`` and names one document of each."""
-    chosen = sets.select("node", F.col("doc_id").alias("_id"), "text_hash")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    texts = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")))
-    blobs = texts.select("node", "text").mapInArrow(_shingle_blobs, "node long, shingles binary").dropDuplicates(["node"])
+    # Only documents that pass a filter of the chosen ones become shingles, and only shingles are shuffled.
+    field = docs.sparkSession.sparkContext.broadcast(bloom(sets.select(F.xxhash64("doc_id", "text_hash").alias("key"))))
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
+    blobs = keyed.mapInArrow(partial(_shingle_blobs, shared=field), "node long, shingles binary")
     # A component of many sets is dealt into blocks by hash; each pair of blocks is one task.
     wide = sets.groupBy("component").agg(F.count("*").alias("members"))
     named = sets.join(wide, "component").withColumn("salts", F.ceil(F.col("members") / BLOCK).cast("int"))
