@@ -39,7 +39,7 @@ ALPHA = 1.0
 def _encode(batches, parts: int):
     """doc_id, held, text -> one row per slice: documents as word numbers, words with their training counts."""
     part, serial = TaskContext.get().partitionId(), 0
-    for b in small(batches, 2, 24 << 20):
+    for b in small(batches, 2, 12 << 20):
         words = words_of(b.column(2))
         n = np.diff(words.bounds) + 1
         tokens = np.insert(words.hash, words.bounds[1:], END)

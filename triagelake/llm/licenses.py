@@ -69,13 +69,13 @@ def build(templates: list[tuple[str, str]]) -> Index:
     return Index([n for n, _ in templates], words, np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
 
-def align(text: np.ndarray, template: np.ndarray) -> tuple[int, int, int]:
+def align(text: np.ndarray, template: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
     """``matched, first, last``: the most template words matched in order, and the text words they span.
 
-    ``text`` begins ``BAND`` words before the place where the template would start: word j of the
-    template is looked for at text words j to j + 2 * BAND. Of equal numbers, the shortest span wins.
+    ``text`` begins ``band`` words before the place where the template would start: word j of the
+    template is looked for at text words j to j + 2 * band. Of equal numbers, the shortest span wins.
     """
-    width = 2 * BAND + 1
+    width = 2 * band + 1
     # best[k]: most words matched by the template so far up to text word j + k, where that began and ended.
     best = [(0, 0, -1)] * (width + 1)
     for j in range(len(template)):
@@ -127,9 +127,14 @@ def scan(texts: pa.Array, index: Index) -> list[tuple[int, int, float, int, int]
                 k += 1
         hits = []
         for t, start in sorted(spots):
-            begin = max(0, start - BAND)
             template = index.words[t]
-            matched, first, last = align(own[begin : start + len(template) + BAND], template)
+            # Not wider than half the template, so that a short notice does not slide to its next copy.
+            band = min(BAND, len(template) // 2)
+            begin = start - band
+            text = own[max(0, begin) : start + len(template) + band]
+            if begin < 0:
+                text = np.append(np.zeros(-begin, U64), text)
+            matched, first, last = align(text, template, band)
             if matched and matched >= COVERAGE * len(template):
                 hits.append((matched, -(last - first), matched / len(template), t, begin + first, begin + last))
         # Of overlapping stretches the one that matches most stays, then the shortest, then the most complete.
