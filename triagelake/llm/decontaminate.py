@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from triagelake.llm.arrays import runs, small, words_of
 
 K1, B = 1.2, 0.75
-#: Items of a block.
-BLOCK = 16
+#: Items of a block: the fewer, the tighter the bounds.
+BLOCK = 4
+#: Terms whose bounds are gathered at a time.
+STEP = 1 << 16
 #: Share of an item's score against itself from which a passage is retrieved.
 RETRIEVE = 0.5
 #: Share of the word sequences of the question, and of the answer, that must be in the document.
@@ -127,8 +129,15 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float,
         return []
     passage, term = pair // t, pair % t
     head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    bound = np.add.reduceat(index.bounds[term], head, axis=0) + index.late_bound
-    hits = np.argwhere(bound >= index.needed * (1 - 1e-5))
+    floor = (index.needed * (1 - 1e-5) - index.late_bound).astype(np.float32)
+    parts, lo = [], 0
+    while lo < len(head):
+        hi = max(lo + 1, int(np.searchsorted(head, head[lo] + STEP)))
+        stop = head[hi] if hi < len(head) else len(term)
+        bound = np.add.reduceat(index.bounds[term[head[lo] : stop]], head[lo:hi] - head[lo], axis=0)
+        parts.append(np.argwhere(bound >= floor) + (lo, 0))
+        lo = hi
+    hits = np.concatenate(parts)
     best: dict[tuple[int, int], tuple] = {}
     last, score = -1, None
     for k, block in hits:
@@ -139,8 +148,8 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float,
             end = int(min(begin + 2 * index.stride, words.bounds[r + 1]))
             window = words.hash[begin:end]
             mine = np.unique(tid[begin:end][index.terms[tid[begin:end]] == window])
-            spans = [np.arange(index.heads[m], index.heads[m + 1]) for m in mine]
-            posts = np.concatenate(spans)
+            size = index.heads[mine + 1] - index.heads[mine]
+            posts = np.repeat(index.heads[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
             score = np.bincount(index.items[posts], index.impacts[posts], minlength=len(index.ids))
             grams, last = None, k
         for i in range(block * BLOCK, min((block + 1) * BLOCK, len(index.ids))):
