@@ -10,6 +10,8 @@ the rest is computed exactly.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +22,9 @@ from triagelake.llm.components import components
 from triagelake.llm.store import materialize
 
 #: Bands of a code, bits of a band. At cosine 0.98 two codes agree in a bit with probability 0.936,
-#: so a pair meets in some band with probability 0.9999 at least.
-BANDS = 24
-BITS = 14
+#: so a pair meets in some band with probability 0.99999 at least.
+BANDS = 32
+BITS = 18
 #: Width of the confidence bound in standard deviations of the estimate.
 WIDTH = 6.0
 #: Vectors compared with as many others at a time.
@@ -30,6 +32,7 @@ BLOCK = 512
 SEED = 11
 
 
+@lru_cache(maxsize=16)
 def rotations(dim: int) -> np.ndarray:
     """As many random rotations as the bands need bits, one below the other."""
     rng = np.random.default_rng(SEED)
@@ -40,45 +43,36 @@ def rotations(dim: int) -> np.ndarray:
     return np.vstack(out)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal length as a matrix, and which rows of the column they are."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
-    count = column.value_lengths().to_numpy(zero_copy_only=False)
-    return flat, count
+def _doubles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """All components of a column of lists, one after the other."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _codes(batches):
-    """vec_id, label, embedding -> one row for each band, by vectors that can link."""
+    """name, embedding -> the key of every band, for vectors whose length is a finite number above zero."""
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        label = b.column(1).to_numpy(zero_copy_only=False)
-        count = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64)
+        names = b.column(0).to_numpy(zero_copy_only=False)
+        count = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = _doubles(b.column(1))
         ends = np.cumsum(count)
         for dim in np.unique(count):
-            if dim == 0:
-                continue
             rows = np.flatnonzero(count == dim)
             x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
             norm = np.sqrt((x * x).sum(axis=1))
             good = np.isfinite(norm) & (norm > 0)
-            rows, x = rows[good], x[good] / norm[good][:, None]
-            if not len(rows):
-                continue
-            turn = rotations(int(dim))
-            bits = (x @ turn.T)[:, : BANDS * BITS] > 0
-            band = bits.reshape(len(rows), BANDS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
-            code = pa.array([v.tobytes() for v in band.astype(np.uint16)], pa.binary())
-            for k in range(BANDS):
-                n = len(rows)
-                yield pa.record_batch(
-                    [pa.array(ids[rows]), pa.array(label[rows].astype(np.int64)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(band[:, k]), code, raw],
-                    names=["vec_id", "label", "dim", "band", "key", "code", "unit"],
-                )
+            rows, x = rows[good], x[good]
+            bits = (_unit(x) @ rotations(int(dim)).T)[:, : BANDS * BITS] > 0
+            keys = bits.reshape(len(rows), BANDS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, keys.astype(np.int32).ravel())
+            yield pa.record_batch([pa.array(names[rows]), pa.array(np.full(len(rows), dim, np.int32)), lists], names=["name", "dim", "keys"])
 
 
-_CODED = "vec_id long, label long, dim int, band int, key long, code binary, unit binary"
+_CODED = "name long, dim int, keys array<int>"
 
 
 def _compare(band: int, same: np.ndarray, i: np.ndarray, j: np.ndarray, code: np.ndarray, unit: np.ndarray, threshold: float):
@@ -116,8 +110,8 @@ def _linker(threshold: float):
         side = table.column("side").to_numpy()
         weight = table.column("copies").to_numpy()
         n = len(ids)
-        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16).reshape(n, BANDS)
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(n, dim)
+        code = _doubles(table.column("keys")).astype(np.int32).reshape(n, BANDS)
+        unit = _unit(_doubles(table.column("embedding")).reshape(n, dim))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         single = not len(right) or not len(left)
         left, right = (np.arange(n), np.arange(n)) if single else (left, right)
@@ -168,12 +162,14 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = materialize(rows.select("vec_id", "label", "name", F.when(F.col("name").isNotNull(), F.col("embedding")).alias("embedding")), "vectors")
     classes = rows.filter("name is not null").groupBy("name").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = materialize(classes, "classes")
-    coded = materialize(classes.select("name", "label", "embedding").mapInArrow(_codes, _CODED).withColumnRenamed("vec_id", "name"), "codes")
+    coded = materialize(classes.select("name", "embedding").mapInArrow(_codes, _CODED), "codes")
+    coded = coded.join(classes.select("name", "label", "copies", "embedding"), "name")
     bucket = ["label", "dim", "band", "key"]
-    crowd = coded.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    met = coded.join(crowd, bucket).join(classes.select("name", "copies"), "name")
+    places = coded.select("name", "label", "dim", F.posexplode("keys").alias("band", "key"))
+    crowd = places.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    met = places.join(crowd, bucket).join(coded.select("name", "copies", "keys", "embedding"), "name")
     met = met.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "name"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("name").alias("vec_id"), "copies", "code", "unit")
+    met = met.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("name").alias("vec_id"), "copies", "keys", "embedding")
     found = materialize(met.groupBy(*bucket, "i", "j").applyInArrow(_linker(threshold), "kind int, u long, v long"), "links")
     reach = components(found.filter("kind = 1").select("u", "v")).toDF("name", "root")
     links = found.filter("kind = 0").groupBy(F.col("u").alias("name")).agg(F.sum("v").alias("links"))
