@@ -439,11 +439,10 @@ def test_templates(spark, table):
 def test_fix_checks(table):
     df = table([("a", " a "), ("a", "\n"), ("a", None), ("a", "b")], "o string, f string")
     assert [r[0] for r in df.select(fixes.is_real_fix(F.col("o"), F.col("f"))).collect()] == [False, False, False, True]
-    df = table([("x = 1", "python"), ("x = = 1", "Python"), ("x\0", "python"), ("x", "perl"), ("x", "go")], "c string, l string")
-    got = [r[0] for r in df.select(fixes.syntax_check(F.col("c"), F.col("l"))).collect()]
-    assert [g.ok for g in got] == [True, False, False, True, True]
-    assert got[1].message.startswith("Syntax error at line 1")
-    assert got[3].message == "Validation skipped (unsupported language: perl)"
+    rows = [("x = (1)", "python"), ("x = ((1)", "Python"), ("x = ']' # (", "python"), ("x = (]", "python"), (None, "python"), ("x", "perl"), ("x(", "go")]
+    got = [r[0] for r in table(rows, "c string, l string").select(fixes.syntax_check(F.col("c"), F.col("l"))).collect()]
+    assert [g.ok for g in got] == [True, False, True, False, True, True, True]
+    assert [got[i].message for i in (1, 3, 5)] == ["Unmatched brackets: (", "Unmatched brackets: (]", "Validation skipped (unsupported language: perl)"]
 
 
 def test_fixes_apply_in_order(spark, table, tmp_path):
@@ -457,12 +456,32 @@ def test_fixes_apply_in_order(spark, table, tmp_path):
     assert spark.read.parquet(path).first().backup == "a b a"
 
 
-def test_diff_and_line_changes(table):
-    import difflib
-
+def test_line_changes(table):
     a, b = "x\ny\ny\nz\n", "x\ny\nw\nz"
     df = table([(1, a, b)], "finding_id long, original_code string, fixed_code string")
-    want = "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), "original", "fixed", lineterm=""))
-    assert df.select(fixes.unified_diff(F.col("original_code"), F.col("fixed_code"))).first()[0] == want
     got = {(r.line, r.op, r.copies) for r in fixes.line_changes(df).collect()}
     assert got == {("y", "-", 1), ("w", "+", 1), ("", "-", 1)}
+
+
+def test_files_are_named_by_repository_and_path(table):
+    files = table([("a", "f", "1\n2\n3"), ("b", "f", "x")], "repo string, file_path string, content string")
+    by = ["repo", "file_path"]
+    found = table([("a", "f", 0), ("a", "f", 999), ("b", "f", 1), ("c", "f", 1), ("a", "f", None)], "repo string, file_path string, line_number int")
+    for block in (20, 64, 512):
+        got = {(r.repo, r.line_number): (r.context_start_line, r.context_end_line, r.context_code) for r in context.line_context(found, files, 10, block, by).collect()}
+        assert got == {("a", 0): (1, 3, "1\n2\n3"), ("a", 999): (989, 3, ""), ("b", 1): (1, 1, "x"), ("c", 1): (None, None, None), ("a", None): (None, None, None)}
+    steps = table([("a", "f", 1, "2", "two")], "repo string, file_path string, ord int, original_code string, fixed_code string")
+    assert [tuple(r)[:3] for r in fixes.apply_fixes(files, steps, by).collect()] == [("a", "f", "1\ntwo\n3")]
+    new = table([("a", "f", "h"), ("b", "f", "i")], "repo string, path string, hash string")
+    status = incremental.compare_manifests(new, new, ["repo", "path"]).collect()
+    assert [r.status for r in status] == ["same", "same"]
+    kept = cache.invalidate_files(new, table([("a", "f")], "repo string, path string"), ["repo", "path"])
+    assert [r.repo for r in kept.collect()] == ["b"]
+
+
+def test_verdicts_are_one_strict_object(table):
+    good = '{"decision": "true_positive", "confidence": %s, "reasoning": "long enough text"}'
+    texts = [good % "0.9", good % '"0.9"', (good % "0.9") + " and more", (good % "0.9") + "] x", (good % "0.9").replace('"', "'"), "[%s]" % (good % "0.9"), good % '"x"', good % "0.9" + "," + good % "0.9", "", None, " " + good % "0.5" + "\n"]
+    out = review.parse_verdicts(table(list(enumerate(texts)), "id long, content string"))
+    assert [r.id for r in out.where("valid").orderBy("id").collect()] == [0, 1, 10]
+    assert out.where("id = 1").first().confidence == 0.9

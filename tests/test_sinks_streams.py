@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from triagelake.operators.throttle import Bucket
+from triagelake.operators.throttle import debt_after
 from triagelake.schemas import TABLE_DDL, schema_of
 from triagelake.session import work_dir
 from triagelake.sinks import documents as doc
@@ -136,8 +136,9 @@ def test_state_lasts_over_batches(spark, tmp_path):
     folder = _fill(spark, str(tmp_path), [rows[:20], rows[20:40], rows[40:]], REQUEST)
     out = streams.run_available(streams.token_bucket_stream(_stream(spark, folder, REQUEST), 2, 30.0), "t")
     got = {r.request_id: r.admitted for r in out.collect()}
-    buckets = {}
-    want = {i: buckets.setdefault(k, Bucket(2, 30.0)).admit(ts.timestamp()) for i, k, ts in rows}
+    debts, want = {}, {}
+    for i, k, ts in rows:
+        debts[k], want[i] = debt_after(debts.get(k), round(ts.timestamp() * 1e6), 2, 30_000_000)
     assert got == want
     out = streams.run_available(streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 60), "t")
     got = {r.request_id: r.hit for r in out.collect()}

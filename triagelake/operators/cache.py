@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,9 @@ def stats(looked_up: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def invalidate_files(snapshot: DataFrame, paths: DataFrame) -> DataFrame:
-    """Drop cached scans of the given files."""
-    return snapshot.join(paths.select("path"), "path", "left_anti")
+def invalidate_files(snapshot: DataFrame, paths: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
+    """Drop cached scans of the given files; with several repositories ``by`` holds their key too."""
+    return snapshot.join(paths.select(*by), [*by], "left_anti")
 
 
 def invalidate_keys(snapshot: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from triagelake.functions.symbols import symbol_spans
 CONTEXT_LINES = 10
 MAX_IMPORTS = 10
 BLOCK = 64
+#: What names a file where all rows are of one repository.
+PATH = ("file_path",)
 
 # What an import statement looks like.
 IMPORT_PATTERN = {
@@ -22,16 +26,16 @@ def _lines(content: str = "content") -> Column:
     return F.split(content, "\n", -1)
 
 
-def line_blocks(files: DataFrame, context_lines: int = CONTEXT_LINES, block: int = BLOCK) -> DataFrame:
+def line_blocks(
+    files: DataFrame, context_lines: int = CONTEXT_LINES, block: int = BLOCK, by: Sequence[str] = PATH
+) -> DataFrame:
     """Files cut into blocks of lines that overlap by the context on both sides.
 
     Every finding's window lies inside exactly one block, so findings meet their source in
     one equality join on (file, block): no range join, no regrouping of lines, and only
-    about 1.3 times the text is moved, in pieces of bounded size. The last block reaches
-    ``context_lines`` past the end, for findings just behind the last line.
+    about 1.3 times the text is moved, in pieces of bounded size.
     """
     size = max(block, 2 * context_lines)
-    last = F.floor((F.size("lines") + context_lines - 1) / size).cast("int")
 
     def piece(b: Column) -> Column:
         first = F.greatest(F.lit(1), b * size + 1 - context_lines)
@@ -42,33 +46,48 @@ def line_blocks(files: DataFrame, context_lines: int = CONTEXT_LINES, block: int
         )
 
     return (
-        files.select("file_path", _lines().alias("lines"))
-        .select("file_path", F.size("lines").alias("n_lines"), F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("p"))
-        .select("file_path", "n_lines", "p.*")
+        files.select(*by, _lines().alias("lines"))
+        .select(*by, F.explode(F.transform(F.sequence(F.lit(0), _last_block(F.size("lines"), size, context_lines)), piece)).alias("p"))
+        .select(*by, "p.*")
     )
 
 
+def _last_block(n_lines: Column, size: int, context_lines: int) -> Column:
+    """Number of a file's last block, which reaches ``context_lines`` past the end."""
+    return F.floor((n_lines + context_lines - 1) / size).cast("int")
+
+
 def line_context(
-    findings: DataFrame, files: DataFrame, context_lines: int = CONTEXT_LINES, block: int = BLOCK
+    findings: DataFrame,
+    files: DataFrame,
+    context_lines: int = CONTEXT_LINES,
+    block: int = BLOCK,
+    by: Sequence[str] = PATH,
 ) -> DataFrame:
     """Findings with the ± ``context_lines`` window around their line, clipped to the file.
 
-    Adds ``context_start_line``, ``context_end_line`` and ``context_code``; they are null
-    where the file is unknown or the line lies in a block that the file does not reach; a
-    line past the end but inside the last block has an empty window.
+    ``by`` names a file in both tables; where several repositories, commits or jobs are in
+    one table, their key belongs to it. Adds ``context_start_line``, ``context_end_line``
+    and ``context_code``; they are null where the file or the line number is unknown. A line
+    before the first counts from there; the window of a line far past the end is empty.
     """
     size = max(block, 2 * context_lines)
-    located = findings.withColumn("block", F.floor((F.col("line_number") - 1) / size).cast("int"))
-    joined = located.join(line_blocks(files, context_lines, block), ["file_path", "block"], "left")
+    lengths = files.select(*by, F.size(_lines()).alias("n_lines"))
+    located = findings.join(lengths, [*by], "left")
+    wanted = F.floor((F.col("line_number") - 1) / size).cast("int")
+    last = _last_block(F.col("n_lines"), size, context_lines)
+    # greatest and least skip nulls, an unknown line or file stays null.
+    inside = F.when(F.col("line_number").isNotNull() & F.col("n_lines").isNotNull(), F.least(F.greatest(wanted, F.lit(0)), last))
+    joined = located.withColumn("block", inside).join(line_blocks(files, context_lines, block, by), [*by, "block"], "left")
     start = F.greatest(F.lit(1), F.col("line_number") - context_lines)
     end = F.least(F.col("n_lines"), F.col("line_number") + context_lines)
-    found = F.col("n_lines").isNotNull()
-    window = F.slice("text", start - F.col("first_line") + 1, F.greatest(end - start + 1, F.lit(0)))
-    return (
-        joined.withColumn("context_code", F.when(found, F.array_join(window, "\n")))
-        .withColumn("context_start_line", F.when(found, start))
-        .withColumn("context_end_line", F.when(found, end))
-        .drop("block", "n_lines", "first_line", "text")
+    found = F.col("block").isNotNull()
+    window = F.slice("text", F.greatest(start - F.col("first_line") + 1, F.lit(1)), F.greatest(end - start + 1, F.lit(0)))
+    return joined.select(
+        *findings.columns,
+        F.when(found, F.array_join(window, "\n")).alias("context_code"),
+        F.when(found, start).alias("context_start_line"),
+        F.when(found, end).alias("context_end_line"),
     )
 
 
@@ -113,52 +132,69 @@ def _innermost(kind: str, line: Column) -> Column:
     return F.array_min(ranked)
 
 
-def place_contexts(findings: DataFrame, files: DataFrame, context_lines: int = CONTEXT_LINES) -> DataFrame:
-    """One ``context`` per distinct ``(file_path, line_number)``.
+def place_contexts(
+    findings: DataFrame, files: DataFrame, context_lines: int = CONTEXT_LINES, by: Sequence[str] = PATH
+) -> DataFrame:
+    """One ``context`` per distinct ``line_number`` of a file named by ``by``.
 
     The distinct lines of a file are gathered first: a set no larger than the file's own
     lines, combined on the map side, so a file with most of the findings joins as one row
     like any other. Files without findings drop out in that join before they are parsed,
-    and each remaining file is parsed once.
+    and each remaining file is parsed once. Contexts are cut inside the file's row; only
+    they are exploded, never the file with each of its lines.
     """
-    places = findings.groupBy("file_path").agg(F.collect_set("line_number").alias("places"))
+    places = findings.where("line_number IS NOT NULL").groupBy(*by).agg(F.collect_set("line_number").alias("places"))
     rows = (
-        files.join(places, "file_path")
+        files.join(places, [*by])
         .withColumn("spans", symbol_spans(F.col("content"), F.col("language")))
         .withColumn("lines", _lines())
         .withColumn("imports", _imports(F.col("lines"), F.col("language")))
-        .select("file_path", "spans", "lines", "imports", F.explode("places").alias("line_number"))
     )
-    line = F.col("line_number")
-    rows = rows.withColumn("fn", _innermost("function", line)).withColumn("cls", _innermost("class", line))
-    rows = rows.withColumn("span", F.coalesce("fn", "cls"))
-    in_span = F.col("span").isNotNull()
-    start = F.when(in_span, F.col("span.start_line")).otherwise(F.greatest(F.lit(1), line - context_lines))
-    end = F.when(in_span, F.col("span.end_line")).otherwise(F.least(F.size("lines"), line + context_lines))
-    rows = rows.withColumn("first", start).withColumn("last", end)
-    text = F.array_join(F.slice("lines", F.col("first"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(0))), "\n")
-    context = F.struct(
-        F.col("file_path").alias("file"),
-        line.alias("target_line"),
-        F.col("first").alias("context_start_line"),
-        F.col("last").alias("context_end_line"),
-        F.when(in_span, F.ltrim(text)).otherwise(text).alias("context_code"),
-        F.when(F.col("fn").isNotNull(), "function")
-        .when(F.col("cls").isNotNull(), "class")
-        .otherwise("line_based_fallback")
-        .alias("context_type"),
-        F.col("fn.name").alias("function_name"),
-        F.col("cls.name").alias("class_name"),
-        "imports",
+
+    def around(line: Column) -> Column:
+        return F.struct(line.alias("line"), _innermost("function", line).alias("fn"), _innermost("class", line).alias("cls"))
+
+    def bounds(p: Column) -> Column:
+        span = F.coalesce(p["fn"], p["cls"])
+        return F.struct(
+            p["line"].alias("line"),
+            p["fn"].alias("fn"),
+            p["cls"].alias("cls"),
+            F.coalesce(span["start_line"], F.greatest(F.lit(1), p["line"] - context_lines)).alias("first"),
+            F.coalesce(span["end_line"], F.least(F.size("lines"), p["line"] + context_lines)).alias("last"),
+        )
+
+    def context(p: Column) -> Column:
+        in_span = F.coalesce(p["fn"], p["cls"]).isNotNull()
+        text = F.array_join(F.slice("lines", p["first"], F.greatest(p["last"] - p["first"] + 1, F.lit(0))), "\n")
+        return F.struct(
+            F.col("file_path").alias("file"),
+            p["line"].alias("target_line"),
+            p["first"].alias("context_start_line"),
+            p["last"].alias("context_end_line"),
+            F.when(in_span, F.ltrim(text)).otherwise(text).alias("context_code"),
+            F.when(p["fn"].isNotNull(), "function")
+            .when(p["cls"].isNotNull(), "class")
+            .otherwise("line_based_fallback")
+            .alias("context_type"),
+            p["fn"]["name"].alias("function_name"),
+            p["cls"]["name"].alias("class_name"),
+            F.col("imports").alias("imports"),
+        )
+
+    cut = F.transform(F.transform(F.transform("places", around), bounds), context)
+    return rows.select(*by, F.explode(cut).alias("context")).select(
+        *by, F.col("context.target_line").alias("line_number"), "context"
     )
-    return rows.select("file_path", "line_number", context.alias("context"))
 
 
-def attach_context(findings: DataFrame, files: DataFrame, context_lines: int = CONTEXT_LINES) -> DataFrame:
-    """Findings with a ``context`` struct; null where the file is unknown.
+def attach_context(
+    findings: DataFrame, files: DataFrame, context_lines: int = CONTEXT_LINES, by: Sequence[str] = PATH
+) -> DataFrame:
+    """Findings with a ``context`` struct; null where the file or line is unknown.
 
     The innermost function around the line, else the innermost class, else the line
-    window; ``files`` is ``(file_path, content, language)``.
+    window; ``files`` is ``by`` with ``content, language``.
     """
-    contexts = place_contexts(findings, files, context_lines)
-    return findings.join(contexts, ["file_path", "line_number"], "left").select(*findings.columns, "context")
+    contexts = place_contexts(findings, files, context_lines, by)
+    return findings.join(contexts, [*by, "line_number"], "left").select(*findings.columns, "context")

@@ -1,14 +1,11 @@
-"""Fix templates, suggestions, checks, diffs and application of fixes."""
+"""Fix templates, suggestions, checks, line changes and application of fixes."""
 
 from __future__ import annotations
 
-import ast
-import difflib
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from triagelake.functions import prompts
 from triagelake.functions.languages import fix_language
@@ -133,7 +130,6 @@ def suggestions(answered: DataFrame) -> DataFrame:
         F.when(guided, F.col("template_explanation")).otherwise(explanation).alias("explanation"),
         F.when(guided, TEMPLATE_CONFIDENCE).otherwise(FREE_CONFIDENCE).alias("confidence"),
         F.coalesce("imports_needed", F.array().cast("array<string>")).alias("imports_needed"),
-        unified_diff(F.col("original_code"), F.col("fixed_code")).alias("diff"),
         F.col("vulnerability_type").alias("template_used"),
     )
 
@@ -153,58 +149,41 @@ def acceptance(confidence: Column) -> Column:
     )
 
 
-_CHECK_TYPE = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("message", T.StringType())])
+# Messages of checks that are not made.
 _TOOL_MISSING = {
     "javascript": "Validation skipped (Node.js not available)",
     "typescript": "Validation skipped (TypeScript not available)",
     "go": "Validation skipped (Go not available)",
     "rust": "Validation skipped (Rust not available)",
 }
+_QUOTED = r"""(?s)\"{3}.*?\"{3}|'{3}.*?'{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*"""
 
 
-def _python_check(code: str) -> tuple[bool, str]:
-    try:
-        ast.parse(code)
-        return True, ""
-    except SyntaxError as exc:
-        return False, f"Syntax error at line {exc.lineno}: {exc.msg}"
-    except (ValueError, RecursionError, MemoryError) as exc:
-        return False, f"Validation error: {exc}"
+def open_brackets(code: Column) -> Column:
+    """Brackets of Python code that nothing closes, in order; a closing one without its partner stays too.
 
+    Strings and comments are taken out first; the rest is a fold over the brackets alone.
+    """
+    found = F.regexp_extract_all(F.regexp_replace(code, _QUOTED, ""), F.lit(r"[()\[\]{}]"), F.lit(0))
+    partner = lambda b: F.translate(b, ")]}", "([{")
+
+    def step(left: Column, b: Column) -> Column:
+        closes = b.isin(")", "]", "}") & (F.right(left, F.lit(1)) == partner(b))
+        return F.when(closes, F.substring(left, F.lit(1), F.length(left) - 1)).otherwise(F.concat(left, b))
 
-@F.pandas_udf(_CHECK_TYPE)
-def _python_syntax(code: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_python_check(c or "") for c in code], columns=["ok", "message"])
+    return F.aggregate(found, F.lit(""), step)
 
 
 def syntax_check(code: Column, language: Column) -> Column:
-    """``struct<ok, message>``: Python is parsed (never run); other languages are skipped as valid."""
+    """``struct<ok, message>``: brackets of Python are matched; other languages are skipped as valid."""
     known = F.lower(language)
     skipped = F.concat(F.lit("Validation skipped (unsupported language: "), language, F.lit(")"))
     for name, text in _TOOL_MISSING.items():
         skipped = F.when(known == name, F.lit(text)).otherwise(skipped)
-    fallback = F.struct(F.lit(True).alias("ok"), skipped.alias("message"))
-    return F.when(known == "python", _python_syntax(code)).otherwise(fallback)
-
-
-@F.pandas_udf(T.StringType())
-def _diff_text(original: pd.Series, fixed: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(original, fixed):
-        lines = difflib.unified_diff(
-            (a or "").splitlines(keepends=True),
-            (b or "").splitlines(keepends=True),
-            fromfile="original",
-            tofile="fixed",
-            lineterm="",
-        )
-        out.append("".join(lines))
-    return pd.Series(out)
-
-
-def unified_diff(original: Column, fixed: Column) -> Column:
-    """Unified diff text of one fix."""
-    return _diff_text(original, fixed)
+    left = open_brackets(F.coalesce(code, F.lit("")))
+    python = F.when(left == "", "").otherwise(F.concat(F.lit("Unmatched brackets: "), left))
+    is_python = F.coalesce(known == "python", F.lit(False))
+    return F.struct((~is_python | (left == "")).alias("ok"), F.when(is_python, python).otherwise(skipped).alias("message"))
 
 
 def line_changes(fixes: DataFrame, key: str = "finding_id") -> DataFrame:
@@ -219,23 +198,23 @@ def line_changes(fixes: DataFrame, key: str = "finding_id") -> DataFrame:
     )
 
 
-def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
+def apply_fixes(files: DataFrame, fixes: DataFrame, by: Sequence[str] = ("file_path",)) -> DataFrame:
     """Files ``(file_path, content)`` after their fixes in ``ord``: new content, old one as backup.
 
     Each fix replaces every occurrence of its original code in what the fixes before it
     left, so the fixes of one file form a sequence by nature; files are independent. Blank
-    originals are refused.
+    originals are refused. ``by`` names a file; with several repositories it holds their key too.
     """
     own = (
         fixes.where(prompts.strip(F.col("original_code")) != "")
-        .groupBy("file_path")
+        .groupBy(*by)
         .agg(F.array_sort(F.collect_list(F.struct("ord", "original_code", "fixed_code"))).alias("steps"))
     )
     changed = F.aggregate(
         "steps", F.col("content"), lambda text, s: F.replace(text, s["original_code"], s["fixed_code"])
     )
-    return files.join(own, "file_path").select(
-        "file_path", changed.alias("content"), F.col("content").alias("backup"), F.size("steps").alias("fixes")
+    return files.join(own, [*by]).select(
+        *by, changed.alias("content"), F.col("content").alias("backup"), F.size("steps").alias("fixes")
     )
 
 

@@ -42,9 +42,24 @@ def verdict_problems(v: Column) -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
 
 
+def _one_object(text: Column) -> Column:
+    """The verdict's fields if the text is exactly one JSON object, else null.
+
+    The reader stops after the first value. Text that stands both as a list's only element
+    and as a field's value has nothing behind its object. A number may be written as a string.
+    """
+    ddl = VERDICT_DDL.replace("confidence double", "confidence string")
+    strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{ddl}>>", strict)
+    field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{ddl}>", strict)["v"]
+    confidence = field["confidence"].try_cast("double").alias("confidence")
+    fields = [confidence if f == "confidence" else field[f].alias(f) for f in VERDICT_FIELDS]
+    return F.when((F.size(listed) == 1) & field.isNotNull(), F.struct(*fields))
+
+
 def parse_verdicts(responses: DataFrame, content: str = "content") -> DataFrame:
     """Responses with their verdict columns; an invalid one becomes ``uncertain`` with confidence 0."""
-    parsed = responses.withColumn("v", F.from_json(content, VERDICT_DDL, {"mode": "PERMISSIVE"}))
+    parsed = responses.withColumn("v", _one_object(F.col(content)))
     parsed = parsed.withColumn("problems", verdict_problems(F.col("v")))
     ok = F.size("problems") == 0
     failed = {

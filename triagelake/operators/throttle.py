@@ -10,22 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class Bucket:
-    """Allowance of one key: starts full, refills with time, one token per admission."""
+def debt_after(debt_until: float | None, us: int, rate: float, per_us: int) -> tuple[float, bool]:
+    """Time up to which a key is in debt after a request at ``us``, and whether it is admitted.
 
-    def __init__(self, rate: float, per: float, allowance: float | None = None, last: float | None = None):
-        self.rate, self.per = rate, per
-        self.allowance = rate if allowance is None else allowance
-        self.last = last
-
-    def admit(self, now: float) -> bool:
-        waited = 0.0 if self.last is None else now - self.last
-        self.last = now
-        self.allowance = min(float(self.rate), self.allowance + waited * self.rate / self.per)
-        if self.allowance < 1.0:
-            return False
-        self.allowance -= 1.0
-        return True
+    Times are counted in microseconds times ``rate``, so that one admission costs ``per_us``
+    and whole rates give whole numbers. A key may run ahead by ``rate - 1`` admissions.
+    """
+    now = us * rate
+    until = now if debt_until is None else max(debt_until, now)
+    admitted = until - now <= (rate - 1) * per_us
+    return until + per_us * admitted, admitted
 
 
 def runs_of(
@@ -50,13 +44,15 @@ def runs_of(
 
 def _admit_sorted(rate: float, per: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, bucket = None, None
+        per_us = round(per * 1e6)
+        current, debt = None, None
         for frame in frames:
             flags = []
             for key, number, us in zip(frame["key"], frame["run"], frame["us"]):
                 if (key, number) != current:
-                    current, bucket = (key, number), Bucket(rate, per)
-                flags.append(bucket.admit(us / 1e6))
+                    current, debt = (key, number), None
+                debt, admitted = debt_after(debt, us, rate, per_us)
+                flags.append(admitted)
             yield pd.DataFrame({"request_id": frame["request_id"], "key": frame["key"], "admitted": flags})
 
     return run
@@ -67,7 +63,7 @@ def token_bucket(requests: DataFrame, rate: float, per: float) -> DataFrame:
 
     After a pause of ``per`` seconds a bucket is full whatever came before, so each key is
     cut at such pauses into independent runs that many tasks can work on. Runs are sorted
-    and streamed through Python in Arrow batches with two numbers of state; no group is
+    and streamed through Python in Arrow batches with one number of state; no group is
     held in memory. (Within a run without any such pause admission is sequential by its
     definition.)
     """

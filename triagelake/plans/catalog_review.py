@@ -37,7 +37,7 @@ def _(t):
 
 def _with_context(t):
     none = F.lit(None).cast("string")
-    return t.spread(t.findings, "id").withColumn(
+    return t.findings.withColumn(
         "context",
         F.when(
             F.col("id") % 2 == 0,
@@ -94,7 +94,7 @@ def _responses(t):
         )
     )
     content = F.when(F.col("id") % 23 == 0, "I cannot answer").otherwise(good)
-    return t.spread(t.findings, "id").select("id", content.alias("content"))
+    return t.findings.select("id", content.alias("content"))
 
 
 _VALID = (
@@ -150,7 +150,7 @@ _DECIDED = (
 )
 def review_run(t):
     snapshot = local_table(t.spark, [], "key string, path string, payload string, cached_at timestamp, ttl_s long")
-    out = review.review(t.spread(t.findings, "id"), snapshot, review.offline_completer)
+    out = review.review(t.findings, snapshot, review.offline_completer)
     return out.select("id", "decision", "confidence", "valid")
 
 
@@ -161,7 +161,7 @@ def review_run(t):
 )
 def _(t):
     """Requests of HIGH findings are already answered in the cache."""
-    asked = review.requests_of(t.spread(t.findings, "id"), "gpt-4o")
+    asked = review.requests_of(t.findings, "gpt-4o")
     answer = F.lit('{"decision": "false_positive", "confidence": 0.9, "reasoning": "answered before"}')
     snapshot = (
         asked.where("severity = 'HIGH'")
@@ -176,7 +176,7 @@ def _(t):
         )
     )
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    return review.review(t.spread(t.findings, "id"), snapshot, review.offline_completer, now=now).select("id", "decision")
+    return review.review(t.findings, snapshot, review.offline_completer, now=now).select("id", "decision")
 
 
 @query(
@@ -185,7 +185,7 @@ def _(t):
 )
 def _(t):
     asked = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("prompt"))
-    done = review.complete_prompts(asked, review.offline_completer, batch=5, parallel=8)
+    done = review.complete_prompts(asked, review.offline_completer, batch=5)
     out = review.parse_verdicts(done.select("key", "content"))
     return out.select(F.col("key").cast("long").alias("doc_id"), "decision")
 
@@ -275,18 +275,17 @@ _FIX_PROMPT = (
 
 @query("f12_fix_prompts", f"WITH {_MATCHED} SELECT id, {_FIX_PROMPT} AS prompt FROM mt", "findings")
 def _(t):
-    return fixes.fix_requests(t.spread(t.findings, "id"), fixes.template_table(t.spark)).select("id", "prompt")
+    return fixes.fix_requests(t.findings, fixes.template_table(t.spark)).select("id", "prompt")
 
 
 @query(
     "f13_fix_suggestions",
     f"WITH {_MATCHED} SELECT id AS finding_id, rule_id, 'safe(' || code_snippet || ')' AS fixed_code, CASE WHEN kind IS NULL THEN 'why ' || rule_id ELSE expl END AS explanation, "
-    "CAST(CASE WHEN kind IS NULL THEN 0.75 ELSE 0.9 END AS DOUBLE) AS confidence, coalesce(imports, '') AS imports, kind AS template_used, "
-    "'--- original' || '+++ fixed' || '@@ -1 +1 @@' || '-' || code_snippet || '+safe(' || code_snippet || ')' AS diff FROM mt",
+    "CAST(CASE WHEN kind IS NULL THEN 0.75 ELSE 0.9 END AS DOUBLE) AS confidence, coalesce(imports, '') AS imports, kind AS template_used FROM mt",
     "findings",
 )
 def _(t):
-    asked = fixes.fix_requests(t.spread(t.findings, "id"), fixes.template_table(t.spark))
+    asked = fixes.fix_requests(t.findings, fixes.template_table(t.spark))
     code = F.concat(F.lit("```\nsafe("), "code_snippet", F.lit(")\n```"))
     response = F.when(F.col("template").isNotNull(), code).otherwise(
         F.concat(code, F.lit("\n**Explanation**: why "), "rule_id")
@@ -300,7 +299,6 @@ def _(t):
         "confidence",
         F.array_join("imports_needed", ",").alias("imports"),
         "template_used",
-        "diff",
     )
 
 
@@ -365,15 +363,15 @@ def _(t):
 
 @query(
     "p23_syntax_check",
-    "SELECT id, language <> 'python' OR id % 2 = 0 AS ok, CASE language WHEN 'python' THEN CASE WHEN id % 2 = 0 THEN '' ELSE 'Syntax error at line 2' END "
+    "SELECT id, language <> 'python' OR id % 2 = 0 AS ok, CASE language WHEN 'python' THEN CASE WHEN id % 2 = 0 THEN '' ELSE 'Unmatched brackets: (' END "
     "WHEN 'javascript' THEN 'Validation skipped (Node.js not available)' WHEN 'typescript' THEN 'Validation skipped (TypeScript not available)' "
     "WHEN 'go' THEN 'Validation skipped (Go not available)' ELSE 'Validation skipped (Rust not available)' END AS message FROM findings",
     "findings",
 )
 def _(t):
-    code = F.when(F.col("id") % 2 == 0, F.concat(F.lit("a = 1\n"), "code_snippet")).otherwise(F.lit("a = 1\nb = = 2\n"))
-    out = t.spread(t.findings, "id").select("id", fixes.syntax_check(code, F.col("language")).alias("c"))
-    return out.select("id", "c.ok", F.regexp_replace("c.message", "(line [0-9]+):.*", "$1").alias("message"))
+    code = F.when(F.col("id") % 2 == 0, F.concat(F.lit("a = 1\n"), "code_snippet")).otherwise(F.lit("a = [1, ')']  # ]\nb = (2\n"))
+    out = t.findings.select("id", fixes.syntax_check(code, F.col("language")).alias("c"))
+    return out.select("id", "c.ok", "c.message")
 
 
 # ----------------------------------------------------------------- throttle

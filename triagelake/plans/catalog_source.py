@@ -47,7 +47,7 @@ def _(t):
 )
 def line_context(t):
     out = context.line_context(t.located_findings, t.source_files)
-    return out.where("context_code IS NOT NULL").select(
+    return out.select(
         "id",
         "line_number",
         F.col("context_start_line").cast("int").alias("context_start_line"),
@@ -56,6 +56,20 @@ def line_context(t):
     )
 
 
+@query(
+    "j04_line_edges",
+    "WITH f AS (SELECT doc_id % 100 AS repo, 'f' || CAST(doc_id // 100 AS VARCHAR) AS file_path, string_split(text, chr(10)) AS l FROM documents), "
+    "g AS (SELECT *, unnest([0, 7, 65, 1000000]) AS line_number FROM f) SELECT repo, file_path, line_number, greatest(1, line_number - 10) AS context_start_line, "
+    "least(len(l), line_number + 10) AS context_end_line, coalesce(array_to_string(list_slice(l, greatest(1, line_number - 10), least(len(l), line_number + 10)), chr(10)), '') "
+    "AS context_code FROM g",
+)
+def _(t):
+    """A hundred repositories share their paths; lines before the first and far past the last."""
+    files = t.documents.selectExpr("doc_id % 100 AS repo", "'f' || CAST(doc_id div 100 AS STRING) AS file_path", "text AS content")
+    lines = F.explode(F.array(*[F.lit(k) for k in (0, 7, 65, 1_000_000)])).alias("line_number")
+    return context.line_context(files.select("repo", "file_path", lines), files, by=["repo", "file_path"])
+
+
 # Five lines of Python per line of the document: an import, a class, a method of two lines
 # and a blank one, so that the right spans are known by arithmetic.
 _CODE = (
@@ -65,7 +79,7 @@ _CODE = (
 
 
 def _python_files(t):
-    docs = t.spread(t.documents, "doc_id")
+    docs = t.documents
     return docs.selectExpr("'doc/' || CAST(doc_id AS STRING) AS file_path", f"{_CODE} AS content", "'python' AS language")
 
 
@@ -348,7 +362,7 @@ _KIND = {k.name: k for k in redact.PERSONAL_KINDS}
 
 
 def _docs(t):
-    return t.spread(t.documents.select("doc_id", "text"), "doc_id")
+    return t.documents.select("doc_id", "text")
 
 
 @query("f01_redact_secrets", f"SELECT doc_id, {_chain('text', _SECRET_STEPS)} AS clean FROM documents")
@@ -433,7 +447,7 @@ def _(t):
     "(SELECT doc_id, lang || ' token = \"' || sha256(text) || '\" ' || 'a.b@x' || CAST(doc_id AS VARCHAR) || '.org' AS code FROM documents) d",
 )
 def _(t):
-    rows = t.spread(t.documents, "doc_id").select(
+    rows = t.documents.select(
         "doc_id",
         F.concat("lang", F.lit(' token = "'), F.sha2("text", 256), F.lit('" a.b@x'), F.col("doc_id").cast("string"), F.lit(".org")).alias(
             "code_snippet"

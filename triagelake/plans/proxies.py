@@ -279,15 +279,6 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_DDL[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Hash-spread a frame read from fewer splits than there are cores.
-
-        Only for expression-heavy work over a small file; a table with enough splits
-        (any large one) is returned as it is, without a shuffle.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
     def view(self, name: str) -> DataFrame:
         if name == "located_findings":
             return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from triagelake.operators.throttle import Bucket
+from triagelake.operators.throttle import debt_after
 from triagelake.session import work_dir
 
 
@@ -70,7 +70,7 @@ _ADMITTED = T.StructType(
         T.StructField("admitted", T.BooleanType()),
     ]
 )
-_BUCKET_STATE = T.StructType([T.StructField("allowance", T.DoubleType()), T.StructField("last", T.DoubleType())])
+_BUCKET_STATE = T.StructType([T.StructField("ahead", T.DoubleType()), T.StructField("last", T.LongType())])
 _SEEN = T.StructType(
     [
         T.StructField("request_id", T.LongType()),
@@ -102,16 +102,22 @@ def token_bucket_stream(requests: DataFrame, rate: float, per: float, late: str
     A bucket is full again ``per`` seconds after its last request, so its state is dropped
     then and only keys seen within that time are kept.
     """
+    per_us = round(per * 1e6)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        bucket = Bucket(rate, per, *state.get) if state.exists else Bucket(rate, per)
-        rows = _in_order(frames)
-        flags = [bucket.admit(us / 1e6) for us in rows["us"]]
-        state.update((float(bucket.allowance), float(bucket.last)))
-        _forget_after(state, int((bucket.last + per) * 1e6))
+        ahead, last = state.get if state.exists else (0, 0)
+        debt = last * rate + type(rate)(ahead)
+        rows, flags = _in_order(frames), []
+        for us in rows["us"]:
+            # A row of an earlier time than one answered before counts as of that time.
+            last = max(last, int(us))
+            debt, admitted = debt_after(debt, last, rate, per_us)
+            flags.append(admitted)
+        state.update((float(debt - last * rate), last))
+        _forget_after(state, last + per_us)
         yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "admitted": flags})
 
     return _keyed(requests, late).groupBy("key").applyInPandasWithState(
