@@ -10,6 +10,7 @@ from triagelake.functions import languages, severity
 from triagelake.operators import (
     cache, compliance, context, costs, feedback, findings, fixes, incremental, metrics, ordered, review, rules, throttle,
 )
+from triagelake.plans.proxies import offline_completer
 from triagelake.sources import deliveries, tree
 
 T0 = datetime(2024, 1, 1)
@@ -405,7 +406,7 @@ def test_review_asks_each_prompt_once(spark, table, tmp_path):
     )
     empty = table([], "key string, path string, payload string, cached_at timestamp, ttl_s long")
     path = str(tmp_path / "responses")
-    out = review.review(fd, empty, review.offline_completer, responses_path=path)
+    out = review.review(fd, empty, offline_completer, responses_path=path)
     assert out.count() == 41
     fresh = spark.read.parquet(path)
     assert fresh.count() == 2
@@ -485,3 +486,19 @@ def test_verdicts_are_one_strict_object(table):
     out = review.parse_verdicts(table(list(enumerate(texts)), "id long, content string"))
     assert [r.id for r in out.where("valid").orderBy("id").collect()] == [0, 1, 10]
     assert out.where("id = 1").first().confidence == 0.9
+
+
+def test_stored_costs_are_read_by_month(spark, table, tmp_path):
+    rows = table([(datetime(2024, m, 5), "openai") for m in range(1, 9)], "timestamp timestamp, provider string")
+    path = str(tmp_path / "costs")
+    costs.write_costs(rows, path)
+    kept = costs.in_range(spark.read.parquet(path), datetime(2024, 3, 1), datetime(2024, 4, 30))
+    assert kept.count() == 2
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_missing_path_meets_an_empty_name(table):
+    found = table([(1, 1, None), (2, 1, "a.py"), (3, 2, None)], "id long, scan_job_id long, file_path string")
+    names = table([(1, ""), (2, "b.py")], "scan_job_id long, file_name string")
+    assert sorted(r.id for r in findings.in_pr_files(found, names).collect()) == [1, 2]

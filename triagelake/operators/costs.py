@@ -83,10 +83,16 @@ def in_range(
     entries: DataFrame, start: datetime | None = None, end: datetime | None = None, provider: str | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Entries from ``start`` (default: first of the month of ``now``) to ``end`` (default ``now``)."""
+    """Entries from ``start`` (default: first of the month of ``now``) to ``end`` (default ``now``).
+
+    Of entries stored by :func:`write_costs` only the folders of these months are read.
+    """
     now = now or datetime.now(UTC).replace(tzinfo=None)
     start = start or datetime(now.year, now.month, 1)
-    rows = entries.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") <= F.lit(end or now)))
+    end = end or now
+    rows = entries.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") <= F.lit(end)))
+    if "month" in entries.columns:
+        rows = rows.where(F.col("month").between(start.strftime("%Y-%m"), end.strftime("%Y-%m")))
     return rows if provider is None else rows.where(F.col("provider") == provider)
 
 
@@ -160,10 +166,11 @@ def retained(entries: DataFrame, now: Column, days: int = RETENTION_DAYS) -> Dat
     """Entries of months whose newest entry is not older than the retention period.
 
     Retention renews with each write to a month, so a month lives ``days`` past its last entry.
+    The expired months are broadcast: there are at most twelve a year, whatever the entries.
     """
     months = entries.groupBy(month_of(F.col("timestamp")).alias("__month")).agg(F.max("timestamp").alias("__last"))
     expired = months.where(F.col("__last") + F.make_dt_interval(F.lit(days)) < now).select("__month")
-    return entries.join(expired, month_of(F.col("timestamp")) == F.col("__month"), "left_anti")
+    return entries.join(F.broadcast(expired), month_of(F.col("timestamp")) == F.col("__month"), "left_anti")
 
 
 def write_costs(entries: DataFrame, path: str) -> None:

@@ -42,16 +42,18 @@ def in_pr_files(findings: DataFrame, pr_files: DataFrame) -> DataFrame:
     Paths repeat a lot within a scan, so the containment test runs once per distinct
     (job, path), joined on the job, and the findings are then kept by an equality semi
     join. A semi join stops at the first match and emits no pairs; a hot job is split by
-    the adaptive skew join, which may split the left side of a semi join.
+    the adaptive skew join, which may split the left side of a semi join. A missing path
+    counts as an empty one.
     """
-    paths = findings.select("scan_job_id", "file_path").distinct()
+    findings = findings.withColumn("__path", F.coalesce("file_path", F.lit("")))
+    paths = findings.select("scan_job_id", "__path").distinct()
     files = pr_files.select("scan_job_id", F.col("file_name").alias("__name")).distinct()
     hit = paths.alias("p").join(
         files.alias("f"),
-        (F.col("p.scan_job_id") == F.col("f.scan_job_id")) & F.contains(F.col("p.file_path"), F.col("f.__name")),
+        (F.col("p.scan_job_id") == F.col("f.scan_job_id")) & F.contains(F.col("p.__path"), F.col("f.__name")),
         "left_semi",
     )
-    return findings.join(hit, ["scan_job_id", "file_path"], "left_semi")
+    return findings.join(hit, ["scan_job_id", "__path"], "left_semi").drop("__path")
 
 
 def first_per_job(findings: DataFrame, order: list[str], n: int = 10) -> DataFrame:

@@ -72,26 +72,6 @@ def parse_verdicts(responses: DataFrame, content: str = "content") -> DataFrame:
     return parsed.select(*kept, ok.alias("valid"), *out)
 
 
-def offline_completer(texts: list[str]) -> list[str | None]:
-    """Deterministic stand-in for a model: decides by words in the request."""
-    import json
-
-    answers: list[str | None] = []
-    for text in texts:
-        body = text.split("SAST Finding to Verify", 1)[-1].split("Your Task", 1)[0]
-        if "Hardcoded password" in body:
-            verdict = {"decision": "true_positive", "confidence": 0.95, "severity": "high"}
-        elif "Graphic cache" in body:
-            answers.append("no answer")
-            continue
-        elif "Unchecked buffer" in body:
-            verdict = {"decision": "false_positive", "confidence": 0.8}
-        else:
-            verdict = {"decision": "uncertain", "confidence": 0.5}
-        answers.append(json.dumps({**verdict, "reasoning": "Decided by a word in the request."}))
-    return answers
-
-
 def _complete(complete: Completer, batch: int, prefix: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

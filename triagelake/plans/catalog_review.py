@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import prompts
 from triagelake.operators import fixes, review, throttle
+from triagelake.plans.proxies import offline_completer
 from triagelake.plans.registry import query
 from triagelake.session import local_table
 
@@ -150,7 +151,7 @@ _DECIDED = (
 )
 def review_run(t):
     snapshot = local_table(t.spark, [], "key string, path string, payload string, cached_at timestamp, ttl_s long")
-    out = review.review(t.findings, snapshot, review.offline_completer)
+    out = review.review(t.findings, snapshot, offline_completer)
     return out.select("id", "decision", "confidence", "valid")
 
 
@@ -176,7 +177,7 @@ def _(t):
         )
     )
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    return review.review(t.findings, snapshot, review.offline_completer, now=now).select("id", "decision")
+    return review.review(t.findings, snapshot, offline_completer, now=now).select("id", "decision")
 
 
 @query(
@@ -185,7 +186,7 @@ def _(t):
 )
 def _(t):
     asked = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("prompt"))
-    done = review.complete_prompts(asked, review.offline_completer, batch=5)
+    done = review.complete_prompts(asked, offline_completer, batch=5)
     out = review.parse_verdicts(done.select("key", "content"))
     return out.select(F.col("key").cast("long").alias("doc_id"), "decision")
 

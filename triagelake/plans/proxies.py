@@ -6,6 +6,8 @@ Spark SQL and in ANSI SQL, so the DataFrame plans and their checks start from eq
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,6 +268,24 @@ def with_views(sql: str, views: list[str]) -> str:
     return head + ", ".join(parts) + " " + text
 
 
+def offline_completer(texts: list[str]) -> list[str | None]:
+    """Deterministic stand-in for a model, for queries and tests: decides by words in the request."""
+    answers: list[str | None] = []
+    for text in texts:
+        body = text.split("SAST Finding to Verify", 1)[-1].split("Your Task", 1)[0]
+        if "Hardcoded password" in body:
+            verdict = {"decision": "true_positive", "confidence": 0.95, "severity": "high"}
+        elif "Graphic cache" in body:
+            answers.append("no answer")
+            continue
+        elif "Unchecked buffer" in body:
+            verdict = {"decision": "false_positive", "confidence": 0.8}
+        else:
+            verdict = {"decision": "uncertain", "confidence": 0.5}
+        answers.append(json.dumps({**verdict, "reasoning": "Decided by a word in the request."}))
+    return answers
+
+
 class Tables:
     """The test tables of one folder and the views above, as lazy DataFrames."""
 

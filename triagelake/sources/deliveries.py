@@ -19,7 +19,7 @@ SCANNED_REFS = ["refs/heads/main", "refs/heads/master"]
 
 def parse(deliveries: DataFrame) -> DataFrame:
     """Body fields of ``(delivery_id, event, body, …)``."""
-    parsed = deliveries.withColumn("b", F.from_json("body", BODY_DDL, {"mode": "PERMISSIVE"}))
+    parsed = deliveries.withColumn("b", F.from_json("body", BODY_DDL, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}))
     return parsed.select(
         *[F.col(c) for c in deliveries.columns],
         F.col("b.action").alias("action"),

@@ -57,7 +57,7 @@ def _shape(df: DataFrame, **values: Column | str | int) -> DataFrame:
 
 def _entries(reports: DataFrame, ddl: str, path: str | Callable[[Column], Column]) -> DataFrame:
     """Parse ``content`` as JSON and number the elements of one of its arrays as ``e``."""
-    parsed = F.from_json("content", ddl, {"mode": "PERMISSIVE"})
+    parsed = F.from_json("content", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     pick = path(parsed) if callable(path) else parsed[path]
     return reports.select("report_id", F.posexplode(pick).alias("ord", "e"))
 
@@ -97,7 +97,7 @@ def _eslint_messages(reports: DataFrame) -> DataFrame:
         "message:string,line:int,source:string>>>>"
     )
     files = reports.select(
-        "report_id", F.posexplode(F.from_json("content", ddl, {"mode": "PERMISSIVE"})).alias("i", "f")
+        "report_id", F.posexplode(F.from_json("content", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})).alias("i", "f")
     )
     rows = files.select(
         "report_id", "i", _or(F.col("f.filePath"), "").alias("path"), F.posexplode("f.messages").alias("j", "e")
@@ -204,7 +204,7 @@ def _json_lines(reports: DataFrame, ddl: str) -> DataFrame:
     """One row per non-blank line; a line that is no JSON object gives a null struct field."""
     lines = reports.select("report_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("ord", "line"))
     return lines.where(F.trim("line") != "").select(
-        "report_id", "ord", "line", F.from_json("line", ddl, {"mode": "PERMISSIVE"}).alias("e")
+        "report_id", "ord", "line", F.from_json("line", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).alias("e")
     )
 
 
@@ -370,7 +370,7 @@ def parse_pip_audit(reports: DataFrame) -> DataFrame:
 
 def parse_npm_audit(reports: DataFrame) -> DataFrame:
     """Records keep their JSON text, so ``via`` may hold strings and ``fixAvailable`` a boolean."""
-    parsed = F.from_json("content", "vulnerabilities map<string,string>", {"mode": "PERMISSIVE"})
+    parsed = F.from_json("content", "vulnerabilities map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     rows = reports.select("report_id", F.posexplode(parsed["vulnerabilities"]).alias("ord", "package", "record"))
     field = lambda path: F.get_json_object("record", path)
     return _shape(

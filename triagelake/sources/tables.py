@@ -54,7 +54,7 @@ def read_jdbc(
 def parse_rule_lists(batches: DataFrame) -> DataFrame:
     """Rules of JSON lists ``(batch_id, content)``, ``ord`` keeping their place; enabled by default."""
     rows = batches.select(
-        "batch_id", F.posexplode(F.from_json("content", RULE_LIST_DDL, {"mode": "PERMISSIVE"})).alias("ord", "r")
+        "batch_id", F.posexplode(F.from_json("content", RULE_LIST_DDL, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})).alias("ord", "r")
     )
     return rows.select("batch_id", F.col("ord").cast("long").alias("ord"), "r.*").withColumn(
         "enabled", F.coalesce("enabled", F.lit(True))
