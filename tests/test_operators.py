@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake.functions import languages, severity
+from triagelake.functions.symbols import symbol_spans
 from triagelake.operators import (
     cache, compliance, context, costs, feedback, findings, fixes, incremental, metrics, ordered, review, rules, throttle,
 )
@@ -375,8 +376,28 @@ def test_token_bucket_against_plain_loop(table, rate, per):
 def test_runs_split_the_hot_key(table):
     rows = [(i, "hot", T0 + timedelta(seconds=i * 100)) for i in range(50)]
     df = table(rows, "request_id long, key string, ts timestamp")
-    assert throttle.runs_of(df, 100).select("run").distinct().count() == 50
-    assert throttle.runs_of(df, 101).select("run").distinct().count() == 1
+    runs = lambda rate, per: throttle.runs_of(df, rate, per).select("run").distinct().count()
+    assert runs(1, 100) == 50
+    # No full pause of 300 seconds, but three admissions in it keep up with the requests.
+    assert runs(3, 300) == 50
+    assert runs(1, 101) == 1
+
+
+def test_runs_start_where_nothing_is_owed(table):
+    rng = random.Random(5)
+    rows, now = [], 0
+    for i in range(400):
+        now += rng.choice([0, 1, 3, 10, 90])
+        rows.append((i, "hot", T0 + timedelta(seconds=now)))
+    got = {r.request_id: r.run for r in throttle.runs_of(table(rows, "request_id long, key string, ts timestamp"), 2, 30).collect()}
+    debt, cuts = 0.0, set()
+    for i, _, ts in rows:
+        at = ts.timestamp()
+        if at >= debt:
+            cuts.add(i)
+        debt = max(debt, at) + 15
+    starts = {i for i, _, _ in rows if i == 0 or got[i] != got[i - 1]}
+    assert starts <= cuts and len(starts) > 20
 
 
 # ---------------------------------------------------------------- review
@@ -460,8 +481,78 @@ def test_fixes_apply_in_order(spark, table, tmp_path):
 def test_line_changes(table):
     a, b = "x\ny\ny\nz\n", "x\ny\nw\nz"
     df = table([(1, a, b)], "finding_id long, original_code string, fixed_code string")
-    got = {(r.line, r.op, r.copies) for r in fixes.line_changes(df).collect()}
-    assert got == {("y", "-", 1), ("w", "+", 1), ("", "-", 1)}
+    got = sorted((r.op, r.line_number, r.line) for r in fixes.line_changes(df).collect())
+    assert got == [("+", 3, "w"), ("+", 4, "z"), ("-", 3, "y"), ("-", 4, "z"), ("-", 5, "")]
+
+
+@pytest.mark.parametrize(
+    "a,b,changes",
+    [
+        ("a\nb\nc", "c\nb\na", {("-", 1, "a"), ("-", 2, "b"), ("-", 3, "c"), ("+", 1, "c"), ("+", 2, "b"), ("+", 3, "a")}),
+        ("a\na", "a\na\na", {("+", 3, "a")}),
+        ("a\nb", "a\nb", set()),
+        ("", "x", {("-", 1, ""), ("+", 1, "x")}),
+        (None, "x", set()),
+    ],
+)
+def test_line_changes_are_one_hunk(table, a, b, changes):
+    df = table([(1, a, b)], "finding_id long, original_code string, fixed_code string")
+    out = fixes.line_changes(df)
+    assert {(r.op, r.line_number, r.line) for r in out.collect()} == changes
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+PYTHON = '''import os
+
+class A(Base):
+    """Text
+that stands left of its class.
+    """
+
+    async def f(
+        self,
+    ):
+        if x:
+            return {
+                1: 2,
+            }
+
+    @decorated
+    def g(self): return 1
+
+def h():
+    def inner():
+        pass
+    return inner
+x = 1
+'''
+SCRIPT = '''export default class Box extends Base {
+  constructor(a, b) {
+    if (a) {
+      run();
+    }
+  }
+
+  static async load(x) {
+    return x;
+  }
+}
+const go = async (x) => {
+  return x;
+};
+function one() { return 1; }
+'''
+
+
+def test_symbol_spans(table):
+    df = table([(1, PYTHON, "Python"), (2, SCRIPT, "javascript"), (3, "fn a() {}", "rust"), (4, None, "python"), (5, "", "python")], "i long, code string, lang string")
+    out = df.select("i", symbol_spans(F.col("code"), F.col("lang")).alias("s")).collect()
+    got = {r.i: sorted((s.start_line, s.end_line, s.kind, s.name) for s in r.s) for r in out}
+    assert got[1] == [(3, 17, "class", "A"), (8, 14, "function", "f"), (17, 17, "function", "g"), (19, 22, "function", "h"), (20, 21, "function", "inner")]
+    assert got[2] == [
+        (1, 11, "class", "Box"), (2, 6, "function", "constructor"), (8, 10, "function", "load"), (12, 14, "function", None), (15, 15, "function", "one"),
+    ]
+    assert got[3] == got[4] == got[5] == []
 
 
 def test_files_are_named_by_repository_and_path(table):

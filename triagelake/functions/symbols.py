@@ -1,103 +1,95 @@
-"""Functions and classes of one source text (the per-row helper behind ``symbol_spans``)."""
+"""Functions and classes of source texts, found by their heads and their indentation.
 
-from __future__ import annotations
+All native expressions: the lines of a text are folded once, with the symbols still open as the
+state, so a text costs its lines times the depth of its nesting.
+"""
 
-import ast
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SPANS_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("kind", T.StringType()),
-            T.StructField("name", T.StringType()),
-            T.StructField("start_line", T.IntegerType()),
-            T.StructField("end_line", T.IntegerType()),
-        ]
-    )
-)
-
-_JS_HEAD = re.compile(
-    r"""(?P<class>\bclass\s+(?P<cname>[\w$]+)?)
-      | (?P<func>\bfunction\b\s*\*?\s*(?P<fname>[\w$]+)?\s*\()
-      | (?P<arrow>=>)
-      | (?P<method>^[ \t]*(?:async\s+|static\s+|get\s+|set\s+)*(?P<mname>[\w$]+)\s*\([^(){};]*\)\s*(?=\{))""",
-    re.VERBOSE | re.MULTILINE,
-)
-_JS_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.DOTALL)
-_JS_NOT_METHODS = {"if", "for", "while", "switch", "catch", "with", "return", "function"}
-
-
-def python_spans(code: str) -> list[dict]:
-    found = []
-    for node in ast.walk(ast.parse(code)):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            kind = "function"
-        elif isinstance(node, ast.ClassDef):
-            kind = "class"
-        else:
-            continue
-        found.append({"kind": kind, "name": node.name, "start_line": node.lineno, "end_line": node.end_lineno})
-    return found
-
-
-def javascript_spans(code: str) -> list[dict]:
-    """Brace matching over the text with comments and strings blanked out."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
-    text = _JS_NOISE.sub(blank, code)
-    line_of = [0]
-    for ch in text:
-        line_of.append(line_of[-1] + (ch == "\n"))
-    closes, stack = {}, []
-    for i, ch in enumerate(text):
-        if ch == "{":
-            stack.append(i)
-        elif ch == "}" and stack:
-            closes[stack.pop()] = i
-    found = []
-    for m in _JS_HEAD.finditer(text):
-        if m.group("mname") in _JS_NOT_METHODS:
-            continue
-        start = m.start() + (len(m.group()) - len(m.group().lstrip()))
-        opening = text.find("{", m.end() if not m.group("func") else m.end())
-        if m.group("arrow") and text[m.end() :].lstrip()[:1] != "{":
-            continue
-        if opening not in closes:
-            continue
-        name = m.group("cname") or m.group("fname") or m.group("mname")
-        found.append(
-            {
-                "kind": "class" if m.group("class") else "function",
-                "name": name,
-                "start_line": line_of[start] + 1,
-                "end_line": line_of[closes[opening]] + 1,
-            }
-        )
-    return found
-
-
-_FINDERS = {"python": python_spans, "javascript": javascript_spans}
 
+_OPEN = "array<struct<kind:string,name:string,start_line:int,indent:int>>"
+_SPANS = "array<struct<kind:string,name:string,start_line:int,end_line:int>>"
+
+#: Head of a symbol at the start of a line, by language; group 1 is set for classes, the others name it.
+_HEADS = {
+    "python": r"^\s*(?:(class)|(?:async\s+)?def)\s+(\w+)",
+    "javascript": (
+        r"^\s*(?:(?:export|default|async|static|get|set)\s+)*(?:(class)\s+(?!extends\b)([\w$]+)"
+        r"|function\b\s*\*?\s*([\w$]*)\s*\("
+        r"|(?:const|let|var)\s+[\w$]+\s*=\s*(?:async\s+)?(?:function\b|(?:\([^()]*\)|[\w$]+)\s*=>\s*\{)"
+        r"|(?!(?:if|for|while|switch|catch|with|return|function)\b)([\w$]+)\s*\([^(){};]*\)\s*\{)"
+    ),
+}
+_NAME_GROUPS = {"python": (2,), "javascript": (2, 3, 4)}
+#: What begins and ends a string of several lines.
+_QUOTES = {"python": "\"{3}|'{3}", "javascript": "`"}
+
+
+def _described(code: Column, language: str) -> Column:
+    head, quotes = F.lit(_HEADS[language]), F.lit(_QUOTES[language])
+
+    def line(text: Column, i: Column) -> Column:
+        group = lambda k: F.regexp_extract(text, _HEADS[language], k)
+        name = F.concat(*[group(k) for k in _NAME_GROUPS[language]])
+        return F.struct(
+            (i + 1).alias("no"),
+            F.ltrim(text, F.lit(" \t")).alias("text"),
+            (F.length(text) - F.length(F.ltrim(text, F.lit(" \t")))).alias("indent"),
+            F.when(F.rlike(text, head), F.when(group(1) != "", "class").otherwise("function")).alias("kind"),
+            F.when(name != "", name).alias("name"),
+            (F.regexp_count(text, quotes) % 2 == 1).alias("turns"),
+        )
 
-def _spans(code: str | None, language: str | None) -> list[dict]:
-    finder = _FINDERS.get((language or "").lower())
-    if finder is None or not code:
-        return []
-    try:
-        return finder(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    return F.transform(F.split(code, "\r?\n", -1), line)
+
+
+def _spans(code: Column, language: str) -> Column:
+    def step(state: Column, s: Column) -> Column:
+        blank = F.rlike(s["text"], F.lit(r"^\s*$"))
+        brace = F.startswith(s["text"], F.lit("}"))
+        # A closing bracket at the start of a line goes on with what is open; only braces of blocks end it.
+        goes_on = F.rlike(s["text"], F.lit(r"^[)\]}]" if language == "python" else r"^[)\]]"))
+        closes = ~(state["quoted"] | blank | goes_on)
+        ended = F.transform(
+            F.filter(state["open"], lambda o: o["indent"] >= s["indent"]),
+            lambda o: F.struct(
+                o["kind"].alias("kind"),
+                o["name"].alias("name"),
+                o["start_line"].alias("start_line"),
+                F.when(brace & (o["indent"] == s["indent"]), s["no"]).otherwise(state["last"]).alias("end_line"),
+            ),
+        )
+        left = F.when(closes, F.filter(state["open"], lambda o: o["indent"] < s["indent"])).otherwise(state["open"])
+        new = F.array(F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["no"].alias("start_line"), s["indent"].alias("indent")))
+        return F.struct(
+            F.when(closes & s["kind"].isNotNull(), F.concat(left, new)).otherwise(left).cast(_OPEN).alias("open"),
+            F.when(closes & (F.size(state["open"]) > 0), F.concat(state["done"], ended)).otherwise(state["done"]).cast(_SPANS).alias("done"),
+            F.when(blank, state["last"]).otherwise(s["no"]).alias("last"),
+            (state["quoted"] != s["turns"]).alias("quoted"),
+        )
 
+    def finish(state: Column) -> Column:
+        rest = F.transform(
+            state["open"],
+            lambda o: F.struct(o["kind"].alias("kind"), o["name"].alias("name"), o["start_line"].alias("start_line"), state["last"].alias("end_line")),
+        )
+        return F.concat(state["done"], rest).cast(_SPANS)
 
-@F.pandas_udf(SPANS_TYPE)
-def _symbol_spans(code: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([_spans(c, lang) for c, lang in zip(code, language)])
+    start = F.struct(
+        F.array().cast(_OPEN).alias("open"), F.array().cast(_SPANS).alias("done"), F.lit(0).alias("last"), F.lit(False).alias("quoted")
+    )
+    return F.aggregate(_described(code, language), start, step, finish)
 
 
 def symbol_spans(code: Column, language: Column) -> Column:
-    """Spans of functions and classes; a text that does not parse has none."""
-    return _symbol_spans(code, language)
+    """``array<struct<kind, name, start_line, end_line>>`` of the functions and classes of a text.
+
+    A symbol reaches from its head to the last line before one that is indented no deeper; in JavaScript
+    the line with its closing brace belongs to it. Lines inside strings of several lines end nothing. Code whose
+    indentation does not follow its nesting gets spans by its indentation. Other languages and null have none.
+    """
+    text, name = F.coalesce(code, F.lit("")), F.lower(language)
+    none = F.array().cast(_SPANS)
+    return F.when(name == "python", _spans(text, "python")).when(name == "javascript", _spans(text, "javascript")).otherwise(none)

@@ -187,15 +187,27 @@ def syntax_check(code: Column, language: Column) -> Column:
 
 
 def line_changes(fixes: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Removed and added lines per fix, with how often: one aggregation, no pairing of lines."""
-    side = lambda c, sign: F.transform(
-        F.split(c, "\n", -1), lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign"))
-    )
-    lines = fixes.select(key, F.explode(F.concat(side("original_code", -1), side("fixed_code", 1))).alias("x"))
-    net = lines.groupBy(key, "x.line").agg(F.sum("x.sign").alias("net")).where("net <> 0")
-    return net.select(
-        key, "line", F.when(F.col("net") > 0, "+").otherwise("-").alias("op"), F.abs("net").alias("copies")
-    )
+    """``key, op, line_number, line``: the lines a fix removes (-) and adds (+), numbered in their own text.
+
+    Lines that both texts begin or end with are kept; all between them is one hunk, so a
+    line that moves is removed and added. Found inside the row: no line is shuffled.
+    """
+    sides = fixes.select(key, F.split("original_code", "\n", -1).alias("old"), F.split("fixed_code", "\n", -1).alias("new"))
+
+    def same_from_start(a: Column, b: Column) -> Column:
+        # Past the end of the shorter side the other line is null, which differs.
+        at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+    rows = sides.withColumn("head", same_from_start(F.col("old"), F.col("new")))
+    tail = F.least(same_from_start(F.reverse("old"), F.reverse("new")), F.size("old") - F.col("head"), F.size("new") - F.col("head"))
+    rows = rows.withColumn("tail", tail)
+
+    def hunk(side: str, op: str) -> Column:
+        lines = F.slice(side, F.col("head") + 1, F.size(side) - F.col("head") - F.col("tail"))
+        return F.transform(lines, lambda x, i: F.struct(F.lit(op).alias("op"), (F.col("head") + i + 1).alias("line_number"), x.alias("line")))
+
+    return rows.select(key, F.explode(F.concat(hunk("old", "-"), hunk("new", "+"))).alias("c")).select(key, "c.*")
 
 
 def apply_fixes(files: DataFrame, fixes: DataFrame, by: Sequence[str] = ("file_path",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,24 +23,29 @@ def debt_after(debt_until: float | None, us: int, rate: float, per_us: int) -> t
     return until + per_us * admitted, admitted
 
 
-def runs_of(
-    requests: DataFrame, quiet_seconds: float, key: str = "key", ts: str = "ts"
-) -> DataFrame:
-    """Number the runs of a key that are separated by at least ``quiet_seconds`` (``run``).
+def runs_of(requests: DataFrame, rate: float, per: float) -> DataFrame:
+    """Number the runs of a key (``run``): at the start of each, the bucket is full whatever came before.
 
-    Time is cut into slices of ``quiet_seconds``. A pause that long always crosses into
-    another slice, so only the first row of a slice can start a run, and the earliest and
-    latest time of each slice decide it: the window runs over that summary, not the rows.
+    If every request were admitted, a key would be in debt until the largest, over the earlier
+    requests, of their time plus the cost of all from there on. Where that has passed,
+    so has the real debt. Time is cut into slices of one admission; a slice is summed up by its
+    first time, its number of requests and its own debt, and the window runs over that
+    summary, not the rows. Costs are rounded up, so a cut is never too early.
     """
-    quiet = int(quiet_seconds * 1_000_000)
-    timed = requests.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
-    timed = timed.withColumn("slice", F.floor(F.col("us") / quiet))
-    order = Window.partitionBy(key).orderBy("slice")
-    summary = timed.groupBy(key, "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    gap = F.col("first") - F.lag("last").over(order)
-    summary = summary.withColumn("starts", F.when(gap.isNull() | (gap >= quiet), 1).otherwise(0))
-    summary = summary.select(key, "slice", F.sum("starts").over(order).alias("run"))
-    return timed.join(summary, [key, "slice"]).drop("slice")
+    cost = ceil(round(per * 1_000_000) / rate)
+    timed = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("slice", F.floor(F.col("us") / cost))
+    # Requests of a slice from this one on; ties may stand in any order here.
+    later = F.row_number().over(Window.partitionBy("key", "slice").orderBy(F.col("us").desc()))
+    summary = timed.select("key", "slice", "us", (F.col("us") + later * F.lit(cost).cast("long")).alias("debt"))
+    summary = summary.groupBy("key", "slice").agg(F.min("us").alias("first"), F.count("*").alias("n"), F.max("debt").alias("debt"))
+    order = Window.partitionBy("key").orderBy("slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Debts are compared as of the first slice: later costs are taken off, and put back for the slice that asks.
+    summary = summary.withColumn("spent", F.sum("n").over(order) * F.lit(cost).cast("long"))
+    debt = F.max(F.col("debt") - F.col("spent")).over(before) + F.col("spent") - F.col("n") * F.lit(cost).cast("long")
+    summary = summary.withColumn("starts", F.when(debt.isNull() | (debt <= F.col("first")), 1).otherwise(0))
+    summary = summary.select("key", "slice", F.sum("starts").over(order).alias("run"))
+    return timed.join(summary, ["key", "slice"]).drop("slice")
 
 
 def _admit_sorted(rate: float, per: float):
@@ -61,14 +67,13 @@ def _admit_sorted(rate: float, per: float):
 def token_bucket(requests: DataFrame, rate: float, per: float) -> DataFrame:
     """``(request_id, key, admitted)`` for requests ``(request_id, key, ts)``.
 
-    After a pause of ``per`` seconds a bucket is full whatever came before, so each key is
-    cut at such pauses into independent runs that many tasks can work on. Runs are sorted
-    and streamed through Python in Arrow batches with one number of state; no group is
-    held in memory. (Within a run without any such pause admission is sequential by its
-    definition.)
+    Each key is cut where its bucket is full whatever was admitted before, into independent runs
+    that many tasks can work on. Runs are sorted and streamed through Python in Arrow batches with
+    one number of state; no group is held in memory. (While a key asks for more than its rate
+    without a break, admission is sequential by its definition, and that stretch is one run.)
     """
     ordered = (
-        runs_of(requests, per)
+        runs_of(requests, rate, per)
         .select("key", "run", "us", "request_id")
         .repartition("key", "run")
         .sortWithinPartitions("key", "run", "us", "request_id")

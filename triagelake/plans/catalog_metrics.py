@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from triagelake.operators import compliance, costs, feedback, findings, metrics, rules
+from triagelake.operators import cache, compliance, costs, feedback, findings, metrics, rules
 from triagelake.plans.registry import query
 from triagelake.session import work_dir
 from triagelake.sinks import exports
@@ -576,14 +576,13 @@ def _(t):
 
 @query(
     "u02_distinct_cost_entries",
-    "SELECT DISTINCT provider, model, input_tokens, output_tokens, strftime(timestamp, '%Y-%m-%d') AS day FROM llm_calls",
+    "SELECT DISTINCT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp) FROM llm_calls",
     "llm_calls",
 )
 def _(t):
-    rows = t.llm_calls.select(
-        "provider", "model", "input_tokens", "output_tokens", F.date_format("timestamp", "yyyy-MM-dd").alias("day")
-    )
-    return costs.distinct_entries(rows)
+    """Whole entries, each of them there twice."""
+    out = costs.distinct_entries(t.llm_calls.unionByName(t.llm_calls))
+    return out.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
@@ -806,6 +805,54 @@ def _(t):
     )
 
 
+@query(
+    "a21_counter_cost",
+    f"WITH {_PRICED} SELECT provider, model, round(sum(cost_usd), 4) AS total FROM costed GROUP BY 1, 2",
+    "llm_calls",
+)
+def _(t):
+    out = costs.cost_by(t.llm_calls, ["provider", "model"])
+    return out.select("provider", "model", F.round("cost_usd", 4).alias("total"))
+
+
+_LOOKED = (
+    "ent AS (SELECT 'user' || CAST(user_id AS VARCHAR) AS key, ts AS cached_at FROM events WHERE event_type = 'purchase'), "
+    "look AS (SELECT r.request_id, coalesce(r.ts < e.cached_at + INTERVAL 86400 SECOND, FALSE) AS hit FROM requests r ASOF LEFT JOIN ent e "
+    "ON r.key = e.key AND r.ts >= e.cached_at)"
+)
+
+
+def _looked_up(t):
+    entries = t.events.where("event_type = 'purchase'").selectExpr(
+        "'user' || CAST(user_id AS STRING) AS key", "CAST(event_id AS STRING) AS payload", "CAST(ts AS TIMESTAMP) AS cached_at", "CAST(86400 AS BIGINT) AS ttl_s"
+    )
+    return cache.lookup(t.requests, entries)
+
+
+@query(
+    "a21_counter_cache",
+    f"WITH {_LOOKED} SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS total FROM look GROUP BY 1",
+    "requests",
+)
+def _(t):
+    looked = _looked_up(t).withColumn("outcome", F.when(F.col("hit"), "hit").otherwise("miss"))
+    return metrics.counter(looked, ["outcome"])
+
+
+@query(
+    "a22_dashboard_totals",
+    f"WITH {_PRICED}, {_LOOKED} SELECT 'scans' AS panel, CAST(count(*) AS DOUBLE) AS total FROM scan_jobs UNION ALL SELECT 'cost_usd', round(sum(cost_usd), 4) FROM costed UNION ALL "
+    "SELECT 'cache_hit_rate', round(count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE), 6) FROM look",
+    "llm_calls requests scan_jobs",
+)
+def _(t):
+    scans = t.scan_jobs.agg(F.count("*").cast("double").alias("total"))
+    cost = costs.cost_by(t.llm_calls, []).select(F.round("cost_usd", 4).alias("total"))
+    rate = _looked_up(t).agg(F.round(F.count_if("hit") / F.count("*"), 6).alias("total"))
+    parts = [p.select(F.lit(name).alias("panel"), "total") for name, p in (("scans", scans), ("cost_usd", cost), ("cache_hit_rate", rate))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "a23_token_rate",
     "SELECT strftime(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS window_start, provider, kind, "
@@ -840,7 +887,7 @@ def _quantile_sql(label: str, seconds: int) -> str:
     )
 
 
-for _label, _seconds in (("language", 300), ("provider", 3600)):
+for _label, _seconds in (("language", 300), ("provider", 300)):
 
     @query(f"a20_p95_duration_by_{_label}", _quantile_sql(_label, _seconds), "metric_samples")
     def _(t, label=_label, seconds=_seconds):

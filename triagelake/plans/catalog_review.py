@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from triagelake.functions import prompts
@@ -180,15 +182,22 @@ def _(t):
     return review.review(t.findings, snapshot, offline_completer, now=now).select("id", "decision")
 
 
+def _by_length(texts: list[str]) -> list[str]:
+    """Stand-in for a model whose answer depends on the whole text."""
+    kinds = ("true_positive", "false_positive", "uncertain")
+    return [json.dumps({"decision": kinds[len(x) % 3], "confidence": len(x) % 11 / 10, "reasoning": f"{len(x)} characters were read."}) for x in texts]
+
+
 @query(
     "h03_batched_completion",
-    "SELECT doc_id, 'uncertain' AS decision FROM documents",
+    "SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN 'true_positive' WHEN 1 THEN 'false_positive' ELSE 'uncertain' END AS decision, "
+    "CAST(length(text) % 11 AS DOUBLE) / 10 AS confidence, CAST(length(text) AS VARCHAR) || ' characters were read.' AS reasoning FROM documents",
 )
 def _(t):
     asked = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("prompt"))
-    done = review.complete_prompts(asked, offline_completer, batch=5)
+    done = review.complete_prompts(asked, _by_length, batch=5)
     out = review.parse_verdicts(done.select("key", "content"))
-    return out.select(F.col("key").cast("long").alias("doc_id"), "decision")
+    return out.select(F.col("key").cast("long").alias("doc_id"), "decision", "confidence", "reasoning")
 
 
 @query("f19_token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
@@ -305,10 +314,12 @@ def _(t):
 
 @query(
     "f14_line_changes",
-    "WITH o AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) a GROUP BY 1, 2), "
-    "f AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(replace(text, ', ', ',' || chr(10)), chr(10))) AS line FROM documents) b GROUP BY 1, 2), "
-    "d AS (SELECT coalesce(o.doc_id, f.doc_id) AS doc_id, coalesce(o.line, f.line) AS line, coalesce(f.n, 0) - coalesce(o.n, 0) AS net FROM o FULL JOIN f ON o.doc_id = f.doc_id AND o.line = f.line) "
-    "SELECT doc_id, line, CASE WHEN net > 0 THEN '+' ELSE '-' END AS op, abs(net) AS copies FROM d WHERE net <> 0",
+    "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS o, string_split(replace(text, ', ', ',' || chr(10)), chr(10)) AS f FROM documents), "
+    "h AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(o), len(f)) + 1), lambda i: o[i] IS DISTINCT FROM f[i])) - 1, len(o)) AS head, "
+    "coalesce(list_min(list_filter(range(1, greatest(len(o), len(f)) + 1), lambda i: list_reverse(o)[i] IS DISTINCT FROM list_reverse(f)[i])) - 1, len(o)) AS same FROM s), "
+    "g AS (SELECT *, least(same, len(o) - head, len(f) - head) AS tail FROM h) "
+    "SELECT doc_id, '-' AS op, CAST(i AS INT) AS line_number, o[i] AS line FROM (SELECT *, unnest(range(head + 1, len(o) - tail + 1)) AS i FROM g) a UNION ALL "
+    "SELECT doc_id, '+', CAST(i AS INT), f[i] FROM (SELECT *, unnest(range(head + 1, len(f) - tail + 1)) AS i FROM g) b",
 )
 def _(t):
     rows = t.documents.select(

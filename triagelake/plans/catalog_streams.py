@@ -58,7 +58,7 @@ _FLOOR = "strftime(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC'
 )
 def _(t):
     totals = streams.tumbling_totals(_instant(_live(t).metric_samples), ["provider"], F.col("amount"))
-    rows = streams.run_available(totals, "x02", "complete")
+    rows = streams.run_available(totals, "x02", "update", ["window_start", "provider"])
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
@@ -72,7 +72,7 @@ def _(t):
     totals = streams.tumbling_totals(
         _instant(_live(t).metric_samples), ["provider"], F.col("amount"), slide="30 seconds"
     )
-    rows = streams.run_available(totals, "x03", "complete")
+    rows = streams.run_available(totals, "x03", "update", ["window_start", "provider"])
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
