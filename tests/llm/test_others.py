@@ -45,6 +45,24 @@ def test_leaks(spark, table):
     assert decontaminate.remove_leaks(docs, bench.filter("false")).count() == len(rows)
 
 
+def test_leaks_with_signs_glued_to_items(table):
+    items = [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "Who of the four men built the first bridge over the river Elbe? Er."), (4, "Thon heron inesh tion ble swhe rand thly. He walks there.")]
+    rows, want = [], []
+    for k, (left, right) in enumerate([("***", "***"), ("((", ".&&&"), ("%%%", "$$$"), ("«", "»…"), ("“¡", "”—"), ("。", "！😀")]):
+        for i, text in items:
+            rows.append((10 * k + i, f"some words before {left}{text}{right} and some words after it"))
+            want.append((10 * k + i, i))
+    rows += [
+        (101, "Which planet of the solar system has the largest mass of all? Saturn, some say, and others name Neptune."),
+        (102, "Who of the four men built the first bridge over the river Elbe? Nobody knows."),
+        (103, "Thon heron inesh tion ble swhe rand thly! He often walks there."),
+    ]
+    docs = table(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, table(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [*want, (103, 4)]
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(docs, table(items, "item_id long, text string")).collect()) == [101, 102]
+
+
 def test_block_max_search_equals_scoring_all():
     """The passages retrieved are those that scoring every item finds."""
     import pyarrow as pa

@@ -7,7 +7,9 @@ with a billion distinct words share a hash with a probability of about three per
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +65,37 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, punctuation: bool = False) -> Words:
-    """Words of all texts; with ``punctuation``, ASCII punctuation parts words as blanks do."""
-    gap = _PUNCT if punctuation else _SPACE
+@cache
+def _signs() -> np.ndarray:
+    """For each code point whether it is a sign: punctuation, a symbol or a blank beyond ASCII."""
+    return np.array([c > 127 and unicodedata.category(chr(c))[0] in "PSZ" for c in range(0x110000)], bool)
+
+
+def _without_signs(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 with every byte of a sign beyond ASCII replaced by a blank, so that places stay."""
+    out = raw
+    for lo in range(0, len(raw), STEP):
+        part = raw[lo : lo + STEP]
+        for size, least, most, mask in ((2, 0xC2, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF5, 0x07)):
+            at = np.flatnonzero((part >= least) & (part < most)) + lo
+            at = at[at + size <= len(raw)]
+            code = raw[at].astype(np.int64) & mask
+            for k in range(1, size):
+                code = code << 6 | (raw[at + k] & 0x3F)
+            at = at[_signs()[np.minimum(code, 0x10FFFF)]]
+            if len(at):
+                out = out.copy() if out is raw else out
+                for k in range(size):
+                    out[at + k] = 32
+    return out
+
+
+def words_of(texts: pa.Array, punctuation: bool = False, signs: bool = False) -> Words:
+    """Words of all texts; with ``punctuation``, ASCII punctuation parts words as blanks do, with ``signs`` also all other Unicode punctuation, symbols and blanks."""
+    gap = _PUNCT if punctuation or signs else _SPACE
     raw, offsets = text_bytes(texts)
+    if signs:
+        raw = _without_signs(raw)
     n = len(raw)
     first = np.zeros(n + 1, bool)
     first[offsets] = True

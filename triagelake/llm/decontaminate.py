@@ -31,6 +31,8 @@ RETRIEVE = 0.5
 OVERLAP = 0.7
 #: Words of such a sequence.
 GRAM = 4
+#: An answer of fewer words has too few sequences for a share of them; its words next to the question count as well.
+FEW = 10
 #: Share of the lowest threshold that the terms left to the end may add up to.
 LATE = 0.3
 #: Bytes of item text indexed at a time; larger benchmarks are searched shard by shard.
@@ -49,10 +51,23 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def _grams(text: str) -> np.ndarray:
-    h = words_of(pa.array([text])).hash
+    h = words_of(pa.array([text]), signs=True).hash
     return np.unique(runs(h, min(GRAM, len(h)))) if len(h) else h
 
 
+def _short(answer: str) -> np.ndarray:
+    h = words_of(pa.array([answer]), signs=True).hash
+    return np.unique(h) if len(h) < FEW else h[:0]
+
+
+def _beside(window: np.ndarray, grams: np.ndarray, question: np.ndarray, answer: np.ndarray) -> float:
+    """Share of the words of a short answer that stand in the question's stretch of a passage, or at most ``FEW`` words before or after it."""
+    at = np.flatnonzero(np.isin(grams, question))
+    if not len(at):
+        return 0.0
+    return float(np.isin(answer, window[max(0, at[0] - FEW) : at[-1] + GRAM + FEW]).mean())
+
+
 @dataclass
 class Index:
     ids: np.ndarray
@@ -69,11 +84,13 @@ class Index:
     stride: int
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    #: Distinct words of the short answers; empty for others.
+    short: list[np.ndarray]
 
 
 def build(rows: list[tuple[int, str]]) -> Index | None:
     """The index of items with words; None without any."""
-    words = words_of(pa.array([t for _, t in rows], pa.string()))
+    words = words_of(pa.array([t for _, t in rows], pa.string()), signs=True)
     length = np.diff(words.bounds)
     keep = np.flatnonzero(length)
     if not len(keep):
@@ -102,13 +119,13 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     return Index(
         np.array([rows[i][0] if rows[i][0] is not None else -1 for i in keep]),
         terms, idf, np.searchsorted(term, np.arange(len(terms) + 1)), item, impact, own, bounds, late, bounds[late].sum(axis=0), needed, int(size.max()),
-        [_grams(q) for q, _ in split], [_grams(a) for _, a in split],
+        [_grams(q) for q, _ in split], [_grams(a) for _, a in split], [_short(a) for _, a in split],
     )
 
 
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, float, int, int]]:
     """``row, item, score, question overlap, answer overlap, first word, last word`` of the best passage of each row and item."""
-    words = words_of(texts)
+    words = words_of(texts, signs=True)
     tid = np.searchsorted(index.terms, words.hash)
     tid[tid == len(index.terms)] = 0
     at = np.flatnonzero(index.terms[tid] == words.hash)
@@ -168,6 +185,8 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float,
                         grams[n] = runs(window, n)
                 total = max(np.isin(wanted, grams[n]).mean() for n in (GRAM, *range(1, GRAM))) if len(wanted) == 1 else np.isin(wanted, grams[GRAM]).mean()
                 overlaps.append(float(total))
+            if overlaps[0] >= OVERLAP > overlaps[1] and len(index.short[i]):
+                overlaps[1] = max(overlaps[1], _beside(window, grams[GRAM], index.questions[i], index.short[i]))
             if min(overlaps) >= OVERLAP and ((r, i) not in best or best[r, i][2] < score[i]):
                 best[r, i] = (r, i, float(score[i]), *overlaps, begin - int(words.bounds[r]), end - int(words.bounds[r]) - 1)
     return [best[k] for k in sorted(best)]
@@ -207,7 +226,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A passage is retrieved if its score is at least half of the item's score against itself,
     and holds the item if at least ``OVERLAP`` of the four-word sequences of both its question and its
-    answer are in it. Null and wordless texts and items match nothing; repeated rows give repeated results;
+    answer are in it; of an answer of fewer than ``FEW`` words, that share of its words beside the question is enough.
+    Words end at blanks and at punctuation and symbols of any script, in items and documents alike. Null and wordless texts and items match nothing; repeated rows give repeated results;
     an item with a null id is reported as -1.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
