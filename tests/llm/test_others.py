@@ -185,6 +185,20 @@ def test_languages(spark, docs, no_docs):
     assert {r.lang_pred for r in langid.predict(docs.filter("doc_id = 1"), single).collect()} == {"en"}
 
 
+def test_every_language_is_learned_whatever_its_copies(spark, table):
+    words = {"en": "the house of and river", "fr": "la maison dans une rue", "de": "das haus und der fluss"}
+    rows = [(k, f"{words['en']} {k}", "en") for k in range(300)] + [(400 + k, f"{words['fr']} {k}", "fr") for k in range(300)]
+    copies = table([(1000, f"{words['de']} eins", "de"), (1001, f"{words['de']} zwei", "de")], "doc_id long, text string, lang string")
+    docs = table(rows, "doc_id long, text string, lang string").union(copies.crossJoin(spark.range(2000)).drop("id"))
+    for max_rows in (6, 30, 4000):
+        model = langid.learn(docs, max_rows)
+        assert sorted(code for codes in model.families.values() for code in codes) == ["de", "en", "fr"]
+    assert {r.lang_pred for r in langid.predict(copies, model).collect()} == {"de"}
+    # One text under two languages teaches both.
+    both = table([(1, "abc def", "en"), (2, "abc def", "fr"), (3, "ghi jkl", "fr")], "doc_id long, text string, lang string")
+    assert sorted(code for codes in langid.learn(both).families.values() for code in codes) == ["en", "fr"]
+
+
 @pytest.fixture(scope="module")
 def labelled(table):
     rng = random.Random(7)

@@ -142,20 +142,23 @@ def _featured(batches):
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """Fit on a bounded sample of rows with ``lang`` and a text with letters; None without any.
 
-    Every language gives at most ``max_rows`` over the number of languages, those of
-    the smallest hash of text: the share of a language's rows to take follows from its count.
+    Every language gives at most ``max_rows`` over the number of languages (two at least), those of
+    the smallest hash among its distinct texts; however often its texts are repeated, a language is in the model.
     """
+    place = F.shiftrightunsigned("h", 11)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    texts = known.select("lang", "h").distinct()
+    counts = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = max(2, max_rows // len(counts))
-    reach = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, share / n))])
-    chosen = known.filter(F.shiftrightunsigned("h", 11) / float(2**53) < F.element_at(reach, F.col("lang")))
-    # The copies of a text stand for one; the limit only holds where hashes bunch.
-    rows = chosen.dropDuplicates(["h"]).limit(2 * max_rows + len(counts)).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
-    if not rows:
-        rows = known.limit(max_rows).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
+    # More than the share lie below this reach, by far, so that few hashes are sorted; their share-th is the last to take.
+    reach = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, (2 * share + 64) / n))])
+    low = texts.filter(place / float(2**53) < F.element_at(reach, F.col("lang"))).groupBy("lang").agg(F.sort_array(F.collect_set(place)).alias("low"))
+    last = {r[0]: r[1] for r in low.select("lang", F.element_at("low", F.least(F.size("low"), F.lit(share)))).collect()}
+    cut = F.create_map(*[F.lit(v) for item in sorted(last.items()) for v in item])
+    chosen = known.filter(place <= F.element_at(cut, F.col("lang"))).dropDuplicates(["lang", "h"])
+    rows = chosen.select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     rows.sort()
     return fit(np.stack([unpack(r.x, np.float16) for r in rows]).astype(np.float32), np.array([r.lang for r in rows]))
 
