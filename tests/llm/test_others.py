@@ -8,7 +8,7 @@ import pytest
 from messy import docs, messy_rows, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from triagelake.llm import decontaminate, langid, licenses, toxicity, urls, vectors
+from triagelake.llm import classlm, decontaminate, langid, licenses, toxicity, urls, vectors
 
 ITEMS = [
     (1, "Which planet of the solar system has the largest mass of all? Jupiter is the heaviest by far."),
@@ -280,3 +280,31 @@ def test_alignment_equals_longest_common_subsequence():
         # Short sequences lie inside the band.
         before = [-1] * licenses.BAND
         assert licenses.align(np.array(before + text), np.array(template))[0] == best[-1][-1]
+
+
+def test_rare_words_are_placed_from_all_their_contexts():
+    """Second in each slice, first over all: the gains of all contexts are summed, not the winners of slices."""
+    c = classlm.CLASSES + 1
+    rng = np.random.default_rng(5)
+    m = rng.integers(1, 50, (c, c))
+    follow, precede = classlm._logs(m)
+    word, context, times = rng.integers(0, 300, 5000), rng.integers(0, 2 * c, 5000).astype(np.uint8), rng.integers(1, 9, 5000)
+    got = classlm._placed(word, context, times, 301, follow, precede, 7)
+    want = np.zeros((300, classlm.CLASSES))
+    for w, k, n in zip(word, context, times):
+        want[w] += n * (precede[k, : classlm.CLASSES] if k < c else follow[: classlm.CLASSES, k - c])
+    assert (got[:300] == want.argmax(axis=1)).all() and got[300] == 7
+
+
+def test_scores_do_not_depend_on_slices(spark, table):
+    rng = random.Random(6)
+    frequent = [f"f{i}" for i in range(4200)]
+    rows = [(i, i % 7 == 2, " ".join(x for _ in range(60) for x in (rng.choice(frequent), f"r{rng.randrange(900)}" if rng.random() < 0.03 else "and"))) for i in range(1500)]
+    docs = table(rows, "doc_id long, held_out boolean, text string")
+    first = {r.doc_id: r.score for r in classlm.score(docs.coalesce(1)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = {r.doc_id: r.score for r in classlm.score(docs.repartition(3), 1 << 16).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(first) == 1500 and all(abs(first[i] - again[i]) < 1e-6 for i in first)

@@ -30,16 +30,18 @@ from triagelake.llm.store import materialize, shuffle_parts
 TOP = 4096
 CLASSES = 63
 ROUNDS = 6
+#: Bytes of text of an encoded row.
+SLICE = 12 << 20
 #: The end of a text: a token of its own with a class of its own, also what stands before a text.
 END = U64(0xE0D0E0D0E0D0E0D1)
 #: Weight of the class frequencies in the class transitions.
 ALPHA = 1.0
 
 
-def _encode(batches, parts: int):
+def _encode(batches, parts: int, most: int):
     """doc_id, held, text -> one row per slice: documents as word numbers, words with their training counts."""
     part, serial = TaskContext.get().partitionId(), 0
-    for b in small(batches, 2, 12 << 20):
+    for b in small(batches, 2, most):
         words = words_of(b.column(2))
         n = np.diff(words.bounds) + 1
         tokens = np.insert(words.hash, words.bounds[1:], END)
@@ -238,8 +240,8 @@ def exchange(pairs: DataFrame, size: int, end: int, rounds: int = ROUNDS) -> tup
     return classes, m
 
 
-def _votes(batches, top, order, classes, choice, parts: int):
-    """For every word of a row: training count, and the class its occurrences there vote for with the number of votes."""
+def _contexts(batches, top, order, classes, parts: int):
+    """For every word of a row: training count, its class if it is frequent, else how often each class stands before and after it there."""
     c = CLASSES + 1
     for raw in _rows(batches):
         r = Row.of(raw)
@@ -248,36 +250,56 @@ def _votes(batches, top, order, classes, choice, parts: int):
         token = of_word[r.tokens]
         left = r.before(token, CLASSES)
         right = np.append(token[1:], -1)
-        rare = (token < 0) & r.training() & ((left >= 0) | (right >= 0))
-        vote = choice[left[rare] + 1, right[rare] + 1]
-        key, count = np.unique(r.tokens[rare].astype(np.int64) * c + vote, return_counts=True)
-        word = key // c
-        best, weight = np.where(of_word < 0, 255, of_word), np.zeros(len(r.words), np.int64)
-        order_ = np.lexsort((-count, word))
-        first = np.append(True, word[order_][1:] != word[order_][:-1]) if len(word) else np.zeros(0, bool)
-        best[word[order_][first]], weight[word[order_][first]] = (key % c)[order_][first], count[order_][first]
-        rows = [(p, raw["g"], r.words[at].tobytes(), pack(r.train[at]), pack(best[at].astype(np.uint8)), pack(weight[at].astype(np.uint32))) for p, at in deal(r.words % U64(parts), parts)]
-        yield _table(rows, ["part", "g", "words", "train", "vote", "weight"], [pa.int32(), pa.int64(), *[_BIN] * 4])
-
-
-def _answers(default: int):
+        rare = (token < 0) & r.training()
+        before, after = rare & (left >= 0), rare & (right >= 0)
+        word = r.tokens.astype(np.int64) * 2 * c
+        key, count = np.unique(np.concatenate([word[before] + left[before], word[after] + c + right[after]]), return_counts=True)
+        near = np.bincount(key // (2 * c), minlength=len(r.words))
+        # Words of a partition stand together, and so do their contexts.
+        bound = np.concatenate([[0], np.cumsum(near)])
+        own = np.where(of_word < 0, 255, of_word).astype(np.uint8)
+        rows = []
+        for p, at in deal(r.words % U64(parts), parts):
+            of = slice(bound[at[0]], bound[at[-1] + 1])
+            rows.append((p, raw["g"], r.words[at].tobytes(), pack(r.train[at]), pack(own[at]), pack(near[at].astype(np.uint32)), pack((key[of] % (2 * c)).astype(np.uint8)), pack(count[of].astype(np.uint32))))
+        yield _table(rows, ["part", "g", "words", "train", "own", "near", "context", "times"], [pa.int32(), pa.int64(), *[_BIN] * 6])
+
+
+_CONTEXTS = "part int, g long, words binary, train binary, own binary, near binary, context binary, times binary"
+#: Words whose gains are computed at a time.
+GAINS = 1 << 14
+
+
+def _placed(word: np.ndarray, context: np.ndarray, times: np.ndarray, n: int, follow: np.ndarray, precede: np.ndarray, default: int) -> np.ndarray:
+    """The class of each of ``n`` words under which all its contexts together are likeliest; ``default`` without any."""
+    c = CLASSES + 1
+    best = np.full(n, default)
+    order = np.argsort(word, kind="stable")
+    word, context, times = word[order], context[order], times[order]
+    for lo in range(0, n, GAINS):
+        hi = min(lo + GAINS, n)
+        at = slice(*np.searchsorted(word, [lo, hi]))
+        seen = np.bincount((word[at] - lo) * 2 * c + context[at], times[at], minlength=(hi - lo) * 2 * c).reshape(-1, 2 * c)
+        # Rounded, so that the order of the sums does not break ties.
+        gain = np.round(seen[:, :c] @ precede[:, :CLASSES] + seen[:, c:] @ follow.T[:, :CLASSES], 6)
+        best[lo:hi] = np.where(seen.any(axis=1), gain.argmax(axis=1), default)
+    return best
+
+
+def _answers(default: int, follow: np.ndarray, precede: np.ndarray):
     """Counts and classes of a partition's words, answered to each row that has them."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         lists = [np.frombuffer(x, U64) for x in table.column("words").to_pylist()]
         words = np.concatenate(lists)
-        train, vote, weight = (np.concatenate([unpack(x, t) for x in table.column(n).to_pylist()]) for n, t in (("train", np.uint32), ("vote", np.uint8), ("weight", np.uint32)))
+        names = (("train", np.uint32), ("own", np.uint8), ("near", np.uint32), ("context", np.uint8), ("times", np.uint32))
+        train, own, near, context, times = (np.concatenate([unpack(x.as_py(), t) for x in table.column(n)]) for n, t in names)
         distinct, number = np.unique(words, return_inverse=True)
         count = np.bincount(number, train, minlength=len(distinct)).astype(np.int64)
-        # Votes of all rows; a frequent word has the same class in every row.
-        key, where = np.unique(number * 256 + vote, return_inverse=True)
-        total = np.bincount(where, weight) + (key % 256 != 255) * 0.5
-        order = np.lexsort((key % 256, -total, key // 256))
-        first = np.append(True, (key // 256)[order][1:] != (key // 256)[order][:-1])
-        best = np.full(len(distinct), 255)
-        best[(key // 256)[order][first]] = (key % 256)[order][first]
-        best[best == 255] = default
+        best = _placed(np.repeat(number, near), context, times, len(distinct), follow, precede, default)
+        # A frequent word has the same class in every row.
+        best[number[own < 255]] = own[own < 255]
         cuts = np.cumsum([0] + [len(x) for x in lists])
         rows = [(g, part, pack(count[number[a:b]]), pack(best[number[a:b]].astype(np.uint8))) for g, a, b in zip(table.column("g").to_pylist(), cuts[:-1], cuts[1:])]
         return pa.Table.from_batches([_table(rows, ["g", "part", "count", "class"], [pa.int64(), pa.int32(), _BIN, _BIN])])
@@ -373,7 +395,7 @@ def _scored(batches, model: Model):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for rows of ``doc_id, held_out, text``.
 
     The model learns from the rows that are not held out. ``score`` is the log10 probability of
@@ -381,10 +403,11 @@ def score(docs: DataFrame) -> DataFrame:
     seen in training is one event ("a new word"). Its probability after a class is the share of words seen
     once there. A null text is empty: only its end is scored. Repeated rows count as often as they occur. Without training rows
     every word is new. Other columns are not read.
+    The scores do not depend on ``slice_bytes`` or the number of partitions.
     """
     parts = shuffle_parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    texts = materialize(rows.mapInArrow(partial(_encode, parts=parts), _TEXTS), "tokens")
+    texts = materialize(rows.mapInArrow(partial(_encode, parts=parts, most=slice_bytes), _TEXTS), "tokens")
     split = texts.select("words", "train").mapInArrow(partial(_split_counts, parts=parts), "part int, words binary, train binary")
     counted = split.groupBy("part").applyInArrow(_counted, "v long, n long, top binary, count binary").collect()
     tokens, words = sum(r.n for r in counted), sum(r.v for r in counted)
@@ -402,14 +425,10 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = pairs.repartition(slices, "part")
     classes, m = exchange(pairs, size, end)
     follow, precede = _logs(m)
-    gain = np.zeros((CLASSES + 2, CLASSES + 2, CLASSES))
-    gain[1:] += precede[:, None, :CLASSES]
-    gain[:, 1:] += follow[:CLASSES].T[None]
-    choice = gain.argmax(axis=2)
     # A word without a frequent neighbour goes where most tokens of the others are.
     default = int(m[:, :CLASSES].sum(axis=0).argmax())
-    voted = texts.mapInArrow(partial(_votes, classes=np.append(classes, -1), choice=choice, parts=parts, **lookup), "part int, g long, words binary, train binary, vote binary, weight binary")
-    answers = voted.groupBy("part").applyInArrow(_answers(default), "g long, part int, count binary, class binary")
+    contexts = texts.mapInArrow(partial(_contexts, classes=np.append(classes, -1), parts=parts, **lookup), _CONTEXTS)
+    answers = contexts.groupBy("part").applyInArrow(_answers(default, follow, precede), "g long, part int, count binary, class binary")
     coded = texts.drop("words", "train").groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_joined, _CODED)
     coded = materialize(coded, "coded")
     stats = coded.mapInArrow(_statistics, "pairs binary, once binary").collect()
