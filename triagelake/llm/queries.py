@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import classlm, decontaminate, jaccard, langid, licenses, lines, mixing, toxicity, urls, vectors
+from triagelake.llm import classlm, crosstok, decontaminate, jaccard, langid, licenses, lines, mixing, toxicity, urls, vectors
 from triagelake.llm.texts import fold
 from triagelake.session import local_table
 
@@ -18,6 +18,9 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 
+#: The two tokenizers of the alignment query.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -87,6 +90,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, cut into groups where both end, and the links' corpus-wide counts."""
+    return crosstok.align_documents(_read(spark, sf_dir, "documents"), TOKENIZERS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +108,7 @@ QUERIES = {
         op8_language,
         op9_license_scan,
         op10_toxicity,
+        op13_token_alignment,
     )
 }
 
