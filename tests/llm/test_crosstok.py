@@ -5,7 +5,6 @@ import random
 from collections import Counter
 
 import pyarrow as pa
-import pytest
 from messy import docs, messy_rows, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -71,15 +70,17 @@ def same(x, y):
     return [p[:7] for p in x] == [q[:7] for q in y] and all(q[7] is None or p[7] == q[7] for p, q in zip(x, y))
 
 
-@pytest.mark.parametrize("size", [1 << 8, 4 << 20])
-def test_alignment_equals_whole_texts(table, monkeypatch, size):
-    monkeypatch.setattr(crosstok, "SLICE", size)
+def test_alignment_equals_whole_texts(table):
     rng = random.Random(1)
     odd = ODD + ["".join(rng.choice(["a", "Be", " ", "\n", "é", "▁", "1", ".", "'s", "日"]) for _ in range(rng.randrange(1, 40))) for _ in range(200)] + [None, ""]
     df = table(list(enumerate(odd)), "doc_id long, text string")
     rows = sorted(crosstok.align_documents(df, TOKENIZERS).collect(), key=lambda r: r.doc_id)
     assert same(got(rows), plain(odd))
     assert sum(r.n_a == 0 for r in rows) >= 4
+    # Results do not depend on the slices.
+    batch = pa.record_batch([pa.array(range(len(odd))), pa.array(odd)], names=["doc_id", "text"])
+    whole, cut = (pa.Table.from_batches(crosstok._encoded([batch], TOKENIZERS, pa.int32(), most)) for most in (4 << 20, 200))
+    assert whole.equals(cut.combine_chunks()) and cut.column(0).num_chunks > 20
 
 
 def test_alignment_of_messy_documents(docs, no_docs, messy_rows):

@@ -90,9 +90,10 @@ def _without_signs(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(texts: pa.Array, punctuation: bool = False, signs: bool = False) -> Words:
-    """Words of all texts; with ``punctuation``, ASCII punctuation parts words as blanks do, with ``signs`` also all other Unicode punctuation, symbols and blanks."""
-    gap = _PUNCT if punctuation or signs else _SPACE
+def words_of(texts: pa.Array, punctuation: bool = False, signs: bool = False, gap: np.ndarray | None = None) -> Words:
+    """Words of all texts; with ``punctuation``, ASCII punctuation parts words as blanks do, with ``signs`` also all other Unicode punctuation, symbols and blanks; ``gap`` names the bytes that part words instead."""
+    if gap is None:
+        gap = _PUNCT if punctuation or signs else _SPACE
     raw, offsets = text_bytes(texts)
     if signs:
         raw = _without_signs(raw)

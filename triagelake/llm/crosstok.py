@@ -260,10 +260,10 @@ def _load(paths: tuple[str, str]) -> tuple[Side, Side]:
     return byte_level(paths[0]), pieces(paths[1])
 
 
-def _encoded(batches, paths: tuple[str, str], kind: pa.DataType):
+def _encoded(batches, paths: tuple[str, str], kind: pa.DataType, most: int = SLICE):
     sides = _load(paths)
     sizes = len(sides[0].tokens), len(sides[1].tokens)
-    for batch in small(batches, 1, SLICE):
+    for batch in small(batches, 1, most):
         rows = batch.num_rows
         a, b = encode(batch.column(1), sides)
         found = align(a, b, rows)

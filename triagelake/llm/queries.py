@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import classlm, crosstok, decontaminate, jaccard, langid, licenses, lines, mixing, toxicity, urls, vectors
+from triagelake.llm import classlm, crosstok, decontaminate, dualtree, jaccard, langid, licenses, lines, mixing, toxicity, urls, vectors
 from triagelake.llm.texts import fold
 from triagelake.session import local_table
 
@@ -90,6 +90,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return dualtree.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by two tokenizers, cut into groups where both end, and the links' corpus-wide counts."""
     return crosstok.align_documents(_read(spark, sf_dir, "documents"), TOKENIZERS)
@@ -108,12 +113,15 @@ QUERIES = {
         op8_language,
         op9_license_scan,
         op10_toxicity,
+        op12_ranked_search,
         op13_token_alignment,
     )
 }
 
 _HOST = "CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*(/[^?#]*)', 1, 's') ELSE '' END"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 ORACLES = {
     "op6_url_rules": (
@@ -123,6 +131,18 @@ ORACLES = {
         "FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL) "
         "SELECT page_id, host, path, rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (host, path)"
     ),
+    "op12_ranked_search": (
+        f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM documents), "
+        f"q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark), "
+        "s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), "
+        "c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM s), "
+        "f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
+        "w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c GROUP BY term, docs), "
+        "x AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS v FROM f JOIN w USING (term) JOIN s USING (doc_id), c), "
+        "y AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY ALL HAVING sum(v) > 0) "
+        "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM y "
+        "QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"
+    ),
     "op7_vector_copies": (
         "WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings "
         "WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), "
