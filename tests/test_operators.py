@@ -308,6 +308,47 @@ def test_languages(table):
         languages.select_languages(df, ["cobol"])
 
 
+# ---------------------------------------------------------- equal depth
+
+
+def test_chunks_of_equal_depth(table):
+    rng = random.Random(4)
+    # A third of the rows is one key's, nine tenths of them within one of its ten thousand seconds.
+    places = [rng.randrange(5000, 5001) * 1000 + rng.randrange(1000) if rng.random() < 0.9 else rng.randrange(10**7) for _ in range(3000)]
+    rows = [("hot", p) for p in places] + [(None, rng.randrange(100)) for _ in range(700)] + [(f"k{i % 900}", i) for i in range(5000)]
+    rows += [("hot", None), (None, None), ("tie", 5)] + [("tie", 5)] * 400
+    df = table([(i, k, p) for i, (k, p) in enumerate(rows)], "id long, k string, p long").repartition(4)
+    got = ordered.equal_depth(df, ["k"], F.col("p"), "c", 100).collect()
+    assert len(got) == len(rows)
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, []).append((r.p if r.p is not None else -1, r.c))
+    for k, own in by_key.items():
+        own.sort()
+        assert all(a[1] <= b[1] for a, b in zip(own, own[1:]))
+        assert all(a[1] == b[1] for a, b in zip(own, own[1:]) if a[0] == b[0])
+        if k not in ("hot", None):
+            assert {c for _, c in own} == {0}
+    depth = lambda k: max(sum(c == d for _, d in by_key[k]) for c in {c for _, c in by_key[k]})
+    assert depth("hot") <= 200 and len({c for _, c in by_key["hot"]}) >= 25 and depth(None) <= 250
+    keyless = ordered.equal_depth(df, [], F.col("p"), "c", 100).groupBy("c").count().collect()
+    assert sum(r["count"] for r in keyless) == len(rows) and len(keyless) > 40
+    assert ordered.equal_depth(df.filter("false"), ["k"], F.col("p"), "c", 100).count() == 0
+
+
+def test_gauge_in_busy_minutes(table):
+    rng = random.Random(5)
+    rows = [(i, T0 + timedelta(microseconds=rng.randrange(10**6)), rng.choice(["a", "a", "b"]), rng.choice([1, -1])) for i in range(900)]
+    df = table(rows, "order_id long, ts timestamp, lane string, delta int")
+    for keys in (None, ["lane"]):
+        want, totals = {}, {}
+        for i, ts, lane, delta in sorted(rows, key=lambda r: (r[1], r[0])):
+            k = lane if keys else None
+            totals[k] = want[i] = totals.get(k, 0) + delta
+        got = metrics.active_gauge(df, keys=keys, rows=40)
+        assert got.columns == [*df.columns, "active"] and {r.order_id: r.active for r in got.collect()} == want
+
+
 # ----------------------------------------------------------------- cache
 
 
@@ -319,15 +360,15 @@ def brute_lookup(asked, written):
     return out
 
 
-@pytest.mark.parametrize("chunk", [60, 3600, 10**7])
-def test_lookup_hot_key(table, chunk):
+@pytest.mark.parametrize("rows", [7, 50, 10**7])
+def test_lookup_hot_key(table, rows):
     rng = random.Random(2)
     times = rng.sample(range(20000), 400)
     asked = [(i, "hot" if i % 3 else f"k{i % 5}", T0 + timedelta(seconds=times[i])) for i in range(200)]
     written = [("hot" if i % 3 else f"k{i % 5}", f"p{i}", T0 + timedelta(seconds=times[200 + i]), rng.choice([10, 500, 5000])) for i in range(200)]
     reqs = table(asked, "request_id long, key string, ts timestamp")
     ents = table(written, "key string, payload string, cached_at timestamp, ttl_s long")
-    got = cache.lookup(reqs, ents, chunk).collect()
+    got = cache.lookup(reqs, ents, rows).collect()
     assert {r.request_id: r.payload for r in got} == brute_lookup(asked, written)
     assert all(r.hit == (r.payload is not None) for r in got)
 

@@ -7,22 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.operators.ordered import carry_forward
+from triagelake.operators.ordered import DEPTH, carry_forward, equal_depth
 
 # Time to live in seconds.
 RESPONSE_TTL = 86400
 SCAN_TTL = 3600
 
 
-def lookup(requests: DataFrame, entries: DataFrame, chunk_seconds: int = 600) -> DataFrame:
+def lookup(requests: DataFrame, entries: DataFrame, rows: int = DEPTH) -> DataFrame:
     """Each request with the newest entry of its key written before it, if still alive.
 
     ``requests`` is ``(request_id, key, ts)``, ``entries`` ``(key, payload, cached_at, ttl_s)``.
     Adds ``payload`` (null on a miss), ``cached_at`` and ``hit``.
 
     An "as of" lookup without pairing requests and entries: both are laid on one time line
-    per key and the latest entry is carried forward, in time slices, so a key that draws a
-    third of all requests is worked on by many tasks.
+    per key and the latest entry is carried forward, in stretches of about ``rows`` rows, so a key
+    that draws a third of all requests is worked on by many tasks, however busy a minute.
     """
     asked = requests.select(
         "key", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("kind"), "request_id",
@@ -38,8 +38,8 @@ def lookup(requests: DataFrame, entries: DataFrame, chunk_seconds: int = 600) ->
         ).alias("entry"),
     )
     line = asked.unionByName(written)
-    chunk = F.floor(F.unix_seconds("ts") / chunk_seconds)
-    latest = carry_forward(line, ["key"], ["ts", "kind", "request_id"], chunk, "entry", "latest")
+    line = equal_depth(line, ["key"], F.unix_micros("ts"), "depth", rows)
+    latest = carry_forward(line, ["key"], ["ts", "kind", "request_id"], F.col("depth"), "entry", "latest")
     alive = F.unix_micros("ts") < F.unix_micros("latest.cached_at") + F.col("latest.ttl_s") * 1000000
     return (
         latest.where("kind = 1")

@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.operators.ordered import running_sum
+from triagelake.operators.ordered import DEPTH, equal_depth, running_sum
 
 PERIOD_UNITS = {"daily": "day", "weekly": "week", "monthly": "month"}
 
@@ -212,8 +212,11 @@ def histogram_quantile(
 
 def active_gauge(
     starts_ends: DataFrame, ts: str = "ts", order_id: str = "order_id", keys: list[str] | None = None,
-    chunk_seconds: int = 600,
+    rows: int = DEPTH,
 ) -> DataFrame:
-    """Running number of active scans after each start (+1) or end (−1) row."""
-    chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
-    return running_sum(starts_ends, keys or [], [ts, order_id], chunk, F.col("delta"), "active")
+    """Running number of active scans after each start (+1) or end (−1) row.
+
+    With or without ``keys``, stretches of about ``rows`` rows are summed apart and only their sums are windowed.
+    """
+    cut = equal_depth(starts_ends, keys or [], F.unix_micros(F.col(ts).cast("timestamp")), "__depth", rows)
+    return running_sum(cut, keys or [], [ts, order_id], F.col("__depth"), F.col("delta"), "active").drop("__depth")

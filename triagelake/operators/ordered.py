@@ -6,7 +6,9 @@ chunks (an hour, a block of ids); the window runs inside a chunk, a per-chunk su
 aggregated with partial aggregation, and only that summary, smaller by the chunk size, is
 windowed per key to give each chunk its starting value.
 
-``chunk`` must be a column expression that never decreases in the sort order.
+``chunk`` must be a column expression that never decreases in the sort order;
+:func:`equal_depth` gives one whose chunks hold about the same number of rows whatever the
+key and however its rows crowd.
 """
 
 from __future__ import annotations
@@ -18,6 +20,34 @@ _CHUNK = "__chunk"
 _BASE = "__base"
 _KEY = "__k"
 
+#: Rows of a chunk, about.
+DEPTH = 1 << 20
+
+
+def equal_depth(df: DataFrame, keys: list[str], position: Column, out: str, rows: int = DEPTH) -> DataFrame:
+    """Add ``out``, the chunk of each row: 0, 1, 2 … along ``position`` (a long), each of about ``rows`` rows of a key.
+
+    Rows are counted per key. For keys of more than ``rows`` rows a quantile sketch of the
+    position, which merges across tasks, gives the places to cut at, and a binary search puts each row
+    between two of them. Rows of one position stay together; a null position is before all others. At
+    most one key in ``rows`` rows is cut, so the table of cuts is that much smaller than the input.
+    """
+    at = F.coalesce(position, F.lit(-(1 << 63)))
+    placed = df.withColumn("__at", at)
+    key = F.struct(*[F.col(c) for c in keys], F.lit(0).alias("__all"))
+    counted = placed.groupBy(key.alias("__of")).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    most = counted.agg(F.max("n")).first()[0]
+    if most is None:
+        return df.withColumn(out, F.lit(0))
+    parts = -(-most // rows)
+    shares = F.lit([i / parts for i in range(1, parts)]).cast("array<double>")
+    large = placed.withColumn("__of", key).join(counted.select("__of"), "__of", "left_semi")
+    cuts = large.groupBy("__of").agg(F.array_distinct(F.percentile_approx("__at", shares, F.lit(10 * parts))).alias("__cuts"))
+    steps = F.lit([1 << b for b in reversed(range(parts.bit_length()))])
+    past = lambda i, s: i + F.when((i + s <= F.size("__cuts")) & (F.get("__cuts", i + s - 1) < F.col("__at")), s).otherwise(0)
+    found = F.when(F.col("__cuts").isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), past))
+    return placed.withColumn("__of", key).join(cuts, "__of", "left").withColumn(out, found).drop("__of", "__at", "__cuts")
+
 
 def _tag(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     """Add the chunk and ``__k``, a struct of key and chunk.
