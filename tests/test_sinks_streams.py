@@ -134,13 +134,13 @@ REQUEST = "request_id long, key string, ts timestamp"
 def test_state_lasts_over_batches(spark, tmp_path):
     rows = [(i, "hot" if i % 3 else "cold", T0 + timedelta(seconds=7 * i)) for i in range(60)]
     folder = _fill(spark, str(tmp_path), [rows[:20], rows[20:40], rows[40:]], REQUEST)
-    out = streams.run_available(streams.token_bucket_stream(_stream(spark, folder, REQUEST), 2, 30.0), "t")
+    out = streams.run_available(streams.token_bucket_stream(_stream(spark, folder, REQUEST), 2, 30.0), "t", idle_batches=False)
     got = {r.request_id: r.admitted for r in out.collect()}
     debts, want = {}, {}
     for i, k, ts in rows:
         debts[k], want[i] = debt_after(debts.get(k), round(ts.timestamp() * 1e6), 2, 30_000_000)
     assert got == want
-    out = streams.run_available(streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 60), "t")
+    out = streams.run_available(streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 60), "t", idle_batches=False)
     got = {r.request_id: r.hit for r in out.collect()}
     written, want = {}, {}
     for i, k, ts in rows:
@@ -150,16 +150,49 @@ def test_state_lasts_over_batches(spark, tmp_path):
     assert got == want
 
 
-def test_expired_state_is_dropped_and_key_starts_anew(spark, tmp_path):
+def test_late_requests_are_answered(spark, tmp_path):
+    """A lagging source: every request is answered once, those behind answered ones are marked."""
+    hour = timedelta(hours=1)
     parts = [
-        [(1, "a", T0), (2, "b", T0)],
-        [(3, "b", T0 + timedelta(hours=3))],
-        [(4, "b", T0 + timedelta(hours=6))],
-        [(5, "a", T0 + timedelta(hours=6, minutes=1)), (6, "a", T0 + timedelta(hours=6, minutes=2))],
+        [(1, "a", T0), (2, "b", T0 + 5 * hour)],
+        [(3, "a", T0 + 9 * hour), (4, "a", T0 + 9 * hour + timedelta(seconds=1))],
+        [(5, "a", T0 + hour), (6, "b", T0 + hour), (7, "c", T0)],
+        [(8, "a", T0 + 9 * hour + timedelta(seconds=2)), (9, "b", T0 + 8 * hour)],
     ]
     folder = _fill(spark, str(tmp_path), parts, REQUEST)
-    out = streams.run_available(streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 3600), "t")
-    assert {r.request_id: r.hit for r in out.collect()} == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
+    out = streams.run_available(streams.token_bucket_stream(_stream(spark, folder, REQUEST), 2, 30.0), "t", idle_batches=False)
+    got = {r.request_id: (r.admitted, r.late) for r in out.collect()}
+    late = {5, 6}
+    # Requests 3 and 4 take both of a's tokens; 5 and 8 count within the same two seconds.
+    assert got == {i: (i not in (5, 8), i in late) for i in range(1, 10)}
+    out = streams.run_available(streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 3600), "t", idle_batches=False)
+    assert {r.request_id: (r.hit, r.late) for r in out.collect()} == {
+        1: (False, False), 2: (False, False), 3: (False, False), 4: (True, False), 5: (True, True), 6: (True, True), 7: (False, False), 8: (True, False), 9: (False, False),
+    }
+
+
+def test_state_expires_by_processing_time(spark, tmp_path):
+    """The state of a key nobody asks for is dropped; the key then starts anew."""
+    import time
+
+    folder = _fill(spark, str(tmp_path), [[(1, "a", T0), (2, "b", T0)]], REQUEST)
+    stream = streams.ttl_cache_stream(_stream(spark, folder, REQUEST), 1)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    run()
+    time.sleep(1.5)
+    for row in ((3, "b", T0 + timedelta(days=1)), (4, "a", T0)):
+        spark.createDataFrame([row], REQUEST).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {r.request_id: (r.hit, r.late) for r in spark.read.parquet(path).collect()}
+    # Without its state, a's old request is a miss; with it, it would be a hit.
+    assert got == {1: (False, False), 2: (False, False), 3: (False, False), 4: (False, False)}
 
 
 SAMPLE = "ts timestamp, provider string, amount long"

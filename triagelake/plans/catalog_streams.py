@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.plans.catalog_findings import _url
-from triagelake.plans.catalog_review import BUCKET_SQL
 from triagelake.plans.catalog_source import SECRET, deliveries
 from triagelake.plans.proxies import RAW_DDL, Tables
 from triagelake.plans.registry import query
@@ -76,19 +75,46 @@ def _(t):
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+#: The requests as two arrivals: every seventh comes when all others have been answered.
+_ARRIVED = (
+    "r AS (SELECT event_id AS request_id, 'user' || CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7 = 0, ts, event_id) AS n, "
+    "max(epoch_us(ts)) FILTER (event_id % 7 <> 0) OVER (PARTITION BY user_id) AS answered, event_id % 7 = 0 AS second FROM events), "
+    "a AS (SELECT request_id, key, us, n, coalesce(second AND us < answered, FALSE) AS late, max(us) OVER (PARTITION BY key ORDER BY n) AS moment FROM r), "
+)
+
+
+def _arrivals(t):
+    """The requests written as two files, read one a batch: many of the second are older than answered ones."""
+    folder = work_dir(t.spark, "arrivals")
+    for second in (False, True):
+        rows = t.requests.where((F.col("request_id") % 7 == 0) == second)
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/arrival={int(second)}")
+    stream = t.spark.readStream.schema(t.requests.schema).option("maxFilesPerTrigger", 1)
+    return stream.option("recursiveFileLookup", True).parquet(folder)
+
+
 @query(
     "x04_ttl_cache_stream",
-    "WITH RECURSIVE r AS (SELECT event_id AS request_id, 'user' || CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
-    "walk AS (SELECT request_id, key, n, FALSE AS hit, us AS written FROM r WHERE n = 1 UNION ALL SELECT r.request_id, r.key, r.n, r.us < w.written + 86400000000, "
-    "CASE WHEN r.us < w.written + 86400000000 THEN w.written ELSE r.us END FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1) SELECT request_id, key, hit FROM walk",
+    f"WITH RECURSIVE {_ARRIVED}walk AS (SELECT request_id, key, n, FALSE AS hit, late, us AS written FROM a WHERE n = 1 UNION ALL "
+    "SELECT a.request_id, a.key, a.n, a.us < w.written + 86400000000, a.late, CASE WHEN a.us < w.written + 86400000000 THEN w.written ELSE a.us END "
+    "FROM walk w JOIN a ON a.key = w.key AND a.n = w.n + 1) SELECT request_id, key, hit, late FROM walk",
 )
 def _(t):
-    return streams.run_available(streams.ttl_cache_stream(_live(t).requests, 86400), "x04")
+    return streams.run_available(streams.ttl_cache_stream(_arrivals(t), 86400), "x04", idle_batches=False)
 
 
-@query("x05_token_bucket_stream", BUCKET_SQL)
+_LEVEL = "least(3.0, w.allowance + (a.moment - w.moment) / 1000000.0 * 3.0 / 86400.0)"
+
+
+@query(
+    "x05_token_bucket_stream",
+    f"WITH RECURSIVE {_ARRIVED}walk AS (SELECT request_id, key, moment, n, TRUE AS admitted, late, CAST(2 AS DOUBLE) AS allowance FROM a WHERE n = 1 UNION ALL "
+    f"SELECT a.request_id, a.key, a.moment, a.n, {_LEVEL} >= 1.0, a.late, CASE WHEN {_LEVEL} >= 1.0 THEN {_LEVEL} - 1.0 ELSE {_LEVEL} END "
+    "FROM walk w JOIN a ON a.key = w.key AND a.n = w.n + 1) SELECT request_id, key, admitted, late FROM walk",
+)
 def _(t):
-    return streams.run_available(streams.token_bucket_stream(_live(t).requests, 3, 86400), "x05")
+    return streams.run_available(streams.token_bucket_stream(_arrivals(t), 3, 86400), "x05", idle_batches=False)
 
 
 @query(

@@ -63,22 +63,12 @@ def live_gauge(marks: DataFrame, labels: list[str]) -> DataFrame:
     return marks.groupBy(*labels).agg(F.sum("delta").alias("active"))
 
 
-_ADMITTED = T.StructType(
-    [
-        T.StructField("request_id", T.LongType()),
-        T.StructField("key", T.StringType()),
-        T.StructField("admitted", T.BooleanType()),
-    ]
-)
+_ANSWER = [T.StructField("request_id", T.LongType()), T.StructField("key", T.StringType())]
+_LATE = T.StructField("late", T.BooleanType())
+_ADMITTED = T.StructType([*_ANSWER, T.StructField("admitted", T.BooleanType()), _LATE])
 _BUCKET_STATE = T.StructType([T.StructField("ahead", T.DoubleType()), T.StructField("last", T.LongType())])
-_SEEN = T.StructType(
-    [
-        T.StructField("request_id", T.LongType()),
-        T.StructField("key", T.StringType()),
-        T.StructField("hit", T.BooleanType()),
-    ]
-)
-_SEEN_STATE = T.StructType([T.StructField("written", T.LongType())])
+_SEEN = T.StructType([*_ANSWER, T.StructField("hit", T.BooleanType()), _LATE])
+_SEEN_STATE = T.StructType([T.StructField("written", T.LongType()), T.StructField("last", T.LongType())])
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -86,80 +76,84 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["us", "request_id"])
 
 
-def _forget_after(state: GroupState, us: int) -> None:
-    """Let the state go once event time has passed ``us``: it could not change an answer any more."""
-    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
+def _answered(requests: DataFrame, name: str, answer: Callable, out: T.StructType, kept: T.StructType, keep_ms: int) -> DataFrame:
+    """Answer every request of a key from one small state that expires ``keep_ms`` of processing time after it was last written.
 
+    No watermark is set, so no request is dropped: one that comes after later ones were answered is
+    answered from the state as it is, and marked late. ``answer`` takes a batch's times in order and the state
+    before, and gives the answers and the state after; a state's last field is the latest time answered.
+    """
 
-def _keyed(requests: DataFrame, late: str) -> DataFrame:
-    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.select("request_id", "key", "ts", F.unix_micros("ts").alias("us"))
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows, before = _in_order(frames), state.get if state.exists else None
+        answers, after = answer(rows["us"].tolist(), before)
+        state.update(after)
+        state.setTimeoutDuration(keep_ms)
+        # Within a batch times are in order, so only those before an earlier batch's are late.
+        late = rows["us"] < before[-1] if before else False
+        yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], name: answers, "late": late})
 
+    rows = requests.select("request_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.groupBy("key").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-def token_bucket_stream(requests: DataFrame, rate: float, per: float, late: str = "10 minutes") -> DataFrame:
-    """Token-bucket admission on a stream of ``(request_id, key, ts)``.
 
-    A bucket is full again ``per`` seconds after its last request, so its state is dropped
-    then and only keys seen within that time are kept.
+def token_bucket_stream(requests: DataFrame, rate: float, per: float, keep_s: float = 0) -> DataFrame:
+    """Token-bucket admission on a stream of ``(request_id, key, ts)``: ``request_id, key, admitted, late``.
+
+    Every request is answered once, in the order in which batches bring them and by time within a
+    batch. One that is older than an answered request of its key is ``late`` and counts as of that request's time. A bucket
+    is full again ``per`` seconds after its last request, so its state expires when none has come for that long, or
+    for ``keep_s`` seconds if that is longer; a key without state has a full bucket.
     """
     per_us = round(per * 1e6)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ahead, last = state.get if state.exists else (0, 0)
-        debt = last * rate + type(rate)(ahead)
-        rows, flags = _in_order(frames), []
-        for us in rows["us"]:
-            # A row of an earlier time than one answered before counts as of that time.
-            last = max(last, int(us))
+    def answer(times: list[int], before: tuple | None) -> tuple[list[bool], tuple]:
+        ahead, last = before or (0, 0)
+        debt, flags = last * rate + type(rate)(ahead), []
+        for us in times:
+            last = max(last, us)
             debt, admitted = debt_after(debt, last, rate, per_us)
             flags.append(admitted)
-        state.update((float(debt - last * rate), last))
-        _forget_after(state, last + per_us)
-        yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "admitted": flags})
+        return flags, (float(debt - last * rate), last)
 
-    return _keyed(requests, late).groupBy("key").applyInPandasWithState(
-        step, _ADMITTED, _BUCKET_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _answered(requests, "admitted", answer, _ADMITTED, _BUCKET_STATE, round(max(per, keep_s) * 1000))
 
 
-def ttl_cache_stream(requests: DataFrame, ttl_s: int, late: str = "10 minutes") -> DataFrame:
-    """First request of a key is a miss and writes; requests within the time to live are hits.
+def ttl_cache_stream(requests: DataFrame, ttl_s: int, keep_s: int = 0) -> DataFrame:
+    """First request of a key is a miss and writes; requests before the entry's end are hits: ``request_id, key, hit, late``.
 
-    The state of a key is dropped when its entry has expired.
+    Late requests are answered by the entry there is, which may have been written after them. The
+    state of a key expires when none has come for ``ttl_s`` seconds, or ``keep_s`` if that is longer.
     """
     ttl = ttl_s * 1_000_000
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        written = state.get[0] if state.exists else None
-        rows, hits = _in_order(frames), []
-        for us in rows["us"]:
+    def answer(times: list[int], before: tuple | None) -> tuple[list[bool], tuple]:
+        written, last = before or (None, 0)
+        hits = []
+        for us in times:
             hit = written is not None and us < written + ttl
-            if not hit:
-                written = int(us)
+            written = written if hit else us
             hits.append(hit)
-        state.update((written,))
-        _forget_after(state, written + ttl)
-        yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "hit": hits})
+        return hits, (written, max([last, *times]))
 
-    return _keyed(requests, late).groupBy("key").applyInPandasWithState(
-        step, _SEEN, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _answered(requests, "hit", answer, _SEEN, _SEEN_STATE, max(ttl_s, keep_s) * 1000)
+
+
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def run_available(
-    stream: DataFrame, purpose: str, mode: str = "append", keys: list[str] | None = None
+    stream: DataFrame, purpose: str, mode: str = "append", keys: list[str] | None = None, idle_batches: bool = True
 ) -> DataFrame:
     """Run a stream over all input present and return what it wrote.
 
     Rows go to a table in the session's shared work folder with the stream's checkpoint
     beside it, never through the driver. In complete and update mode each batch is kept
-    under its number and the newest row per key is returned.
+    under its number and the newest row per key is returned. State that expires by processing time asks for
+    batches without input for ever; ``idle_batches`` false ends such a stream with its input.
     """
     spark = stream.sparkSession
     base = work_dir(spark, purpose)
@@ -168,7 +162,12 @@ def run_available(
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     else:
         writer = stream.writeStream.foreachBatch(_keep_batch(out)).outputMode(mode)
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(_IDLE, "true")
+    spark.conf.set(_IDLE, before if idle_batches else "false")
+    try:  # a stream keeps the settings it was started with
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_IDLE, before)
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
