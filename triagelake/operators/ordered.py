@@ -88,6 +88,21 @@ def running_number(
     return running_sum(df, keys, order, chunk, F.lit(1).cast("long"), out)
 
 
+def running_min_before(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, out: str
+) -> DataFrame:
+    """The least ``value`` of the rows before each row of its key, null at the first; ``order`` must be unique per key."""
+    tagged = _tag(df, keys, chunk).withColumn("__v", value)
+    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    summary = tagged.groupBy(*keys, _CHUNK).agg(F.min("__v").alias("__t")).withColumn(_BASE, F.min("__t").over(before))
+    inside = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        _attach(tagged, summary, keys)
+        .withColumn(out, F.least(_BASE, F.min("__v").over(inside)))
+        .drop(_CHUNK, _KEY, _BASE, "__v")
+    )
+
+
 def carry_forward(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
 ) -> DataFrame:

@@ -56,6 +56,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written as Parquet to a fresh work folder and read back: its lineage ends there."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small literal table as a local relation, whose size the optimizer knows."""
     schema = T.StructType.fromDDL(ddl)
