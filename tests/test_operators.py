@@ -301,6 +301,27 @@ def test_pr_files_substring_quirks(table):
     assert sorted(r.id for r in findings.in_pr_files(fd, pr).collect()) == [1, 4]
 
 
+def test_pr_files_by_rarest_gram(table):
+    """A hot job: the index tests few of its paths x files pairs and finds what testing all finds."""
+    rng = random.Random(8)
+    folders = ["src/main/java", "src/test", "lib", "tools/build"]
+    paths = [f"{rng.choice(folders)}/module{rng.randrange(400)}/File{i}.java" for i in range(1500)]
+    names = [p.split("/", 1)[1] for p in rng.sample(paths, 150)] + [f"module{k}/" for k in range(20)] + [f"gone{k}.py" for k in range(300)] + ["9.j", "é/ü", "lib/module7/", "src/"]
+    rows = [(i, 7, p) for i, p in enumerate(paths)] + [(5000, 8, "a/b.py"), (5001, 8, None), (5002, 7, None), (5003, 7, "é/ü.py"), (5004, 9, "x")]
+    pr = [(7, n) for n in names] + [(8, "a/b.py"), (8, None), (10, "")]
+    fd = table(rows, "id long, scan_job_id long, file_path string")
+    files = table(pr, "scan_job_id long, file_name string")
+    want = {i for i, j, p in rows if any(k == j and n is not None and n in (p or "") for k, n in pr)}
+    for tested in (1 << 20, 1000):
+        assert {r.id for r in findings.in_pr_files(fd, files, tested).collect()} == want and len(want) > 150
+    own = fd.where("scan_job_id = 7 AND file_path IS NOT NULL").selectExpr("scan_job_id", "file_path AS path").distinct()
+    long = files.where("length(file_name) >= 5").selectExpr("scan_job_id", "file_name AS name")
+    pairs = findings.pr_candidates(own, long).count()
+    assert pairs < 0.02 * own.count() * long.count()
+    all_ = table([(7, "")], "scan_job_id long, file_name string")
+    assert findings.in_pr_files(fd, all_, 1).count() == sum(j == 7 for _, j, _ in rows)
+
+
 def test_languages(table):
     df = table([("a/b.PY",), ("x.tar.hpp",), (".bashrc",), ("d.d/noext",), (None,)], "p string")
     assert [r[0] for r in df.select(languages.scanner_language(F.col("p"))).collect()] == ["python", "cpp", None, None, None]
@@ -548,20 +569,46 @@ def test_line_changes(table):
     a, b = "x\ny\ny\nz\n", "x\ny\nw\nz"
     df = table([(1, a, b)], "finding_id long, original_code string, fixed_code string")
     got = sorted((r.op, r.line_number, r.line) for r in fixes.line_changes(df).collect())
-    assert got == [("+", 3, "w"), ("+", 4, "z"), ("-", 3, "y"), ("-", 4, "z"), ("-", 5, "")]
+    assert got == [("+", 3, "w"), ("-", 3, "y"), ("-", 5, "")]
+
+
+def test_edits_far_apart_are_hunks_of_their_own(table):
+    old = [f"line {i}" for i in range(900)]
+    new = ["first", *old[1:899], "last", "more"]
+    df = table([(1, "\n".join(old), "\n".join(new))], "finding_id long, original_code string, fixed_code string")
+    got = sorted((r.op, r.line_number, r.line) for r in fixes.line_changes(df).collect())
+    assert got == [("+", 1, "first"), ("+", 900, "last"), ("+", 901, "more"), ("-", 1, "line 0"), ("-", 900, "line 899")]
+
+
+def test_changes_are_minimal_on_unique_lines():
+    rng = random.Random(1)
+    for n in range(300):
+        pool = [str(i) for i in range(14)]
+        a, b = rng.sample(pool, rng.randrange(12)), rng.sample(pool, rng.randrange(12))
+        if n % 3 == 0:  # repeated lines: a valid change list, if not always the shortest
+            a, b = rng.choices(pool[:4], k=8), rng.choices(pool[:4], k=9)
+        removed, added = fixes.changed_lines(a, b)
+        kept = [x for i, x in enumerate(a) if i not in removed]
+        assert kept == [x for i, x in enumerate(b) if i not in added]
+        if n % 3:
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            assert len(kept) == best[-1][-1]
 
 
 @pytest.mark.parametrize(
     "a,b,changes",
     [
-        ("a\nb\nc", "c\nb\na", {("-", 1, "a"), ("-", 2, "b"), ("-", 3, "c"), ("+", 1, "c"), ("+", 2, "b"), ("+", 3, "a")}),
+        ("a\nb\nc", "c\nb\na", {("-", 1, "a"), ("-", 2, "b"), ("+", 2, "b"), ("+", 3, "a")}),
         ("a\na", "a\na\na", {("+", 3, "a")}),
         ("a\nb", "a\nb", set()),
         ("", "x", {("-", 1, ""), ("+", 1, "x")}),
         (None, "x", set()),
     ],
 )
-def test_line_changes_are_one_hunk(table, a, b, changes):
+def test_line_changes_inside_the_row(table, a, b, changes):
     df = table([(1, a, b)], "finding_id long, original_code string, fixed_code string")
     out = fixes.line_changes(df)
     assert {(r.op, r.line_number, r.line) for r in out.collect()} == changes

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.functions import prompts
 from triagelake.functions.languages import fix_language
@@ -186,28 +190,71 @@ def syntax_check(code: Column, language: Column) -> Column:
     return F.struct((~is_python | (left == "")).alias("ok"), F.when(is_python, python).otherwise(skipped).alias("message"))
 
 
-def line_changes(fixes: DataFrame, key: str = "finding_id") -> DataFrame:
-    """``key, op, line_number, line``: the lines a fix removes (-) and adds (+), numbered in their own text.
+def _rising(places: list[int]) -> list[int]:
+    """Indexes of a longest rising subsequence of distinct numbers."""
+    ends, last, before = [], [], []
+    for k, p in enumerate(places):
+        at = bisect_left(ends, p)
+        before.append(last[at - 1] if at else -1)
+        ends[at:at + 1], last[at:at + 1] = [p], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def changed_lines(old: Sequence[str], new: Sequence[str]) -> tuple[list[int], list[int]]:
+    """Indexes of the lines only one side has.
 
-    Lines that both texts begin or end with are kept; all between them is one hunk, so a
-    line that moves is removed and added. Found inside the row: no line is shuffled.
+    Lines that occur once on each side of a stretch are its anchors, as many as rise
+    together; the stretches between anchors are treated likewise, after what they begin and end with in common.
     """
-    sides = fixes.select(key, F.split("original_code", "\n", -1).alias("old"), F.split("fixed_code", "\n", -1).alias("new"))
+    removed, added, todo = [], [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and old[a] == new[c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+        once = Counter(old[a:b]), Counter(new[c:d])
+        place = {new[j]: j for j in range(c, d) if once[1][new[j]] == 1}
+        shared = [(i, place[old[i]]) for i in range(a, b) if once[0][old[i]] == 1 and old[i] in place]
+        if not shared:
+            removed += range(a, b)
+            added += range(c, d)
+            continue
+        kept = [shared[k] for k in _rising([j for _, j in shared])]
+        for (i, j), (k, m) in zip([(a - 1, c - 1), *kept], [*kept, (b, d)]):
+            todo.append((i + 1, k, j + 1, m))
+    return sorted(removed), sorted(added)
+
+
+_PLACES = T.ArrayType(T.IntegerType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("removed", _PLACES), T.StructField("added", _PLACES)]))
+def _changed(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    found = [([], []) if a is None or b is None else changed_lines(a.split("\n"), b.split("\n")) for a, b in zip(old, new)]
+    return pd.DataFrame(found, columns=["removed", "added"])
 
-    def same_from_start(a: Column, b: Column) -> Column:
-        # Past the end of the shorter side the other line is null, which differs.
-        at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-        return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
 
-    rows = sides.withColumn("head", same_from_start(F.col("old"), F.col("new")))
-    tail = F.least(same_from_start(F.reverse("old"), F.reverse("new")), F.size("old") - F.col("head"), F.size("new") - F.col("head"))
-    rows = rows.withColumn("tail", tail)
+def line_changes(fixes: DataFrame, key: str = "finding_id") -> DataFrame:
+    """``key, op, line_number, line``: the lines a fix removes (-) and adds (+), numbered in their own text.
+
+    What both texts begin or end with is kept; in between, lines that are unique in both
+    anchor the comparison (:func:`changed_lines`), so edits far apart are hunks of their own and, where all lines
+    are unique, the fewest lines change. Found inside the row: no line is shuffled.
+    """
+    rows = fixes.select(
+        key, "original_code", "fixed_code", F.split("original_code", "\n", -1).alias("old"), F.split("fixed_code", "\n", -1).alias("new")
+    ).withColumn("c", _changed("original_code", "fixed_code"))
 
-    def hunk(side: str, op: str) -> Column:
-        lines = F.slice(side, F.col("head") + 1, F.size(side) - F.col("head") - F.col("tail"))
-        return F.transform(lines, lambda x, i: F.struct(F.lit(op).alias("op"), (F.col("head") + i + 1).alias("line_number"), x.alias("line")))
+    def hunk(side: str, op: str, changed: str) -> Column:
+        return F.transform(changed, lambda i: F.struct(F.lit(op).alias("op"), (i + 1).alias("line_number"), F.get(side, i).alias("line")))
 
-    return rows.select(key, F.explode(F.concat(hunk("old", "-"), hunk("new", "+"))).alias("c")).select(key, "c.*")
+    changes = F.concat(hunk("old", "-", "c.removed"), hunk("new", "+", "c.added"))
+    return rows.select(key, F.explode(changes).alias("c")).select(key, "c.*")
 
 
 def apply_fixes(files: DataFrame, fixes: DataFrame, by: Sequence[str] = ("file_path",)) -> DataFrame:

@@ -121,7 +121,9 @@ def token_bucket(requests: DataFrame, rate: float, per: float, long_run: int = L
     if rate < 1:  # a bucket that never holds a whole token
         return requests.select("request_id", F.col("key").cast("string").alias("key"), F.lit(False).alias("admitted"))
     cut = runs_of(requests, rate, per).select("key", "run", "us", "request_id")
-    short, long = _by_length(cut, long_run)
+    # No run is longer than its key.
+    busy = requests.groupBy("key").count().where(F.col("count") > long_run).first()
+    short, long = _by_length(cut, long_run) if busy else (cut, None)
     done = _streamed(short, rate, per, out)
     while long is not None:
         judged = stored(first_stretch(long, rate, per, rows), "stretch")

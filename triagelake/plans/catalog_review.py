@@ -314,17 +314,17 @@ def _(t):
 
 @query(
     "f14_line_changes",
-    "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS o, string_split(replace(text, ', ', ',' || chr(10)), chr(10)) AS f FROM documents), "
-    "h AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(o), len(f)) + 1), lambda i: o[i] IS DISTINCT FROM f[i])) - 1, len(o)) AS head, "
-    "coalesce(list_min(list_filter(range(1, greatest(len(o), len(f)) + 1), lambda i: list_reverse(o)[i] IS DISTINCT FROM list_reverse(f)[i])) - 1, len(o)) AS same FROM s), "
-    "g AS (SELECT *, least(same, len(o) - head, len(f) - head) AS tail FROM h) "
-    "SELECT doc_id, '-' AS op, CAST(i AS INT) AS line_number, o[i] AS line FROM (SELECT *, unnest(range(head + 1, len(o) - tail + 1)) AS i FROM g) a UNION ALL "
-    "SELECT doc_id, '+', CAST(i AS INT), f[i] FROM (SELECT *, unnest(range(head + 1, len(f) - tail + 1)) AS i FROM g) b",
+    "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS o FROM documents), "
+    "x AS (SELECT doc_id, i, CAST(i AS VARCHAR) || ':' || o[i] AS line FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM s) t), "
+    "y AS (SELECT *, string_split(replace(line, ', ', ',' || chr(10)), chr(10)) AS p FROM x), "
+    "z AS (SELECT *, coalesce(sum(len(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM y) "
+    "SELECT doc_id, '-' AS op, CAST(i AS INT) AS line_number, line FROM z WHERE len(p) > 1 UNION ALL "
+    "SELECT doc_id, '+', CAST(b + k AS INT), p[k] FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM z WHERE len(p) > 1) q",
 )
 def _(t):
-    rows = t.documents.select(
-        "doc_id", F.col("text").alias("original_code"), F.replace("text", F.lit(", "), F.lit(",\n")).alias("fixed_code")
-    )
+    """Numbered lines broken after their commas: many hunks a text, with unchanged lines between them."""
+    numbered = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x)), "\n")
+    rows = t.documents.select("doc_id", numbered.alias("original_code"), F.replace(numbered, F.lit(", "), F.lit(",\n")).alias("fixed_code"))
     return fixes.line_changes(rows, "doc_id")
 
 
