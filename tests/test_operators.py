@@ -668,6 +668,70 @@ def test_symbol_spans(table):
     assert got[3] == got[4] == got[5] == []
 
 
+COMMENTED = """class K:
+    async def h(self):
+        return "# not a comment"
+# a comment at the left
+    def i(self):
+        x = (1,
+2)
+        return x \\
++ 1
+# another
+\'\'\'text
+def quoted(): pass
+\'\'\'
+def j(): pass
+"""
+
+UNINDENTED = """function a(x) {
+if (x) {
+return "}" // }
+}
+}
+class B extends mixin({}) {
+m({p, q} = {}) {
+const f = async (t) => {
+/* { */
+}
+}
+}
+function overload(a);
+export const g = v => {
+`${v} {
+{`
+}
+function open() {
+x()
+"""
+
+
+def test_spans_whatever_the_layout():
+    from triagelake.functions.symbols import javascript_spans, python_spans
+
+    assert python_spans(COMMENTED) == [("class", "K", 1, 9), ("function", "h", 2, 3), ("function", "i", 5, 9), ("function", "j", 14, 14)]
+    assert javascript_spans(UNINDENTED) == [
+        ("function", "a", 1, 5), ("class", "B", 6, 12), ("function", "m", 7, 11), ("function", None, 8, 10), ("function", "overload", 13, 13), ("function", None, 14, 17), ("function", "open", 18, 19),
+    ]
+    assert python_spans("") == javascript_spans("") == [] and javascript_spans("}}{(") == [] and python_spans(")))\ndef a(): (") == [("function", "a", 2, 2)]
+
+
+def test_spans_cost_grows_with_the_lines():
+    import time
+
+    from triagelake.functions.symbols import javascript_spans, python_spans
+
+    def seconds(read, text):
+        start = time.perf_counter()
+        found = read(text)
+        return time.perf_counter() - start, len(found)
+
+    for read, one in ((python_spans, "class A{}:\n    def m(self):\n        return 1\n"), (javascript_spans, "class A{} {{\nm(x) {{\nreturn x\n}}\n}}\n")):
+        small, n = seconds(read, "".join(one.format(i) for i in range(4_000)))
+        large, m = seconds(read, "".join(one.format(i) for i in range(64_000)))
+        assert (n, m) == (8_000, 128_000) and large < 60 * max(small, 0.01)
+
+
 def test_files_are_named_by_repository_and_path(table):
     files = table([("a", "f", "1\n2\n3"), ("b", "f", "x")], "repo string, file_path string, content string")
     by = ["repo", "file_path"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.symbols import symbol_spans
+from triagelake.functions.symbols import enclosing_symbols, symbol_spans
 
 CONTEXT_LINES = 10
 MAX_IMPORTS = 10
@@ -101,35 +101,14 @@ def _imports(lines: Column, language: Column, n: int = MAX_IMPORTS) -> Column:
     return F.slice(F.when(javascript, matching("javascript")).otherwise(matching("python")), 1, n)
 
 
-def file_imports(files: DataFrame, n: int = MAX_IMPORTS) -> DataFrame:
-    """First ``n`` import statements per file, computed row by row without a shuffle."""
-    return files.select("file_path", _imports(_lines(), F.col("language"), n).alias("imports"))
+def file_imports(files: DataFrame, n: int = MAX_IMPORTS, by: Sequence[str] = PATH) -> DataFrame:
+    """First ``n`` import statements per file named by ``by``, computed row by row without a shuffle."""
+    return files.select(*by, _imports(_lines(), F.col("language"), n).alias("imports"))
 
 
-def spans(files: DataFrame) -> DataFrame:
-    """One row per function or class of ``(file_path, content, language)``."""
-    return files.select("file_path", F.explode(symbol_spans(F.col("content"), F.col("language"))).alias("s")).select(
-        "file_path", "s.*"
-    )
-
-
-def _innermost(kind: str, line: Column) -> Column:
-    """The smallest span of a kind around a line, the latest start first among equals."""
-    around = F.filter(
-        "spans",
-        lambda s: (s["kind"] == kind) & (s["start_line"] <= line) & (s["end_line"] >= line),
-    )
-    ranked = F.transform(
-        around,
-        lambda s: F.struct(
-            (s["end_line"] - s["start_line"]).alias("size"),
-            (-s["start_line"]).alias("late"),
-            s["name"].alias("name"),
-            s["start_line"].alias("start_line"),
-            s["end_line"].alias("end_line"),
-        ),
-    )
-    return F.array_min(ranked)
+def spans(files: DataFrame, by: Sequence[str] = PATH) -> DataFrame:
+    """One row per function or class of files named by ``by`` with ``content, language``."""
+    return files.select(*by, F.explode(symbol_spans(F.col("content"), F.col("language"))).alias("s")).select(*by, "s.*")
 
 
 def place_contexts(
@@ -146,43 +125,41 @@ def place_contexts(
     places = findings.where("line_number IS NOT NULL").groupBy(*by).agg(F.collect_set("line_number").alias("places"))
     rows = (
         files.join(places, [*by])
-        .withColumn("spans", symbol_spans(F.col("content"), F.col("language")))
+        .withColumn("around", enclosing_symbols("content", "language", F.col("places").cast("array<int>")))
         .withColumn("lines", _lines())
         .withColumn("imports", _imports(F.col("lines"), F.col("language")))
     )
 
-    def around(line: Column) -> Column:
-        return F.struct(line.alias("line"), _innermost("function", line).alias("fn"), _innermost("class", line).alias("cls"))
-
     def bounds(p: Column) -> Column:
-        span = F.coalesce(p["fn"], p["cls"])
+        first, last = (F.coalesce(p[f"function_{end}"], p[f"class_{end}"]) for end in ("start", "end"))
         return F.struct(
             p["line"].alias("line"),
-            p["fn"].alias("fn"),
-            p["cls"].alias("cls"),
-            F.coalesce(span["start_line"], F.greatest(F.lit(1), p["line"] - context_lines)).alias("first"),
-            F.coalesce(span["end_line"], F.least(F.size("lines"), p["line"] + context_lines)).alias("last"),
+            p["function_start"].isNotNull().alias("in_function"),
+            first.isNotNull().alias("in_span"),
+            p["function_name"].alias("function_name"),
+            p["class_name"].alias("class_name"),
+            F.coalesce(first, F.greatest(F.lit(1), p["line"] - context_lines)).alias("first"),
+            F.coalesce(last, F.least(F.size("lines"), p["line"] + context_lines)).alias("last"),
         )
 
     def context(p: Column) -> Column:
-        in_span = F.coalesce(p["fn"], p["cls"]).isNotNull()
         text = F.array_join(F.slice("lines", p["first"], F.greatest(p["last"] - p["first"] + 1, F.lit(0))), "\n")
         return F.struct(
             F.col("file_path").alias("file"),
             p["line"].alias("target_line"),
             p["first"].alias("context_start_line"),
             p["last"].alias("context_end_line"),
-            F.when(in_span, F.ltrim(text)).otherwise(text).alias("context_code"),
-            F.when(p["fn"].isNotNull(), "function")
-            .when(p["cls"].isNotNull(), "class")
+            F.when(p["in_span"], F.ltrim(text)).otherwise(text).alias("context_code"),
+            F.when(p["in_function"], "function")
+            .when(p["in_span"], "class")
             .otherwise("line_based_fallback")
             .alias("context_type"),
-            p["fn"]["name"].alias("function_name"),
-            p["cls"]["name"].alias("class_name"),
+            p["function_name"].alias("function_name"),
+            p["class_name"].alias("class_name"),
             F.col("imports").alias("imports"),
         )
 
-    cut = F.transform(F.transform(F.transform("places", around), bounds), context)
+    cut = F.transform(F.transform("around", bounds), context)
     return rows.select(*by, F.explode(cut).alias("context")).select(
         *by, F.col("context.target_line").alias("line_number"), "context"
     )
