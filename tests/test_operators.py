@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -748,6 +749,72 @@ def test_files_are_named_by_repository_and_path(table):
     assert [r.repo for r in kept.collect()] == ["b"]
 
 
+def test_five_calls_in_flight(table):
+    """Answers come in order, five calls run at once, a call that fails costs its own row."""
+    import threading
+    import time
+
+    lock, open_ = threading.Lock(), [0, 0]
+    answer = '{"decision": "true_positive", "confidence": 0.5, "reasoning": "%s was read"}'
+
+    def slow(texts):
+        with lock:
+            open_[0] += 1
+            open_[1] = max(open_)
+        time.sleep(0.02 + 0.03 * (len(texts[0]) % 3))
+        with lock:
+            open_[0] -= 1
+        if "7" in texts[0]:
+            raise RuntimeError(texts)
+        return [answer % t for t in texts]
+
+    frame = pd.DataFrame({"key": [str(i) for i in range(40)], "prompt": [f"prompt {i}" for i in range(40)], "content": [None] * 40})
+    frame.loc[3, "content"] = "kept"
+    (out,) = review._complete(slow, 1, "", 5)(iter([frame]))
+    assert open_[1] == 5 and out["content"][3] == "kept"
+    for i in range(40):
+        if i != 3:
+            assert out["content"][i] == (None if "7" in str(i) else answer % f"prompt {i}")
+
+    def failing(texts):
+        if "7" in texts[0]:
+            raise ValueError(texts)
+        return [answer % t for t in texts]
+
+    asked = table([(str(i), f"prompt {i}") for i in range(20)], "key string, prompt string")
+    got = {r.key: r.decision for r in review.parse_verdicts(review.complete_prompts(asked, failing).select("key", "content")).collect()}
+    assert got == {str(i): "uncertain" if "7" in str(i) else "true_positive" for i in range(20)}
+
+
+def test_repeated_batches_are_stored_once(spark, table, tmp_path):
+    ddl = "timestamp timestamp, provider string, cost_usd double"
+    rows = [(datetime(2024, m, 5), p, c) for m in (1, 2, 3) for p, c in (("openai", 0.5), (None, None), ("openai", 0.5))]
+    path = str(tmp_path / "costs")
+    costs.write_costs(table(rows, ddl), path)
+    costs.write_costs(table(rows, ddl), path)
+    assert spark.read.parquet(path).count() == 6
+    costs.write_costs(table([(datetime(2024, 3, 5), "openai", 0.25), *rows[:2]], ddl), path)
+    assert spark.read.parquet(path).count() == 7
+    costs.write_costs(table([], ddl), path)
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_merged_sketches_equal_direct_ones(table):
+    rng = random.Random(2)
+    rows = [(T0 + timedelta(seconds=rng.randrange(2 * 86400)), rng.choice(["a", "a", "b"]), rng.choice([None, rng.expovariate(1.0)])) for _ in range(6000)]
+    df = table(rows, "ts timestamp, lane string, d double")
+    exact = {(r.window_start, r.lane): (r.n, r.quantile) for r in metrics.exact_quantile(df, 0.9, ["lane"], "d").collect()}
+    fine = metrics.quantile_sketches(df, ["lane"], "d", seconds=300)
+    for sketches in (metrics.merge_sketches(fine, ["lane"], "day"), metrics.merge_sketches(metrics.merge_sketches(fine, ["lane"], "hour"), ["lane"], "day")):
+        got = metrics.sketched_quantile(sketches, 0.9).collect()
+        assert len(got) == len(exact) == 4
+        for r in got:
+            own = [d for ts, lane, d in rows if d is not None and lane == r.lane and ts.date() == r.window_start.date()]
+            assert r.n == exact[r.window_start, r.lane][0] == len(own)
+            assert abs(sum(d <= r.quantile for d in own) / len(own) - 0.9) < 0.01
+            assert abs(sum(d <= exact[r.window_start, r.lane][1] for d in own) / len(own) - 0.9) < 2 / len(own)
+
+
 def test_verdicts_are_one_strict_object(table):
     good = '{"decision": "true_positive", "confidence": %s, "reasoning": "long enough text"}'
     texts = [good % "0.9", good % '"0.9"', (good % "0.9") + " and more", (good % "0.9") + "] x", (good % "0.9").replace('"', "'"), "[%s]" % (good % "0.9"), good % '"x"', good % "0.9" + "," + good % "0.9", "", None, " " + good % "0.5" + "\n"]

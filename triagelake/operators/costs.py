@@ -7,6 +7,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.sinks.exports import add_to_set
+
 # Fixed values: (provider, model, USD per 1000 input tokens, USD per 1000 output tokens).
 PRICES = [
     ("openai", "gpt-4o", 0.0025, 0.010),
@@ -174,5 +176,5 @@ def retained(entries: DataFrame, now: Column, days: int = RETENTION_DAYS) -> Dat
 
 
 def write_costs(entries: DataFrame, path: str) -> None:
-    """Append entries, one folder per month so that range queries prune."""
-    entries.withColumn("month", month_of(F.col("timestamp"))).write.mode("append").partitionBy("month").parquet(path)
+    """Add entries to the stored set, one folder per month so that range queries prune; an entry already stored is not stored again."""
+    add_to_set(entries.withColumn("month", month_of(F.col("timestamp"))), path, "month")

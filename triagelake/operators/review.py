@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,29 +73,37 @@ def parse_verdicts(responses: DataFrame, content: str = "content") -> DataFrame:
     return parsed.select(*kept, ok.alias("valid"), *out)
 
 
-def _complete(complete: Completer, batch: int, prefix: str):
+def _complete(complete: Completer, batch: int, prefix: str, in_flight: int):
+    def call(texts: list[str]) -> list[str | None]:
+        try:
+            return complete(texts)
+        except Exception:  # what a model service may raise is not known here; its rows become uncertain
+            return [None] * len(texts)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fresh = frame["content"].isna()
-            texts = [prefix + text for text in frame.loc[fresh, "prompt"]]
-            answers: list[str | None] = []
-            for i in range(0, len(texts), batch):
-                answers.extend(complete(texts[i : i + batch]))
-            out = pd.DataFrame({"key": frame["key"], "content": frame["content"].astype(object), "fresh": fresh})
-            out["prompt_chars"] = 0
-            out.loc[fresh, "content"] = answers
-            out.loc[fresh, "prompt_chars"] = [len(text) for text in texts]
-            yield out
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                fresh = frame["content"].isna()
+                texts = [prefix + text for text in frame.loc[fresh, "prompt"]]
+                # map() gives the answers in order, whichever call ends first.
+                calls = pool.map(call, (texts[i : i + batch] for i in range(0, len(texts), batch)))
+                answers = [answer for own in calls for answer in own]
+                out = pd.DataFrame({"key": frame["key"], "content": frame["content"].astype(object), "fresh": fresh})
+                out["prompt_chars"] = 0
+                out.loc[fresh, "content"] = answers
+                out.loc[fresh, "prompt_chars"] = [len(text) for text in texts]
+                yield out
 
     return run
 
 
 def complete_prompts(
-    asked: DataFrame, complete: Completer, batch: int = BATCH, parallel: int | None = None, prefix: str = ""
+    asked: DataFrame, complete: Completer, batch: int = 1, parallel: int | None = None, prefix: str = "", in_flight: int = BATCH
 ) -> DataFrame:
     """``(key, prompt[, content])`` → ``(key, content, fresh, prompt_chars)``, ``batch`` prompts per call.
 
-    Rows that already have content pass through. ``parallel`` bounds how many tasks call the
+    A task has up to ``in_flight`` calls open at once; a call that raises leaves its own rows without
+    content, which makes their verdicts uncertain. Rows that already have content pass through. ``parallel`` bounds how many tasks call the
     completer at once; ``prefix`` is put before every prompt on the Python side, so that a
     long constant text is not moved with each row.
     """
@@ -103,7 +112,7 @@ def complete_prompts(
     if parallel is not None:
         asked = asked.repartition(parallel, "key")
     return asked.select("key", "prompt", "content").mapInPandas(
-        _complete(complete, batch, prefix), "key string, content string, fresh boolean, prompt_chars long"
+        _complete(complete, batch, prefix, in_flight), "key string, content string, fresh boolean, prompt_chars long"
     )
 
 

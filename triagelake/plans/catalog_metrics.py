@@ -899,6 +899,35 @@ for _label, _seconds in (("language", 300), ("provider", 300)):
         )
 
 
+@query(
+    "a20_p95_duration_exact",
+    "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, language, count(duration) AS n, round(quantile_cont(CAST(duration AS DOUBLE), 0.95), 6) AS p95 "
+    "FROM metric_samples WHERE duration IS NOT NULL GROUP BY 1, 2",
+    "metric_samples",
+)
+def _(t):
+    out = metrics.exact_quantile(t.metric_samples, 0.95, ["language"], "duration")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "language", "n", F.round("quantile", 6).alias("p95"))
+
+
+@query(
+    "a20_p95_duration_sketched",
+    "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, language, count(duration) AS n, TRUE AS within_bound "
+    "FROM metric_samples WHERE duration IS NOT NULL GROUP BY 1, 2",
+    "metric_samples",
+)
+def _(t):
+    """Five-minute sketches merged to days; the share of the rows below each answer is within a hundredth of 0.95."""
+    merged = metrics.merge_sketches(metrics.quantile_sketches(t.metric_samples, ["language"], "duration"), ["language"], "day")
+    answers = metrics.sketched_quantile(merged, 0.95).withColumnRenamed("n", "of")
+    rows = t.metric_samples.where("duration IS NOT NULL").withColumn("window_start", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    ranked = rows.join(answers, ["window_start", "language"]).groupBy("window_start", "language", "of").agg(
+        F.count("*").alias("n"), F.count_if(F.col("duration") < F.col("quantile")).alias("below"), F.count_if(F.col("duration") <= F.col("quantile")).alias("upto")
+    )
+    within = (F.col("below") <= 0.96 * F.col("n")) & (F.col("upto") >= 0.94 * F.col("n")) & (F.col("of") == F.col("n"))
+    return ranked.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "language", "n", within.alias("within_bound"))
+
+
 @query(
     "w03_active_scans",
     "WITH marks AS (SELECT event_id AS order_id, ts, user_id % 5 AS lane, CASE WHEN event_type IN ('click', 'signup') "
