@@ -50,11 +50,13 @@ def _doubles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    # Divided by a power of two first, which is exact, squares of huge and tiny components neither overflow nor vanish.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _codes(batches):
-    """name, embedding -> the key of every band, for vectors whose length is a finite number above zero."""
+    """name, embedding -> the key of every band, for vectors of finite components that are not all zero."""
     for b in batches:
         names = b.column(0).to_numpy(zero_copy_only=False)
         count = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -62,9 +64,10 @@ def _codes(batches):
         ends = np.cumsum(count)
         for dim in np.unique(count):
             rows = np.flatnonzero(count == dim)
+            if not dim:
+                continue
             x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
-            norm = np.sqrt((x * x).sum(axis=1))
-            good = np.isfinite(norm) & (norm > 0)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             rows, x = rows[good], x[good]
             bits = (_unit(x) @ rotations(int(dim)).T)[:, : BANDS * BITS] > 0
             keys = bits.reshape(len(rows), BANDS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
@@ -95,8 +98,8 @@ def _compare(band: int, same: np.ndarray, i: np.ndarray, j: np.ndarray, code: np
     bound = WIDTH * np.sqrt(np.maximum(1 - factor**2, 0) / (factor**2 * max(dim - 1, 1)))
     maybe = (estimate + bound[:, None])[a, b] >= threshold
     a, b = a[maybe], b[maybe]
-    exact = np.einsum("nd,nd->n", unit[i[a]], unit[j[b]])
-    link = exact >= threshold
+    # One product of the two blocks; gathering the rows of all pairs would take their number times the length.
+    link = (unit[i] @ unit[j].T)[a, b] >= threshold
     return a[link], b[link]
 
 
