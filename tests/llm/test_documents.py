@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+import pytest
 from collections import Counter, defaultdict
 
 from messy import docs, messy_rows, no_docs  # noqa: F401
@@ -56,6 +57,19 @@ def test_jaccard_keeps_one_of_each_group(docs):
     assert 1 in ids and not ids & {2, 3, 9} and {5, 6, 7, 8, None} <= ids
 
 
+def test_jaccard_keeps_one_row_by_id_and_text(table):
+    """An id two texts share loses only the copy; repeated rows and null ids of a group go too; wordless rows stay."""
+    a, clean, other = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (2, clean, "x"), (3, other, "x"), (None, a, "x"), (4, None, "x"), (4, None, "x"), (5, " ", "x"), (None, clean + " end", "x")]
+    df = table(rows, "doc_id long, text string, rows string").repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted([(1, a, "x"), (2, clean, "x"), (3, other, "x"), (4, None, "x"), (4, None, "x"), (5, " ", "x")], key=key)
+    with pytest.raises(ValueError):
+        jaccard.join_documents(df, 70)
+
+
 def repeated_lines(rows, least):
     """Lines to delete by comparing every position with all earlier ones."""
     seen = sorted({(d is not None, d or 0, t or "") for d, t, *_ in rows})

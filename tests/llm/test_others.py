@@ -121,6 +121,15 @@ def test_urls(table):
     assert {r.verdict for r in urls.judge(pages, lists.filter("false"), "block").collect()} == {"block"}
 
 
+def test_urls_under_rules_of_many_lengths(table):
+    """Five thousand rules of as many path lengths: each page finds its own rule, none a shorter one."""
+    rules = [("a.com", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(5000)]
+    pages = [(n, f"http://a.com/{'x' * n}") for n in (0, 1, 2, 500, 4094, 4095, 4096, 4097, 4998, 4999, 6000)]
+    got = urls.judge(table(pages, "page_id long, url string"), table(rules, "host string, path string, verdict string")).collect()
+    assert {r.page_id: len(r.rule) - 6 for r in got} == {n: min(n, 4999) for n, _ in pages}
+    assert all((r.verdict == "block") == (min(r.page_id, 4999) % 2 == 1) for r in got)
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
     field = urls.bloom(keys)
@@ -155,6 +164,13 @@ def test_vectors(table):
     assert vectors.link_vectors(df.filter("false")).count() == 0
 
 
+def test_vectors_of_huge_and_tiny_values(table):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e-320, 1e-320]), (5, [1e300, -1e300]), (6, [1.7e308, 1.7e308]), (7, [0.0, 0.0]), (8, [1e308, float("inf")])]
+    df = table([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.link_vectors(df).collect()}
+    assert got == {i: (4, 1) for i in (1, 2, 3, 4, 6)} | {i: (0, i) for i in (5, 7, 8)}
+
+
 def test_code_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))

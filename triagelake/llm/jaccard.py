@@ -336,15 +336,10 @@ def exact_links(docs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFram
     return tasks.groupBy("component", "i", "j").applyInArrow(_comparison(percent), "u long, v long")
 
 
-def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, a row per document.
-
-    Documents whose sets of distinct five-word shingles have a Jaccard similarity of at least
-    ``percent`` / 100 link; the component is the smallest doc_id reachable. Null, empty and
-    wordless texts have no shingles and link with nothing. Repeated rows each get a row.
-    A document with a null id can link others; a component of null ids only has a null name.
-    Extra columns are not read.
-    """
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`describe` of the documents, and ``node, component, component_id`` of their sets."""
+    if percent < 80:
+        raise ValueError("bands of sizes and neighbourhoods of small sets hold from 80 per cent on")
     meta = materialize(describe(docs), "sets")
     edges = materialize(candidate_links(docs, percent).filter("u <> v"), "candidates")
     near = components(edges).toDF("node", "component")
@@ -358,16 +353,36 @@ def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     class_id = meta.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = class_id.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_node = materialize(named.join(lowest, "component").select("node", "component_id"), "classes")
+    return meta, materialize(named.join(lowest, "component").select("node", "component", "component_id"), "classes")
+
+
+def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, a row per document.
+
+    Documents whose sets of distinct five-word shingles have a Jaccard similarity of at least
+    ``percent`` / 100 link (80 or more; less raises ``ValueError``); the component is the smallest doc_id reachable. Null, empty and
+    wordless texts have no shingles and link with nothing. Repeated rows each get a row.
+    A document with a null id can link others; a component of null ids only has a null name.
+    Extra columns are not read.
+    """
+    meta, of_node = _classes(docs, percent)
     rows = meta.join(of_node, "node", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest id.
+    """One row of each group of linked documents stays: that with the smallest id (null ids last), then text hash.
 
-    Rows with a null id and further rows with a kept id stay as they are; nothing names them.
+    Rows are told apart by id and text, so of two texts that share an id only the one that is a copy goes, and of repeated rows
+    of the kept one a single row stays. Documents without words are in no group and all stay. The columns are those of ``docs``.
     """
-    groups = join_documents(docs, percent)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    meta, of_node = _classes(docs, percent)
+    rows = meta.filter("node <> 0").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    rows = rows.join(of_node.select("node", "component"), "node").withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    first = rows.groupBy("component").agg(F.min("order").alias("first"))
+    marked = rows.join(first, "component").select(F.struct("doc_id", "text_hash").alias("__row"), (F.col("order") == F.col("first")).alias("kept"), "rows")
+    marked = materialize(marked.filter("not kept or rows > 1").select("__row", "kept"), "marked")
+    named = docs.withColumn("__row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    single = named.join(marked.select("__row"), "__row", "left_anti")
+    repeated = named.join(marked.filter("kept").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(repeated).select(*docs.columns)
