@@ -24,33 +24,60 @@ def found(table):
     return table([*rows, (99, 3, None, None, None, None, None, None)], FINDING)
 
 
-def test_reports_are_cut_into_documents(found):
+def _documents(path, by):
+    """Documents as written: the files of a folder, one after another by name."""
+    return {
+        d.name.removeprefix(f"{by}="): "".join(f.read_text() for f in sorted(d.glob("part-*")))
+        for d in path.iterdir()
+        if d.is_dir()
+    }
+
+
+def test_one_document_per_job(table, found, tmp_path):
     chunk = F.floor(F.col("id") / 5)
-    out = doc.sarif_reports(found, ["scan_job_id"], ["id"], chunk, per_document=10).collect()
-    parts = {(r.scan_job_id, r.part): json.loads(r.report) for r in out}
-    assert sorted(parts) == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
-    ids = [x["ruleId"] for p in range(3) for x in parts[(1, p)]["runs"][0]["results"]]
-    assert ids == [f"B{i}" for i in range(23)]
-    bare = parts[(3, 0)]["runs"][0]["results"][0]
+    jobs = table([(1,), (2,), (3,), (4,)], "scan_job_id long")
+    doc.write_documents(doc.sarif_report(found, ["scan_job_id"], ["id"], chunk, jobs), str(tmp_path / "sarif"), ["scan_job_id"])
+    logs = {k: json.loads(v) for k, v in _documents(tmp_path / "sarif", "scan_job_id").items()}
+    assert sorted(logs) == ["1", "2", "3", "4"]
+    assert [x["ruleId"] for x in logs["1"]["runs"][0]["results"]] == [f"B{i}" for i in range(23)]
+    bare = logs["3"]["runs"][0]["results"][0]
     assert (bare["ruleId"], bare["level"], bare["message"]["text"]) == ("unknown", "warning", "Security issue found")
     place = bare["locations"][0]["physicalLocation"]
     assert (place["artifactLocation"]["uri"], place["region"]["startLine"]) == ("unknown", 1)
-    assert parts[(1, 0)]["$schema"].endswith("sarif-schema-2.1.0.json")
-    out = doc.json_reports(found, ["scan_job_id"], ["id"], chunk, per_document=10).collect()
-    docs = {(r.scan_job_id, r.part): json.loads(r.report) for r in out}
-    assert docs[(1, 2)]["total_findings"] == 23 and len(docs[(1, 2)]["findings"]) == 3
-    assert docs[(1, 0)]["findings"][0]["description"] == 'say "hi" ✓'
-    assert docs[(3, 0)]["findings"][0]["rule_id"] is None
-    whole = [json.loads(r.report) for r in doc.json_reports(found, [], ["id"], chunk, per_document=20).collect()]
-    assert sorted(len(d["findings"]) for d in whole) == [11, 20]
-    assert {d["total_findings"] for d in whole} == {31}
+    assert logs["4"]["runs"][0]["results"] == [] and logs["4"]["$schema"].endswith("sarif-schema-2.1.0.json")
+    doc.write_documents(doc.json_report(found, ["scan_job_id"], ["id"], chunk), str(tmp_path / "json"), ["scan_job_id"])
+    reports = {k: json.loads(v) for k, v in _documents(tmp_path / "json", "scan_job_id").items()}
+    assert sorted(reports) == ["1", "2", "3"]
+    assert reports["1"]["total_findings"] == len(reports["1"]["findings"]) == 23
+    assert reports["1"]["findings"][0]["description"] == 'say "hi" ✓' and reports["3"]["findings"][0]["rule_id"] is None
+    whole = doc.json_report(found, [], ["id"], chunk).orderBy("number").collect()
+    whole = json.loads("".join(r.text for r in whole))
+    assert whole["total_findings"] == len(whole["findings"]) == 31
+    nothing = doc.json_report(found.where("false"), [], ["id"], chunk).orderBy("number").collect()
+    assert json.loads("".join(r.text for r in nothing)) == {"total_findings": 0, "findings": []}
+
+
+def test_large_job_is_one_log(spark, tmp_path):
+    """20 000 findings of one job among small ones, the job spread over ranges and chunks."""
+    ids = spark.range(20_100).select("id", F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("scan_job_id"))
+    found = ids.selectExpr("*", "concat('R', id) AS rule_id", "'LOW' AS severity", "'d' AS description", "'a.py' AS file_path", "1 AS line_number")
+    rows = doc.sarif_report(found, ["scan_job_id"], ["id"], F.floor(F.col("id") / 1000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        doc.write_documents(rows, str(tmp_path / "sarif"), ["scan_job_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "sarif" / "scan_job_id=7").glob("part-*"))) > 1
+    logs = {k: json.loads(v) for k, v in _documents(tmp_path / "sarif", "scan_job_id").items()}
+    assert len(logs) == 101
+    assert [x["ruleId"] for x in logs["7"]["runs"][0]["results"]] == [f"R{i}" for i in range(20_000)]
 
 
 def test_text_report_files(spark, table, found, tmp_path):
     jobs = table([(1,), (2,), (3,), (4,)], "scan_job_id long")
     report = doc.text_report(found, jobs, "scan_job_id", ["id"], F.floor(F.col("id") / 5))
     path = str(tmp_path / "text")
-    doc.write_text_report(report, path, "scan_job_id")
+    doc.write_documents(report, path, ["scan_job_id"])
     text = spark.read.format("text").option("wholetext", True).load(f"{path}/scan_job_id=2").collect()
     body = "".join(r.value for r in text)
     assert body.startswith("\n🔍 Found 7 security issue(s):\n\n1. 🟠 [HIGH] B23\n   File: a.py:23\n   Tool: bandit\n")

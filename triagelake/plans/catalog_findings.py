@@ -314,48 +314,61 @@ def _(t):
 _NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY scan_job_id ORDER BY id) AS rn, count(*) OVER (PARTITION BY scan_job_id) AS total FROM findings)"
 
 
+_FRAMED = (
+    "c AS (SELECT j.id AS scan_job_id, count(f.id) AS k FROM scan_jobs j LEFT JOIN findings f ON f.scan_job_id = j.id GROUP BY 1)"
+)
+
+
+def _entries_of(rows, ddl):
+    """Rows of JSON documents with the entries parsed as ``e``; head and foot keep their ``text``."""
+    comma = F.col("text").startswith(",")
+    entry = F.when(~F.col("text").rlike("^(\\]|\\{\"(total_findings|version)\")"), F.expr("ltrim(',', text)"))
+    return rows.withColumns({"comma": comma, "e": F.from_json(entry, ddl)}).withColumn("frame", F.when(F.col("e").isNull(), F.col("text")))
+
+
 @query(
     "k01_json_reports",
-    f"WITH {_NUMBERED} SELECT scan_job_id, (rn - 1) // 10 AS part, total AS total_findings, (rn - 1) % 10 AS pos, tool, severity, confidence, description, "
-    "file_path, line_number, code_snippet, rule_id FROM n",
-    "findings",
+    f"WITH {_NUMBERED}, {_FRAMED} SELECT scan_job_id, rn AS number, rn > 1 AS comma, CAST(NULL AS VARCHAR) AS frame, tool, severity, confidence, description, "
+    "file_path, line_number, code_snippet, rule_id FROM n UNION ALL SELECT scan_job_id, 0, false, '{\"total_findings\":' || CAST(k AS VARCHAR) || "
+    "',\"findings\":[', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c UNION ALL SELECT scan_job_id, k + 1, false, ']}', NULL, NULL, NULL, NULL, "
+    "NULL, NULL, NULL, NULL FROM c",
+    "findings scan_jobs",
 )
 def _(t):
-    out = doc.json_reports(t.findings, ["scan_job_id"], ["id"], _ids(), per_document=10)
+    jobs = t.scan_jobs.select(F.col("id").alias("scan_job_id"))
+    rows = doc.json_report(t.findings, ["scan_job_id"], ["id"], _ids(), jobs)
     ddl = (
-        "total_findings long, findings array<struct<tool:string,severity:string,confidence:string,description:string,file_path:string,"
-        "line_number:int,code_snippet:string,rule_id:string>>"
-    )
-    parsed = out.withColumn("r", F.from_json("report", ddl))
-    return parsed.select("scan_job_id", "part", "r.total_findings", F.posexplode("r.findings").alias("pos", "f")).select(
-        "scan_job_id", "part", "total_findings", F.col("pos").cast("long").alias("pos"), "f.*"
+        "tool string, severity string, confidence string, description string, file_path string, line_number int, code_snippet string, "
+        "rule_id string"
     )
+    return _entries_of(rows, ddl).select("scan_job_id", "number", "comma", "frame", "e.*")
 
 
 @query(
     "k02_sarif_reports",
-    f"WITH {_NUMBERED} SELECT scan_job_id, '2.1.0' AS version, (rn - 1) // 10 AS part, (rn - 1) % 10 AS pos, rule_id, CASE severity WHEN 'CRITICAL' THEN "
+    f"WITH {_NUMBERED}, {_FRAMED} SELECT scan_job_id, rn AS number, rn > 1 AS comma, CAST(NULL AS VARCHAR) AS frame, rule_id, CASE severity WHEN 'CRITICAL' THEN "
     "'error' WHEN 'HIGH' THEN 'error' WHEN 'LOW' THEN 'note' ELSE 'warning' END AS level, description AS message, file_path AS uri, line_number "
-    "AS start_line FROM n",
-    "findings",
+    "AS start_line FROM n UNION ALL SELECT scan_job_id, 0, false, '{\"version\":\"2.1.0\",\"$schema\":\"https://raw.githubusercontent.com/oasis-tcs/"
+    "sarif-spec/master/Schemata/sarif-schema-2.1.0.json\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"triagelake\",\"version\":\"1.0.0\"}},\"results\":[', "
+    "NULL, NULL, NULL, NULL, NULL FROM c UNION ALL SELECT scan_job_id, k + 1, false, ']}]}', NULL, NULL, NULL, NULL, NULL FROM c",
+    "findings scan_jobs",
 )
 def sarif(t):
-    out = doc.sarif_reports(t.findings, ["scan_job_id"], ["id"], _ids(), per_document=10)
+    jobs = t.scan_jobs.select(F.col("id").alias("scan_job_id"))
+    rows = doc.sarif_report(t.findings, ["scan_job_id"], ["id"], _ids(), jobs)
     ddl = (
-        "version string, runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<"
-        "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
+        "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<"
+        "artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
     )
-    parsed = out.withColumn("r", F.from_json("report", ddl))
-    rows = parsed.select("scan_job_id", "part", "r.version", F.posexplode(F.col("r.runs")[0]["results"]).alias("pos", "x"))
-    place = F.col("x.locations")[0]["physicalLocation"]
-    return rows.select(
+    place = F.col("e.locations")[0]["physicalLocation"]
+    return _entries_of(rows, ddl).select(
         "scan_job_id",
-        "part",
-        "version",
-        F.col("pos").cast("long").alias("pos"),
-        F.col("x.ruleId").alias("rule_id"),
-        F.col("x.level").alias("level"),
-        F.col("x.message.text").alias("message"),
+        "number",
+        "comma",
+        "frame",
+        F.col("e.ruleId").alias("rule_id"),
+        F.col("e.level").alias("level"),
+        F.col("e.message.text").alias("message"),
         place["artifactLocation"]["uri"].alias("uri"),
         place["region"]["startLine"].alias("start_line"),
     )

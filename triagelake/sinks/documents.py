@@ -32,34 +32,56 @@ NOTHING_TEXT = "✅ **Security Scan Complete** - No verified security issues fou
 CWE_URL = "https://cwe.mitre.org/data/definitions/"
 
 
-def _parts(
-    findings: DataFrame, by: list[str], order: list[str], chunk: Column, entry: Column, per_document: int
+def _document_rows(
+    findings: DataFrame,
+    by: list[str],
+    order: list[str],
+    chunk: Column,
+    entry: Column,
+    head: Column,
+    foot: str,
+    empty: Column | None = None,
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordered entries in documents of bounded size: ``by``, ``part``, ``entries``, ``total``.
+    """One document per job as rows ``(by, number, text)``: a head at 0, the entries from 1 in ``order``, a foot.
 
-    A job of any size is spread over as many documents as it needs; no task gathers more
-    than ``per_document`` entries.
+    ``head`` may use the job's number of findings ``n``. Written in the order of ``(by, number)`` the rows are
+    the document, whatever its size: no task or row gathers a job. The jobs are those of ``jobs``, with or
+    without findings (a job without any that has an ``empty`` text is that one row), or else those that have findings.
     """
-    numbered = running_number(findings.withColumn("__entry", entry), by, order, chunk, "__n")
-    numbered = numbered.withColumn("part", F.floor((F.col("__n") - 1) / per_document))
-    parts = numbered.groupBy(*by, "part").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__n", "__entry"))), lambda e: e["__entry"]
-        ).alias("entries")
-    )
-    if not by:
-        return parts.withColumn("total", findings.agg(F.count("*")).scalar())
-    return parts.join(findings.groupBy(*by).agg(F.count("*").alias("total")), by)
-
-
-def json_reports(
-    findings: DataFrame, by: list[str], order: list[str], chunk: Column, per_document: int = 5000
+    numbered = running_number(findings, by, order, chunk, "number")
+    entries = numbered.select(*by, "number", entry.alias("text"))
+    if by:
+        counts = findings.groupBy(*by).agg(F.count("*").alias("n"))
+    else:
+        counts = findings.agg(F.count("*").alias("n"))
+    if jobs is not None:
+        same = [jobs[c].eqNullSafe(counts[c]) for c in by]
+        counts = jobs.join(counts, same, "left").select(*[jobs[c] for c in by], F.coalesce("n", F.lit(0)).alias("n"))
+    none = F.lit(False) if empty is None else F.col("n") == 0
+    first = F.when(none, F.lit(None) if empty is None else empty).otherwise(head)
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("number"), first.alias("text")))
+    if foot:
+        last = F.array(F.struct((F.col("n") + 1).alias("number"), F.lit(foot).alias("text")))
+        ends = F.when(none, ends).otherwise(F.concat(ends, last))
+    framed = counts.select(*by, F.explode(ends).alias("e")).select(*by, "e.number", "e.text")
+    return entries.unionByName(framed)
+
+
+def _json_entry(entry: Column, options: dict[str, str]) -> Column:
+    """One element of a JSON array, with the comma that parts it from the element before."""
+    return F.concat(F.when(F.col("number") > 1, ",").otherwise(""), F.to_json(entry, options))
+
+
+def json_report(
+    findings: DataFrame, by: list[str], order: list[str], chunk: Column, jobs: DataFrame | None = None
 ) -> DataFrame:
-    """JSON reports ``{total_findings, findings}``, one or more documents per job."""
+    """A JSON report ``{total_findings, findings}`` per job, as rows for :func:`write_documents`."""
     entry = F.struct(*[F.col(c) for c in REPORT_FIELDS if c in findings.columns])
-    parts = _parts(findings, by, order, chunk, entry, per_document)
-    body = F.struct(F.col("total").alias("total_findings"), F.col("entries").alias("findings"))
-    return parts.select(*by, "part", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+    head = F.concat(F.lit('{"total_findings":'), F.col("n").cast("string"), F.lit(',"findings":['))
+    return _document_rows(
+        findings, by, order, chunk, _json_entry(entry, {"ignoreNullFields": "false"}), head, "]}", jobs=jobs
+    )
 
 
 def sarif_result() -> Column:
@@ -79,17 +101,17 @@ def sarif_result() -> Column:
     )
 
 
-def sarif_reports(
-    findings: DataFrame, by: list[str], order: list[str], chunk: Column, per_document: int = 5000
+def sarif_report(
+    findings: DataFrame, by: list[str], order: list[str], chunk: Column, jobs: DataFrame | None = None
 ) -> DataFrame:
-    """SARIF documents, one or more per job."""
-    parts = _parts(findings, by, order, chunk, sarif_result(), per_document)
-    driver = F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"))
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("entries").alias("results"))
-    body = F.struct(
-        F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs")
+    """A SARIF document per job, as rows for :func:`write_documents`."""
+    head = (
+        f'{{"version":"{SARIF_VERSION}","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":'
+        f'{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}"}}}},"results":['
+    )
+    return _document_rows(
+        findings, by, order, chunk, _json_entry(sarif_result(), {}), F.lit(head), "]}]}", jobs=jobs
     )
-    return parts.select(*by, "part", F.to_json(body).alias("report"))
 
 
 def text_entry(number: Column) -> Column:
@@ -111,28 +133,23 @@ def text_report(
 ) -> DataFrame:
     """Text report as rows ``(by, number, text)``: a header at 0, then one row per finding.
 
-    Written in the order of ``(by, number)`` the rows are the report; a job without findings
-    has the single row that says so.
+    A job without findings has the single row that says so.
     """
-    numbered = running_number(findings, [by], order, chunk, "number")
-    entries = numbered.select(by, "number", text_entry(F.col("number")).alias("text"))
-    counts = findings.groupBy(by).agg(F.count("*").alias("n"))
-    found = F.concat(F.lit("\n🔍 Found "), F.col("n").cast("string"), F.lit(" security issue(s):\n"))
-    heads = jobs.select(by).join(counts, by, "left").select(
-        by, F.lit(0).cast("long").alias("number"), F.coalesce(found, F.lit(NO_ISSUES)).alias("text")
+    head = F.concat(F.lit("\n🔍 Found "), F.col("n").cast("string"), F.lit(" security issue(s):\n"))
+    own = jobs.select(by)
+    return _document_rows(
+        findings, [by], order, chunk, text_entry(F.col("number")), head, "", F.lit(NO_ISSUES), own
     )
-    return heads.unionByName(entries)
 
 
-def write_text_report(report: DataFrame, path: str, by: str) -> None:
-    """Write the rows in order, range-sorted, one folder per ``by`` value."""
-    (
-        report.orderBy(by, "number")
-        .select(by, "text")
-        .write.mode("overwrite")
-        .partitionBy(by)
-        .text(path)
-    )
+def write_documents(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Write the rows of documents in order, range-sorted, one folder per job (none: one document in ``path``).
+
+    A task starts a new file for each job, so the files of a folder, one after another by name, are the document;
+    a job has more than one file only where it reaches over several ranges of rows.
+    """
+    lines = rows.orderBy(*by, "number").select(*by, "text").write.mode("overwrite")
+    (lines.partitionBy(*by) if by else lines).text(path)
 
 
 def comment_body() -> Column:
