@@ -161,6 +161,39 @@ def test_dispatch_and_plug_in(spark, table):
     assert rp.tools_for_language("Rust") == ["cargo-audit", "cargo-clippy"]
 
 
+def test_all_tools_in_one_pass(spark, tmp_path):
+    """The same findings as tool by tool, with one scan of the table and no shuffle."""
+    contents = [
+        ("bandit", '{"results":[{"test_id":"B1"},{"test_id":"B2"}]}'),
+        ("eslint", '[{"filePath":"a.js"},{"filePath":"b.js","messages":[{"ruleId":"semi"},null,{"ruleId":"no-eval"}]}]'),
+        ("eslint-typescript", '[{"filePath":"b.ts","messages":[{"ruleId":"semi"},{"ruleId":"no-eval"}]}]'),
+        ("gosec", '{"Issues":[{"rule_id":"G1"}]}'),
+        ("cargo-audit", '{"vulnerabilities":{"list":[{"advisory":{"id":"R1"}}]}}'),
+        ("cargo-dependencies", '{"vulnerabilities":{"list":[{"advisory":{"id":"R2"}}]}}'),
+        ("cppcheck", "<results>"),
+        ("spotbugs", '<BugCollection><BugInstance type="T"/></BugCollection>'),
+        ("clang-tidy", "a.c:1:2: error: x [c]"),
+        ("npm-audit", '{"vulnerabilities":{"p":{}}}'),
+        ("alien", "?"),
+        (None, "{}"),
+        ("bandit", None),
+    ]
+    rows = [(str(i), tool, content, "f") for i, (tool, content) in enumerate(contents)]
+    spark.createDataFrame(rows, "report_id string, tool string, content string, file_path string").write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    got = rp.parse_reports(raw)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    alone = [rp.parser_for(t)(raw.where(raw.tool == t)).collect() for t in rp.READERS]
+    alone = [r for rows in alone for r in rows] + rp.unsupported_files(raw.where("tool = 'alien'")).collect()
+    assert sorted(map(str, got.collect())) == sorted(map(str, alone))
+    assert [(r.report_id, r.ord, r.rule_id) for r in got.where("tool = 'eslint'").orderBy("ord").collect()] == [
+        ("1", 1 << 32, "semi"), ("1", (1 << 32) + 2, "no-eval"),
+    ]
+    assert rp.parse_reports(raw, ["gosec"], report_unknown=False).count() == 1
+    assert rp.parse_reports(raw.limit(0)).count() == 0
+
+
 def test_read_report_files(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"results":[\n{"test_id":"B1"}\n]}')
     (tmp_path / "two.json").write_text("{broken")

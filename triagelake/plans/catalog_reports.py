@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.plans.registry import query
+from triagelake.plans.registry import oracle_sql, query
+from triagelake.session import stored
 from triagelake.sources import reports as rp
 
 # Every finding becomes one report of one to three entries.
@@ -26,8 +27,12 @@ def _reports(t, content: Column, tool: str = "") -> DataFrame:
     )
 
 
+_MAKERS = {}
+
+
 def _report(name: str, sql: str, parse, columns: list[str], make):
     """Register a round trip of one tool."""
+    _MAKERS[name] = make
 
     @query(name, f"WITH {_ENTRIES} SELECT {_BASE}, {sql} FROM e", "findings")
     def _(t):
@@ -464,36 +469,54 @@ def _(t):
     return out.select("report_id", "tool", "rule_id", "severity", "description", "file_path", "line_number")
 
 
+# Tool of a report, the query that reads the same reports alone, and what makes them.
+_MAKERS |= {
+    "s02_eslint": _eslint,
+    "s03_eslint_typescript": _eslint,
+    "s06_cargo_clippy": _clippy,
+    "s07_cppcheck": _cppcheck,
+    "s08_clang_tidy": _clang_tidy,
+    "s12_govulncheck": _govulncheck,
+}
 _DISPATCH = {
-    "bandit": lambda: _bandit(),
-    "eslint": lambda: _eslint(),
-    "eslint-typescript": lambda: _eslint(),
-    "gosec": lambda: F.to_json(
-        F.struct(F.array(F.struct("rule_id", F.col("description").alias("details"), F.col("line_number").alias("line"))).alias("Issues"))
-    ),
+    "bandit": "s01_bandit",
+    "eslint": "s02_eslint",
+    "eslint-typescript": "s03_eslint_typescript",
+    "gosec": "s04_gosec",
+    "cargo-audit": "s05_cargo_audit",
+    "cargo-clippy": "s06_cargo_clippy",
+    "cppcheck": "s07_cppcheck",
+    "clang-tidy": "s08_clang_tidy",
+    "spotbugs": "s09_spotbugs",
+    "pip-audit": "s10_pip_audit",
+    "npm-audit": "s11_npm_audit",
+    "govulncheck": "s12_govulncheck",
+    "cargo-dependencies": "s13_cargo_dependencies",
+    "dependency-check": "s14_dependency_check",
 }
+_FROM_ALL = [
+    f"SELECT report_id, ord, '{tool.replace('cargo-dependencies', 'cargo-audit')}' AS tool, rule_id, severity, description, file_path, line_number "
+    f"FROM ({oracle_sql()[name]}) t{i} WHERE CAST(report_id AS BIGINT) % 15 = {i}"
+    for i, (tool, name) in enumerate(_DISPATCH.items())
+]
 
 
 @query(
     "s21_parser_dispatch",
-    f"WITH {_ENTRIES} SELECT tool, rule_id, count(*) AS n FROM ("
-    "SELECT tool, rule_id FROM e WHERE tool = 'bandit' UNION ALL SELECT tool, rule_id FROM e WHERE tool = 'eslint' AND i <> 3 "
-    "UNION ALL SELECT tool, rule_id FROM e WHERE tool = 'eslint-typescript' AND i <> 3 AND rule_id <> 'no-danger' "
-    "UNION ALL SELECT tool, rule_id FROM findings WHERE tool = 'gosec' "
-    "UNION ALL SELECT 'scanner_registry', 'UNSUPPORTED_LANGUAGE' FROM findings WHERE tool = 'cargo-clippy') z GROUP BY 1, 2",
+    " UNION ALL ".join(_FROM_ALL) + " UNION ALL SELECT CAST(id AS VARCHAR), 0, 'scanner_registry', 'UNSUPPORTED_LANGUAGE', 'ERROR', "
+    "'No scanner available for file: ' || file_path, file_path, 1 FROM findings WHERE id % 15 = 14",
     "findings",
 )
 def _(t):
-    content = F.lit("")
-    for tool, make in _DISPATCH.items():
-        content = F.when(F.col("tool") == tool, make()).otherwise(content)
-    raw = t.findings.select(
-        F.col("id").cast("string").alias("report_id"),
-        F.when(F.col("tool") == "cargo-clippy", "fortran-lint").otherwise(F.col("tool")).alias("tool"),
-        content.alias("content"),
-        "file_path",
-    )
-    return rp.parse_reports(raw, list(_DISPATCH)).groupBy("tool", "rule_id").agg(F.count("*").alias("n"))
+    """Reports of all 14 tools and of an unknown one, dealt over the findings, in one pass."""
+    which = F.col("id") % 15
+    tool, content = F.lit("fortran-lint"), F.lit("")
+    for i, (name, source) in enumerate(_DISPATCH.items()):
+        tool = F.when(which == i, name).otherwise(tool)
+        content = F.when(which == i, _MAKERS[source]()).otherwise(content)
+    raw = t.findings.select(F.col("id").cast("string").alias("report_id"), tool.alias("tool"), content.alias("content"), "file_path")
+    found = rp.parse_reports(stored(raw, "raw-reports"))
+    return found.select("report_id", "ord", "tool", "rule_id", "severity", "description", "file_path", "line_number")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Readers of tool reports: one DataFrame → DataFrame function per tool, and their registry.
+"""Readers of tool reports: one column expression per tool, their registry, and parsers made of them.
 
 Input rows hold one report each: ``report_id``, ``content`` and optionally ``file_path``
 (the scanned file). Output rows are findings in the shape of ``REPORT_FINDING_DDL``, with
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from triagelake.functions import severity as sev
 from triagelake.schemas import REPORT_FINDING_DDL
 
+#: From a report's content and scanned file to the array of its findings.
+Reader = Callable[[Column, Column], Column]
 Parser = Callable[[DataFrame], DataFrame]
 
 _SHAPE = [tuple(column.split(" ")) for column in REPORT_FINDING_DDL.split(", ")]
@@ -55,238 +57,251 @@ def _shape(df: DataFrame, **values: Column | str | int) -> DataFrame:
     return df.select(*cols)
 
 
-def _entries(reports: DataFrame, ddl: str, path: str | Callable[[Column], Column]) -> DataFrame:
-    """Parse ``content`` as JSON and number the elements of one of its arrays as ``e``."""
-    parsed = F.from_json("content", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    pick = path(parsed) if callable(path) else parsed[path]
-    return reports.select("report_id", F.posexplode(pick).alias("ord", "e"))
+_FINDINGS = "array<struct<ord:bigint," + ",".join(f"{name}:{kind}" for name, kind in _SHAPE[2:]) + ">>"
+
+
+def _finding(position: Column, **values: Column | str | int) -> Column:
+    """One finding as a struct; what is not given is null."""
+    cols = [position.cast("long").alias("ord")]
+    for name, kind in _SHAPE[2:]:
+        v = values.get(name)
+        c = v if isinstance(v, Column) else F.lit(v)
+        cols.append(c.cast(kind).alias(name))
+    return F.struct(*cols)
+
+
+def _json(text: Column, ddl: str) -> Column:
+    return F.from_json(text, ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
 
 
 def _or(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
-def _nested_ord() -> Column:
-    """Order of the ``j``-th entry inside the ``i``-th element."""
-    return F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")
+def _nested(outer: Column, inner: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """Findings ``make(o, e, ord)`` of the entries ``e`` inside each element ``o``, numbered by both positions."""
+    none = F.array().cast(_FINDINGS)
+
+    def of(o: Column, i: Column) -> Column:
+        first = F.shiftleft(i.cast("long"), 32)
+        return F.coalesce(F.transform(inner(o), lambda e, j: make(o, e, first + j)), none)
+
+    return F.flatten(F.transform(outer, of))
 
 
-def parse_bandit(reports: DataFrame) -> DataFrame:
-    rows = _entries(
-        reports,
+def _bandit(content: Column, path: Column) -> Column:
+    parsed = _json(
+        content,
         "results array<struct<issue_severity:string,issue_confidence:string,issue_text:string,"
         "filename:string,line_number:int,code:string,test_id:string>>",
-        "results",
     )
-    return _shape(
-        rows,
-        tool="bandit",
-        rule_id=F.col("e.test_id"),
-        severity=F.col("e.issue_severity"),
-        confidence=F.col("e.issue_confidence"),
-        description=F.col("e.issue_text"),
-        file_path=F.col("e.filename"),
-        line_number=F.col("e.line_number"),
-        code_snippet=F.col("e.code"),
+    return F.transform(
+        parsed["results"],
+        lambda e, i: _finding(
+            i,
+            tool="bandit",
+            rule_id=e["test_id"],
+            severity=e["issue_severity"],
+            confidence=e["issue_confidence"],
+            description=e["issue_text"],
+            file_path=e["filename"],
+            line_number=e["line_number"],
+            code_snippet=e["code"],
+        ),
     )
 
 
-def _eslint_messages(reports: DataFrame) -> DataFrame:
-    ddl = (
+def _eslint_findings(content: Column, tool: str, confidence: str) -> Column:
+    files = _json(
+        content,
         "array<struct<filePath:string,messages:array<struct<ruleId:string,severity:int,"
-        "message:string,line:int,source:string>>>>"
-    )
-    files = reports.select(
-        "report_id", F.posexplode(F.from_json("content", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})).alias("i", "f")
-    )
-    rows = files.select(
-        "report_id", "i", _or(F.col("f.filePath"), "").alias("path"), F.posexplode("f.messages").alias("j", "e")
-    )
-    return rows.where("e.ruleId IS NOT NULL AND e.ruleId <> ''").withColumn("ord", _nested_ord())
-
-
-def _eslint(rows: DataFrame, tool: str, confidence: str) -> DataFrame:
-    return _shape(
-        rows,
-        tool=tool,
-        rule_id=F.col("e.ruleId"),
-        severity=F.when(F.col("e.severity") == 2, "HIGH").otherwise("MEDIUM"),
-        confidence=confidence,
-        description=F.col("e.message"),
-        file_path=F.col("path"),
-        line_number=F.col("e.line"),
-        code_snippet=_or(F.col("e.source"), ""),
+        "message:string,line:int,source:string>>>>",
+    )
+    found = _nested(
+        files,
+        lambda f: f["messages"],
+        lambda f, e, position: _finding(
+            position,
+            tool=tool,
+            rule_id=e["ruleId"],
+            severity=F.when(e["severity"] == 2, "HIGH").otherwise("MEDIUM"),
+            confidence=confidence,
+            description=e["message"],
+            file_path=_or(f["filePath"], ""),
+            line_number=e["line"],
+            code_snippet=_or(e["source"], ""),
+        ),
     )
+    return F.filter(found, lambda x: x["rule_id"] != "")
 
 
-def parse_eslint(reports: DataFrame) -> DataFrame:
-    return _eslint(_eslint_messages(reports), "eslint", "High")
+def _eslint(content: Column, path: Column) -> Column:
+    return _eslint_findings(content, "eslint", "High")
 
 
-def parse_eslint_typescript(reports: DataFrame) -> DataFrame:
+def _eslint_typescript(content: Column, path: Column) -> Column:
     """As ESLint, security rules only."""
-    starts = [F.col("e.ruleId").startswith(p) for p in TYPESCRIPT_RULE_PREFIXES]
-    rows = _eslint_messages(reports).where(reduce(lambda a, b: a | b, starts))
-    return _eslint(rows, "eslint-typescript", "HIGH")
+    secure = lambda x: reduce(lambda a, b: a | b, [x["rule_id"].startswith(p) for p in TYPESCRIPT_RULE_PREFIXES])
+    return F.filter(_eslint_findings(content, "eslint-typescript", "HIGH"), secure)
 
 
-def parse_gosec(reports: DataFrame) -> DataFrame:
-    rows = _entries(
-        reports,
+def _gosec(content: Column, path: Column) -> Column:
+    parsed = _json(
+        content,
         "Issues array<struct<severity:string,confidence:string,details:string,file:string,"
         "line:string,code:string,rule_id:string>>",
-        "Issues",
     )
-    first_number = F.regexp_extract("e.line", r"^\s*([0-9]+)", 1)
-    return _shape(
-        rows,
-        tool="gosec",
-        rule_id=_or(F.col("e.rule_id"), ""),
-        severity=F.upper(_or(F.col("e.severity"), "MEDIUM")),
-        confidence=F.upper(_or(F.col("e.confidence"), "HIGH")),
-        description=_or(F.col("e.details"), ""),
-        file_path=_or(F.col("e.file"), ""),
-        line_number=_or(first_number.try_cast("int"), 0),
-        code_snippet=_or(F.col("e.code"), ""),
+    return F.transform(
+        parsed["Issues"],
+        lambda e, i: _finding(
+            i,
+            tool="gosec",
+            rule_id=_or(e["rule_id"], ""),
+            severity=F.upper(_or(e["severity"], "MEDIUM")),
+            confidence=F.upper(_or(e["confidence"], "HIGH")),
+            description=_or(e["details"], ""),
+            file_path=_or(e["file"], ""),
+            line_number=_or(F.regexp_extract(e["line"], r"^\s*([0-9]+)", 1).try_cast("int"), 0),
+            code_snippet=_or(e["code"], ""),
+        ),
     )
 
 
-_CARGO = (
-    "vulnerabilities struct<list:array<struct<advisory:struct<id:string,title:string,"
-    "description:string,patched_versions:array<string>>,package:struct<name:string,version:string>>>>"
-)
-
-
-def _cargo(reports: DataFrame) -> DataFrame:
-    return _entries(reports, _CARGO, lambda p: p["vulnerabilities"]["list"])
+def _cargo_entries(content: Column) -> Column:
+    parsed = _json(
+        content,
+        "vulnerabilities struct<list:array<struct<advisory:struct<id:string,title:string,"
+        "description:string,patched_versions:array<string>>,package:struct<name:string,version:string>>>>",
+    )
+    return parsed["vulnerabilities"]["list"]
 
 
-def parse_cargo_audit(reports: DataFrame) -> DataFrame:
+def _cargo_audit(content: Column, path: Column) -> Column:
     """cargo-audit advisories as code findings."""
-    return _shape(
-        _cargo(reports),
-        tool="cargo-audit",
-        rule_id=_or(F.col("e.advisory.id"), ""),
-        severity="HIGH",
-        confidence="HIGH",
-        description=F.concat(
-            _or(F.col("e.advisory.title"), "Security vulnerability"),
-            F.lit(" in "),
-            _or(F.col("e.package.name"), "unknown"),
-            F.lit(" "),
-            _or(F.col("e.package.version"), ""),
+    return F.transform(
+        _cargo_entries(content),
+        lambda e, i: _finding(
+            i,
+            tool="cargo-audit",
+            rule_id=_or(e["advisory"]["id"], ""),
+            severity="HIGH",
+            confidence="HIGH",
+            description=F.concat(
+                _or(e["advisory"]["title"], "Security vulnerability"),
+                F.lit(" in "),
+                _or(e["package"]["name"], "unknown"),
+                F.lit(" "),
+                _or(e["package"]["version"], ""),
+            ),
+            file_path="Cargo.lock",
+            line_number=0,
+            code_snippet=_or(e["advisory"]["description"], ""),
         ),
-        file_path="Cargo.lock",
-        line_number=0,
-        code_snippet=_or(F.col("e.advisory.description"), ""),
     )
 
 
-def parse_cargo_dependencies(reports: DataFrame) -> DataFrame:
+def _cargo_dependencies(content: Column, path: Column) -> Column:
     """cargo-audit advisories as dependency findings."""
-    advisory = F.col("e.advisory")
-    return _shape(
-        _cargo(reports),
-        tool="cargo-audit",
-        rule_id=_or(advisory["id"], "UNKNOWN"),
-        severity="HIGH",
-        description=_or(advisory["title"], "Vulnerable Rust dependency"),
-        file_path="Cargo.toml",
-        line_number=1,
-        cve=advisory["id"],
-        package=F.col("e.package.name"),
-        version=F.col("e.package.version"),
-        fixed_version=F.try_element_at(advisory["patched_versions"], F.lit(1)),
+    return F.transform(
+        _cargo_entries(content),
+        lambda e, i: _finding(
+            i,
+            tool="cargo-audit",
+            rule_id=_or(e["advisory"]["id"], "UNKNOWN"),
+            severity="HIGH",
+            description=_or(e["advisory"]["title"], "Vulnerable Rust dependency"),
+            file_path="Cargo.toml",
+            line_number=1,
+            cve=e["advisory"]["id"],
+            package=e["package"]["name"],
+            version=e["package"]["version"],
+            fixed_version=F.try_element_at(e["advisory"]["patched_versions"], F.lit(1)),
+        ),
     )
 
 
-def _json_lines(reports: DataFrame, ddl: str) -> DataFrame:
-    """One row per non-blank line; a line that is no JSON object gives a null struct field."""
-    lines = reports.select("report_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("ord", "line"))
-    return lines.where(F.trim("line") != "").select(
-        "report_id", "ord", "line", F.from_json("line", ddl, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).alias("e")
-    )
+def _json_lines(content: Column, ddl: str) -> Column:
+    """``(ord, line, e)`` of each non-blank line; a line that is no JSON object gives null fields."""
+    lines = F.transform(F.split(content, r"\r\n|\n|\r"), lambda line, i: F.struct(i.alias("ord"), line.alias("line")))
+    filled = F.filter(lines, lambda x: F.trim(x["line"]) != "")
+    return F.transform(filled, lambda x: F.struct(x["ord"], x["line"], _json(x["line"], ddl).alias("e")))
 
 
-def parse_clippy(reports: DataFrame) -> DataFrame:
+def _clippy(content: Column, path: Column) -> Column:
     rows = _json_lines(
-        reports,
+        content,
         "reason string, message struct<code:struct<code:string>,level:string,message:string,"
         "spans:array<struct<file_name:string,line_start:int,text:array<struct<text:string>>>>>",
     )
-    code = _or(F.col("e.message.code.code"), "")
-    lint = reduce(lambda a, b: a | b, [code.contains(name) for name in CLIPPY_LINTS])
-    kept = rows.where((F.col("e.reason") == "compiler-message") & lint).withColumn(
-        "span", F.try_element_at("e.message.spans", F.lit(1))
-    )
-    return _shape(
-        kept.where("span IS NOT NULL"),
-        tool="cargo-clippy",
-        rule_id=code,
-        severity=F.when(F.col("e.message.level") == "error", "HIGH").otherwise("MEDIUM"),
-        confidence="HIGH",
-        description=_or(F.col("e.message.message"), ""),
-        file_path=_or(F.col("span.file_name"), ""),
-        line_number=_or(F.col("span.line_start"), 0),
-        code_snippet=_or(F.try_element_at("span.text", F.lit(1))["text"], ""),
+    code = lambda x: _or(x["e"]["message"]["code"]["code"], "")
+    span = lambda x: F.try_element_at(x["e"]["message"]["spans"], F.lit(1))
+    lint = lambda x: reduce(lambda a, b: a | b, [code(x).contains(name) for name in CLIPPY_LINTS])
+    kept = F.filter(rows, lambda x: (x["e"]["reason"] == "compiler-message") & lint(x) & span(x).isNotNull())
+    return F.transform(
+        kept,
+        lambda x: _finding(
+            x["ord"],
+            tool="cargo-clippy",
+            rule_id=code(x),
+            severity=F.when(x["e"]["message"]["level"] == "error", "HIGH").otherwise("MEDIUM"),
+            confidence="HIGH",
+            description=_or(x["e"]["message"]["message"], ""),
+            file_path=_or(span(x)["file_name"], ""),
+            line_number=_or(span(x)["line_start"], 0),
+            code_snippet=_or(F.try_element_at(span(x)["text"], F.lit(1))["text"], ""),
+        ),
     )
 
 
-def _xml_entries(reports: DataFrame, ddl: str, element: str, pick: Callable[[Column], Column]) -> DataFrame:
-    """Parse ``content`` as XML once and number the entries as ``e``.
-
-    A report that is no well-formed XML gives one row with ``broken`` set and a null entry.
-    """
-    text = F.coalesce("content", F.lit(""))
+def _xml_findings(
+    content: Column, tool: str, ddl: str, pick: Callable[[Column], Column], make: Callable[[Column, Column], Column]
+) -> Column:
+    """Parse ``content`` as XML once; a report that is no well-formed XML gives one PARSE_ERROR finding."""
+    text = F.coalesce(content, F.lit(""))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "attributePrefix": "_"}
-    parsed = reports.withColumn("x", F.from_xml(text, f"{ddl}, _bad string", options))
-    broken = F.col("x").isNull() | F.col("x._bad").isNotNull() | (F.trim(text) == "")
-    nothing = F.array(F.lit(None).cast(element))
-    return parsed.withColumn("broken", broken).select(
-        "report_id",
-        "broken",
-        F.posexplode(F.when(F.col("broken"), nothing).otherwise(pick(F.col("x")))).alias("ord", "e"),
+    failed = _finding(
+        F.lit(0),
+        tool=tool,
+        rule_id="PARSE_ERROR",
+        severity="ERROR",
+        description=f"Failed to parse {tool} output",
+        file_path="unknown",
+        line_number=1,
     )
 
+    def of(x: Column) -> Column:
+        broken = x.isNull() | x["_bad"].isNotNull() | (F.trim(text) == "")
+        return F.when(broken, F.array(failed)).otherwise(F.transform(pick(x), make))
 
-def _or_parse_error(rows: DataFrame, tool: str, **values: Column) -> DataFrame:
-    """Shape the entries of an XML report; a broken report becomes one PARSE_ERROR finding."""
-    failed = {
-        "rule_id": F.lit("PARSE_ERROR"),
-        "severity": F.lit("ERROR"),
-        "description": F.lit(f"Failed to parse {tool} output"),
-        "file_path": F.lit("unknown"),
-        "line_number": F.lit(1),
-    }
-    none = F.lit(None)
-    merged = {k: F.when(F.col("broken"), failed.get(k, none)).otherwise(v) for k, v in values.items()}
-    return _shape(rows, tool=tool, **merged)
+    # An array of one binds the parsed report, which is used more than once.
+    return F.flatten(F.transform(F.array(F.from_xml(text, f"{ddl}, _bad string", options)), of))
 
 
-def parse_cppcheck(reports: DataFrame) -> DataFrame:
+def _cppcheck(content: Column, path: Column) -> Column:
     error = (
         "struct<_id:string,_severity:string,_msg:string,_verbose:string,"
         "location:array<struct<_file:string,_line:string>>>"
     )
     none = F.array().cast(f"array<{error}>")
-    rows = _xml_entries(
-        reports,
+    place = lambda e: F.try_element_at(e["location"], F.lit(1))
+    return _xml_findings(
+        content,
+        "cppcheck",
         f"errors struct<error:array<{error}>>, error array<{error}>",
-        error,
         lambda x: F.concat(F.coalesce(x["errors"]["error"], none), F.coalesce(x["error"], none)),
-    ).withColumn("place", F.try_element_at("e.location", F.lit(1)))
-    return _or_parse_error(
-        rows,
-        "cppcheck",
-        rule_id=_or(F.col("e._id"), "UNKNOWN"),
-        severity=sev.lookup(_or(F.col("e._severity"), "style"), sev.CPPCHECK_SEVERITY, "MEDIUM"),
-        description=F.coalesce("e._verbose", "e._msg", F.lit("No description")),
-        file_path=_or(F.col("place._file"), "unknown"),
-        line_number=_or(F.col("place._line").try_cast("int"), 1),
+        lambda e, i: _finding(
+            i,
+            tool="cppcheck",
+            rule_id=_or(e["_id"], "UNKNOWN"),
+            severity=sev.lookup(_or(e["_severity"], "style"), sev.CPPCHECK_SEVERITY, "MEDIUM"),
+            description=F.coalesce(e["_verbose"], e["_msg"], F.lit("No description")),
+            file_path=_or(place(e)["_file"], "unknown"),
+            line_number=_or(place(e)["_line"].try_cast("int"), 1),
+        ),
     )
 
 
-def parse_spotbugs(reports: DataFrame) -> DataFrame:
+def _spotbugs(content: Column, path: Column) -> Column:
     """The class element comes first in a bug, so its source line is the first of the bug."""
     line = "array<struct<_sourcepath:string,_start:string>>"
     bug = (
@@ -295,141 +310,191 @@ def parse_spotbugs(reports: DataFrame) -> DataFrame:
         f"Field:array<struct<SourceLine:{line}>>,SourceLine:{line}>"
     )
     one = F.lit(1)
-    nested = [
-        F.try_element_at(F.try_element_at(F.col(f"e.{part}"), one)["SourceLine"], one)
-        for part in ("Class", "Method", "Field")
-    ]
-    rows = _xml_entries(reports, f"BugInstance array<{bug}>", bug, lambda x: x["BugInstance"]).withColumn(
-        "place", F.coalesce(*nested, F.try_element_at("e.SourceLine", one))
-    )
-    return _or_parse_error(
-        rows,
+
+    def place(e: Column) -> Column:
+        parts = [F.try_element_at(e[part], one)["SourceLine"] for part in ("Class", "Method", "Field")]
+        return F.coalesce(*[F.try_element_at(p, one) for p in [*parts, e["SourceLine"]]])
+
+    return _xml_findings(
+        content,
         "spotbugs",
-        rule_id=_or(F.col("e._type"), "UNKNOWN"),
-        severity=sev.lookup(F.col("e._priority"), sev.SPOTBUGS_PRIORITY, "LOW"),
-        description=F.coalesce("e.LongMessage", "e._type", F.lit("UNKNOWN")),
-        file_path=_or(F.col("place._sourcepath"), "unknown"),
-        line_number=_or(F.col("place._start").try_cast("int"), 1),
-        category=_or(F.col("e._category"), "UNKNOWN"),
+        f"BugInstance array<{bug}>",
+        lambda x: F.coalesce(x["BugInstance"], F.array().cast(f"array<{bug}>")),
+        lambda e, i: _finding(
+            i,
+            tool="spotbugs",
+            rule_id=_or(e["_type"], "UNKNOWN"),
+            severity=sev.lookup(e["_priority"], sev.SPOTBUGS_PRIORITY, "LOW"),
+            description=F.coalesce(e["LongMessage"], e["_type"], F.lit("UNKNOWN")),
+            file_path=_or(place(e)["_sourcepath"], "unknown"),
+            line_number=_or(place(e)["_start"].try_cast("int"), 1),
+            category=_or(e["_category"], "UNKNOWN"),
+        ),
     )
 
 
-def parse_clang_tidy(reports: DataFrame) -> DataFrame:
+def _clang_tidy(content: Column, path: Column) -> Column:
     """Lines ``file:line:col: warning: message [check]``; the file is the scanned file."""
-    scanned = F.col("file_path") if "file_path" in reports.columns else F.lit("unknown")
-    lines = reports.select(
-        "report_id", scanned.alias("scanned"), F.posexplode(F.split("content", "\n")).alias("ord", "line")
-    )
-    is_error = F.col("line").contains(": error:")
-    rows = (
-        lines.where(F.col("line").contains(": warning:") | is_error)
-        .withColumn("parts", F.split("line", ":"))
-        .where("size(parts) >= 4")
-        .withColumn("number", F.trim(F.col("parts")[1]).try_cast("int"))
-        .where("number IS NOT NULL")
-        .withColumn("message", F.array_join(F.expr("slice(parts, 4, size(parts))"), ":"))
-    )
-    tagged = F.col("message").contains("[") & F.col("message").contains("]")
-    tail = F.substring_index("message", "[", -1)
-    head = F.expr("left(message, length(message) - length(substring_index(message, '[', -1)) - 1)")
-    check = F.when(tail.contains("]"), F.regexp_extract(tail, r"(?s)^(.*)\]", 1)).otherwise("")
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return _shape(
-        rows,
-        tool="clang-tidy",
-        rule_id=F.when(tagged, check).otherwise("clang-tidy"),
-        severity=F.when(is_error, "HIGH").otherwise("MEDIUM"),
-        description=strip(F.when(tagged, head).otherwise(F.col("message"))),
-        file_path=F.col("scanned"),
-        line_number=F.col("number"),
-    )
 
-
-def parse_pip_audit(reports: DataFrame) -> DataFrame:
-    rows = _entries(
-        reports,
+    def parts(line: Column, i: Column) -> Column:
+        cut = F.split(line, ":")
+        return F.struct(
+            i.alias("ord"),
+            line.contains(": error:").alias("error"),
+            (line.contains(": warning:") | line.contains(": error:")).alias("told"),
+            F.get(cut, F.lit(1)).alias("number"),
+            F.array_join(F.slice(cut, F.lit(4), F.size(cut)), ":").alias("message"),
+            F.size(cut).alias("n"),
+        )
+
+    def number(x: Column) -> Column:
+        return F.trim(x["number"]).try_cast("int")
+
+    def make(x: Column) -> Column:
+        message = x["message"]
+        tagged = message.contains("[") & message.contains("]")
+        tail = F.substring_index(message, "[", -1)
+        head = F.left(message, F.length(message) - F.length(tail) - 1)
+        check = F.when(tail.contains("]"), F.regexp_extract(tail, r"(?s)^(.*)\]", 1)).otherwise("")
+        return _finding(
+            x["ord"],
+            tool="clang-tidy",
+            rule_id=F.when(tagged, check).otherwise("clang-tidy"),
+            severity=F.when(x["error"], "HIGH").otherwise("MEDIUM"),
+            description=F.regexp_replace(F.when(tagged, head).otherwise(message), r"^\s+|\s+$", ""),
+            file_path=path,
+            line_number=number(x),
+        )
+
+    lines = F.transform(F.split(content, "\n"), parts)
+    kept = F.filter(lines, lambda x: x["told"] & (x["n"] >= 4) & number(x).isNotNull())
+    return F.transform(kept, make)
+
+
+def _pip_audit(content: Column, path: Column) -> Column:
+    parsed = _json(
+        content,
         "vulnerabilities array<struct<id:string,name:string,version:string,severity:string,fix_versions:array<string>>>",
-        "vulnerabilities",
     )
-    return _shape(
-        rows,
-        tool="pip-audit",
-        rule_id=_or(F.col("e.id"), "UNKNOWN"),
-        severity=sev.dependency_severity(_or(F.col("e.severity"), "MEDIUM")),
-        description=F.concat_ws(
-            " ", F.lit("Vulnerable dependency:"), _or(F.col("e.name"), "None"), _or(F.col("e.version"), "None")
+    return F.transform(
+        parsed["vulnerabilities"],
+        lambda e, i: _finding(
+            i,
+            tool="pip-audit",
+            rule_id=_or(e["id"], "UNKNOWN"),
+            severity=sev.dependency_severity(_or(e["severity"], "MEDIUM")),
+            description=F.concat_ws(
+                " ", F.lit("Vulnerable dependency:"), _or(e["name"], "None"), _or(e["version"], "None")
+            ),
+            file_path="requirements.txt",
+            line_number=1,
+            cve=e["id"],
+            package=e["name"],
+            version=e["version"],
+            fixed_version=F.try_element_at(e["fix_versions"], F.lit(1)),
         ),
-        file_path="requirements.txt",
-        line_number=1,
-        cve=F.col("e.id"),
-        package=F.col("e.name"),
-        version=F.col("e.version"),
-        fixed_version=F.try_element_at("e.fix_versions", F.lit(1)),
     )
 
 
-def parse_npm_audit(reports: DataFrame) -> DataFrame:
+def _npm_audit(content: Column, path: Column) -> Column:
     """Records keep their JSON text, so ``via`` may hold strings and ``fixAvailable`` a boolean."""
-    parsed = F.from_json("content", "vulnerabilities map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    rows = reports.select("report_id", F.posexplode(parsed["vulnerabilities"]).alias("ord", "package", "record"))
-    field = lambda path: F.get_json_object("record", path)
-    return _shape(
-        rows,
-        tool="npm-audit",
-        rule_id=F.concat(F.lit("NPM-"), _or(field("$.via[0].cve"), "UNKNOWN")),
-        severity=F.upper(_or(field("$.severity"), "medium")),
-        description=F.concat(F.lit("Vulnerable dependency: "), F.col("package")),
-        file_path="package.json",
-        line_number=1,
-        cve=field("$.via[0].cve"),
-        package=F.col("package"),
-        version=_or(field("$.range"), "unknown"),
-        fixed_version=field("$.fixAvailable.version"),
-    )
-
-
-def parse_govulncheck(reports: DataFrame) -> DataFrame:
+    records = F.map_entries(_json(content, "vulnerabilities map<string,string>")["vulnerabilities"])
+
+    def make(e: Column, i: Column) -> Column:
+        field = lambda at: F.get_json_object(e["value"], at)
+        return _finding(
+            i,
+            tool="npm-audit",
+            rule_id=F.concat(F.lit("NPM-"), _or(field("$.via[0].cve"), "UNKNOWN")),
+            severity=F.upper(_or(field("$.severity"), "medium")),
+            description=F.concat(F.lit("Vulnerable dependency: "), e["key"]),
+            file_path="package.json",
+            line_number=1,
+            cve=field("$.via[0].cve"),
+            package=e["key"],
+            version=_or(field("$.range"), "unknown"),
+            fixed_version=field("$.fixAvailable.version"),
+        )
+
+    return F.transform(records, make)
+
+
+def _govulncheck(content: Column, path: Column) -> Column:
     rows = _json_lines(
-        reports, "finding struct<osv:string,description:string,module:string,found:string,fixed:string>"
-    ).where("e.finding IS NOT NULL AND get_json_object(line, '$.finding') <> '{}'")
-    return _shape(
-        rows,
-        tool="govulncheck",
-        rule_id=_or(F.col("e.finding.osv"), "UNKNOWN"),
-        severity="HIGH",
-        description=_or(F.col("e.finding.description"), "Vulnerable Go dependency"),
-        file_path="go.mod",
-        line_number=1,
-        cve=F.col("e.finding.osv"),
-        package=F.col("e.finding.module"),
-        version=F.col("e.finding.found"),
-        fixed_version=F.col("e.finding.fixed"),
+        content, "finding struct<osv:string,description:string,module:string,found:string,fixed:string>"
+    )
+    told = lambda x: x["e"]["finding"].isNotNull() & (F.get_json_object(x["line"], "$.finding") != "{}")
+    return F.transform(
+        F.filter(rows, told),
+        lambda x: _finding(
+            x["ord"],
+            tool="govulncheck",
+            rule_id=_or(x["e"]["finding"]["osv"], "UNKNOWN"),
+            severity="HIGH",
+            description=_or(x["e"]["finding"]["description"], "Vulnerable Go dependency"),
+            file_path="go.mod",
+            line_number=1,
+            cve=x["e"]["finding"]["osv"],
+            package=x["e"]["finding"]["module"],
+            version=x["e"]["finding"]["found"],
+            fixed_version=x["e"]["finding"]["fixed"],
+        ),
     )
 
 
-def parse_dependency_check(reports: DataFrame) -> DataFrame:
-    ddl = (
+def _dependency_check(content: Column, path: Column) -> Column:
+    parsed = _json(
+        content,
         "dependencies array<struct<fileName:string,vulnerabilities:array<struct<name:string,"
-        "severity:string,description:string>>>>"
-    )
-    deps = _entries(reports, ddl, "dependencies").select("report_id", F.col("ord").alias("i"), "e")
-    rows = deps.select(
-        "report_id", "i", F.col("e.fileName").alias("file"), F.posexplode("e.vulnerabilities").alias("j", "e")
-    ).withColumn("ord", _nested_ord())
-    return _shape(
-        rows,
-        tool="dependency-check",
-        rule_id=_or(F.col("e.name"), "UNKNOWN"),
-        severity=_or(F.col("e.severity"), "MEDIUM"),
-        description=_or(F.col("e.description"), "Vulnerable Java dependency"),
-        file_path="pom.xml",
-        line_number=1,
-        cve=F.col("e.name"),
-        package=F.col("file"),
-        version="unknown",
+        "severity:string,description:string>>>>",
+    )
+    return _nested(
+        parsed["dependencies"],
+        lambda d: d["vulnerabilities"],
+        lambda d, e, position: _finding(
+            position,
+            tool="dependency-check",
+            rule_id=_or(e["name"], "UNKNOWN"),
+            severity=_or(e["severity"], "MEDIUM"),
+            description=_or(e["description"], "Vulnerable Java dependency"),
+            file_path="pom.xml",
+            line_number=1,
+            cve=e["name"],
+            package=d["fileName"],
+            version="unknown",
+        ),
     )
 
 
+def _read(reports: DataFrame, pick: Callable[[Column, Column], Column]) -> DataFrame:
+    scanned = F.col("file_path") if "file_path" in reports.columns else F.lit("unknown")
+    return reports.select(F.col("report_id").cast("string").alias("report_id"), F.inline(pick(F.col("content"), scanned)))
+
+
+def _parser(reader: Reader) -> Parser:
+    def parse(reports: DataFrame) -> DataFrame:
+        return _read(reports, reader)
+
+    parse.__doc__ = reader.__doc__
+    return parse
+
+
+parse_bandit = _parser(_bandit)
+parse_eslint = _parser(_eslint)
+parse_eslint_typescript = _parser(_eslint_typescript)
+parse_gosec = _parser(_gosec)
+parse_cargo_audit = _parser(_cargo_audit)
+parse_clippy = _parser(_clippy)
+parse_cppcheck = _parser(_cppcheck)
+parse_clang_tidy = _parser(_clang_tidy)
+parse_spotbugs = _parser(_spotbugs)
+parse_pip_audit = _parser(_pip_audit)
+parse_npm_audit = _parser(_npm_audit)
+parse_govulncheck = _parser(_govulncheck)
+parse_cargo_dependencies = _parser(_cargo_dependencies)
+parse_dependency_check = _parser(_dependency_check)
+
+
 def failure_rows(runs: DataFrame) -> DataFrame:
     """Runs that failed outright ``(report_id, tool, file_path, code, message)`` as ERROR findings."""
     return _shape(
@@ -443,36 +508,44 @@ def failure_rows(runs: DataFrame) -> DataFrame:
     )
 
 
-def unsupported_files(files: DataFrame) -> DataFrame:
-    """One ERROR finding per file no scanner covers (``report_id``, ``file_path``)."""
-    return _shape(
-        files.withColumn("ord", F.lit(0)),
+def _unsupported(path: Column) -> Column:
+    return _finding(
+        F.lit(0),
         tool="scanner_registry",
         rule_id="UNSUPPORTED_LANGUAGE",
         severity="ERROR",
-        description=F.concat(F.lit("No scanner available for file: "), _or(F.col("file_path"), "unknown")),
-        file_path=_or(F.col("file_path"), "unknown"),
+        description=F.concat(F.lit("No scanner available for file: "), _or(path, "unknown")),
+        file_path=_or(path, "unknown"),
         line_number=1,
     )
 
 
-PARSERS: dict[str, Parser] = {
-    "bandit": parse_bandit,
-    "eslint": parse_eslint,
-    "eslint-typescript": parse_eslint_typescript,
-    "gosec": parse_gosec,
-    "cargo-audit": parse_cargo_audit,
-    "cargo-clippy": parse_clippy,
-    "cppcheck": parse_cppcheck,
-    "clang-tidy": parse_clang_tidy,
-    "spotbugs": parse_spotbugs,
-    "pip-audit": parse_pip_audit,
-    "npm-audit": parse_npm_audit,
-    "govulncheck": parse_govulncheck,
-    "cargo-dependencies": parse_cargo_dependencies,
-    "dependency-check": parse_dependency_check,
+def unsupported_files(files: DataFrame) -> DataFrame:
+    """One ERROR finding per file no scanner covers (``report_id``, ``file_path``)."""
+    found = F.array(_unsupported(F.col("file_path")))
+    return files.select(F.col("report_id").cast("string").alias("report_id"), F.inline(found))
+
+
+READERS: dict[str, Reader] = {
+    "bandit": _bandit,
+    "eslint": _eslint,
+    "eslint-typescript": _eslint_typescript,
+    "gosec": _gosec,
+    "cargo-audit": _cargo_audit,
+    "cargo-clippy": _clippy,
+    "cppcheck": _cppcheck,
+    "clang-tidy": _clang_tidy,
+    "spotbugs": _spotbugs,
+    "pip-audit": _pip_audit,
+    "npm-audit": _npm_audit,
+    "govulncheck": _govulncheck,
+    "cargo-dependencies": _cargo_dependencies,
+    "dependency-check": _dependency_check,
 }
 
+#: Parsers plugged in for tools that have no reader here, or instead of it.
+PARSERS: dict[str, Parser] = {}
+
 LANGUAGE_TOOLS = {
     "python": ["bandit"],
     "javascript": ["eslint"],
@@ -490,9 +563,11 @@ def register_parser(tool: str, parser: Parser) -> None:
 
 
 def parser_for(tool: str) -> Parser:
-    if tool not in PARSERS:
+    if tool in PARSERS:
+        return PARSERS[tool]
+    if tool not in READERS:
         raise ValueError(f"no parser for tool: {tool}")
-    return PARSERS[tool]
+    return _parser(READERS[tool])
 
 
 def tools_for_language(language: str) -> list[str]:
@@ -502,15 +577,28 @@ def tools_for_language(language: str) -> list[str]:
 
 
 def parse_reports(raw: DataFrame, tools: list[str] | None = None, report_unknown: bool = True) -> DataFrame:
-    """Findings of a table of raw reports ``(report_id, tool, content, file_path)``.
+    """Findings of a table of raw reports ``(report_id, tool, content, file_path)``, of all tools in one pass.
 
-    Each tool's branch filters on ``tool`` first, so a table partitioned by tool (see
-    :func:`write_raw_reports`) is read once in all. Reports of tools without a parser become
-    one ERROR row each unless ``report_unknown`` is off.
+    Each row is read by the reader of its tool alone, so the table is scanned once and every report is parsed
+    once. Tools with a plugged-in parser have a pass of their own, since that may be any query. Reports of tools
+    without a parser become one ERROR row each unless ``report_unknown`` is off; reports of tools that are known but not among
+    ``tools`` are left out. (A variant would parse before the tool is known, but holds reports of limited size only.)
     """
-    parts = [parser_for(t)(raw.where(F.col("tool") == t)) for t in (tools or list(PARSERS))]
-    if report_unknown:
-        parts.append(unsupported_files(raw.where(~F.col("tool").isin(list(PARSERS)))))
+    wanted = list(READERS | PARSERS) if tools is None else tools
+    parts = [parser_for(t)(raw.where(F.col("tool") == t)) for t in wanted if t in PARSERS or t not in READERS]
+    here = [t for t in wanted if t in READERS and t not in PARSERS]
+
+    def of_its_tool(content: Column, path: Column) -> Column:
+        found = F.array().cast(_FINDINGS)
+        if report_unknown:
+            unknown = ~F.col("tool").isin(list(READERS | PARSERS))
+            found = F.when(unknown, F.array(_unsupported(path))).otherwise(found)
+        for tool in here:
+            found = F.when(F.col("tool") == tool, READERS[tool](content, path)).otherwise(found)
+        return found
+
+    if here or report_unknown:
+        parts.insert(0, _read(raw, of_its_tool))
     return reduce(DataFrame.unionByName, parts)
 
 
