@@ -275,6 +275,35 @@ def test_tree_listing(spark, tmp_path):
     assert {r.path: r.hash for r in tree.list_files(files, [".py"]).collect()} == shown
     files = tree.walk_tree(spark, str(tmp_path), 50)
     assert {r.path: r.hash for r in tree.list_files(files, [".py"]).collect()} == {**shown, **hidden}
+    files = tree.walk_tree(spark, tmp_path.as_uri(), 50)
+    assert {r.path: r.hash for r in tree.list_files(files, [".py"]).collect()} == {**shown, **hidden}
+
+
+def test_deep_and_wide_trees_are_listed(spark, tmp_path, monkeypatch):
+    """A deep path, many folders, one of many files, empty folders and files, odd names, links that lead round."""
+    import os
+
+    names = {f"wide/d{i}/_f.py": i for i in range(40)}
+    names |= {f"full/{i}.c": 1 for i in range(120)}
+    names |= {"a/" * 12 + "deep.go": 3, "x y/ü#%.js": 2, ".hidden/_y": 0}
+    for name, size in names.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    (tmp_path / "src/node_modules/p").mkdir(parents=True)
+    (tmp_path / "src/node_modules/p/q.js").write_text("z")
+    (tmp_path / "none").mkdir()
+    os.symlink(tmp_path, tmp_path / "wide/round")
+    os.symlink(tmp_path / "full/1.c", tmp_path / "wide/link.c")
+    names["wide/link.c"] = 1
+    monkeypatch.setattr(tree, "FOLDERS_PER_TASK", 3)
+    monkeypatch.setattr(tree, "FILES_PER_TASK", 10)
+    monkeypatch.setattr(tree, "LISTED_AT_ONCE", 7)
+    assert {r.path: r.length for r in tree.list_tree(spark, str(tmp_path)).collect()} == names
+    files = tree.walk_tree(spark, str(tmp_path), 20)
+    assert files.rdd.getNumPartitions() > 10
+    assert {r.path: len(r.content) for r in files.collect()} == {k: v for k, v in names.items() if v <= 20}
+    assert tree.walk_tree(spark, str(tmp_path / "none")).collect() == []
+    assert tree.list_tree(spark, str(tmp_path / "missing")).collect() == []
 
 
 def test_changed_files(table):
