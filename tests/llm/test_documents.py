@@ -3,9 +3,11 @@
 import math
 import re
 import zlib
-import pytest
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from messy import docs, messy_rows, no_docs  # noqa: F401
 
 from triagelake.llm import classlm, jaccard, lines, mixing
@@ -207,9 +209,34 @@ def test_mixing_empty(no_docs):
 
 def test_pareto_inclusion(spark):
     """Fixed-size samples whose inclusion follows the wanted probabilities."""
-    from pyspark.sql import functions as F
-
     rows = spark.range(40_000).select(F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"), (F.shiftrightunsigned(F.xxhash64("id"), 11) + 0.5).__truediv__(float(2**53)).alias("u"))
     plan = spark.createDataFrame([("s", 40_000, 50_000.0)], "source string, source_size long, target double")
     got = mixing.draw(rows, plan).agg(F.sum("copies"), F.min("copies"), F.max("copies")).first()
     assert abs(got[0] - 50_000) <= 2 and got[1:] == (1, 2)
+
+
+def test_mixing_inclusion(spark):
+    """Over many seeds documents are taken as often as expected, long ones less, and every draw fills its target."""
+    sizes = [8] * 60 + [70] * 40 + [300] * 30 + [900] * 10
+    total, seeds = sum(sizes), 300
+    rows = spark.range(seeds).select(F.col("id").alias("source"), F.posexplode(F.lit(sizes)).alias("doc", "size"))
+    rows = rows.withColumn("size", F.col("size").cast("long")).withColumn("u", (F.shiftrightunsigned(F.xxhash64("source", "doc"), 11) + 0.5) / float(2**53))
+    plan = spark.range(seeds).select(F.col("id").alias("source"), F.lit(total).cast("long").alias("source_size"), F.lit(1.4 * total).alias("target"))
+    drawn = mixing.draw(rows, plan).persist()
+    words = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("w")).toPandas().w
+    assert (words <= 1.4 * total).all() and words.mean() > 1.38 * total
+    per = drawn.groupBy("size").agg(F.avg("copies").alias("copies"), F.first("expected").alias("expected"), F.max("copies").alias("most")).orderBy("size").collect()
+    assert [r.expected for r in per] == sorted((r.expected for r in per), reverse=True) and per[0].expected > 1.5 * per[-1].expected
+    assert abs(sum(r.expected * n * r["size"] for r, n in zip(per, (60, 40, 30, 10))) - 1.4 * total) < 1e-6 * total
+    assert all(abs(r.copies - r.expected) < 0.04 for r in per) and max(r.most for r in per) <= 3
+    drawn.unpersist()
+
+
+def test_mixing_expected_copies(spark, table):
+    """Short documents reach the most copies first; the rest take what is left; full and empty sources."""
+    classes = table([("a", 1, 10), ("a", 9, 90), ("b", 4, 50), ("c", 1, 0)], "source string, class int, words long")
+    plan = table([("a", 100, 270.0), ("b", 50, 150.0), ("c", 0, 0.0)], "source string, source_size long, target double")
+    got = {(r.source, r["class"]): r.expected for r in mixing.expected_copies(classes, plan, 3, 0.25).collect()}
+    assert got == {("a", 1): 3.0, ("a", 9): pytest.approx(240 / 90), ("b", 4): 3.0, ("c", 1): 0.0}
+    even = {r["class"]: r.expected for r in mixing.expected_copies(classes.where("source = 'a'"), plan, 3, 0.0).collect()}
+    assert even == {1: pytest.approx(2.7), 9: pytest.approx(2.7)}

@@ -37,6 +37,33 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_copies: float
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), F.least(F.col("cap"), F.col("w") * F.col("level")).alias("target"))
 
 
+def size_class(size: Column) -> Column:
+    """Number of binary digits of a size: documents of one class differ in size by less than a factor of two."""
+    return F.length(F.bin(size)).cast("int")
+
+
+def expected_copies(classes: DataFrame, targets: DataFrame, max_copies: float, damping: float) -> DataFrame:
+    """Adds ``expected``, the copies a document is to get on average, to rows of ``source, class, words``.
+
+    It falls with the class as ``2 ** (-damping * class)``, is at most ``max_copies``, and the expected
+    words of a source add up to its target. Classes are filled from the shortest documents on: those before the
+    first that stays under ``max_copies`` get just that, the rest share what is left. A source has at most 64 classes.
+    """
+    both = classes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    most = F.lit(float(max_copies))
+    both = both.withColumn("x", F.pow(F.lit(2.0), -damping * F.col("class")))
+    order = Window.partitionBy("source").orderBy("class")
+    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))
+    both = both.withColumn("level", F.try_divide(left, F.sum(F.col("words") * F.col("x")).over(rest)))
+    fits = F.col("level") * F.col("x") <= most
+    level = F.min_by(F.when(fits, F.col("level")), F.when(fits, F.col("class"))).over(Window.partitionBy("source"))
+    shared = F.greatest(F.least(F.coalesce(level * F.col("x"), most), most), F.lit(0.0))
+    whole = F.col("target") >= most * F.col("source_size")
+    expected = F.when(F.col("source_size") <= 0, 0.0).when(whole, most).otherwise(shared)
+    return both.withColumn("expected", expected).drop("x", "level")
+
+
 def pareto_rank(u: Column, inclusion: Column) -> Column:
     """Random odds over inclusion odds, brought to (0, 1) without changing the order; 1 where nothing is to be drawn."""
     odds = u / (1 - u) / (inclusion / (1 - inclusion))
@@ -75,23 +102,29 @@ def _cut(docs: DataFrame, room: DataFrame) -> DataFrame:
     return state.toDF("source", "cut", "left")
 
 
-def draw(docs: DataFrame, targets: DataFrame, fills: int = 2) -> DataFrame:
-    """Adds ``copies`` and the source's ``source_size, target`` to rows of ``source, size, u``.
+def draw(docs: DataFrame, targets: DataFrame, max_copies: float = 3, damping: float = 0.25, fills: int = 2) -> DataFrame:
+    """Adds ``copies, expected`` and the source's ``source_size, target`` to rows of ``source, size, u``.
 
-    Every document of a source gets the whole part of target over size as certain
-    copies. The fraction left is each document's inclusion probability of one more:
+    The expected copies of a document (:func:`expected_copies`) fall with its length, so that a few long documents do not
+    fill the mix; with ``damping`` 0 they are target over size for all. Their whole part is certain. The fraction
+    left is the document's inclusion probability of one more, which differs from class to class:
     documents are ranked by their random odds over their inclusion odds, and the first
     ones that together fill what the certain copies leave of the target are taken. The gap before the first
     document that no longer fits is filled from later ones of at most a quarter of it,
-    ``fills`` times. Rows with equal ``u`` are drawn together.
+    ``fills`` times. Rows with equal ``u`` and size are drawn together.
     """
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.floor(ratio)).withColumn("inclusion", ratio - F.floor(ratio))
-    targets = materialize(targets.coalesce(1), "targets")
+    docs = docs.withColumn("class", size_class(F.col("size")))
+    classes = docs.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    plan = expected_copies(classes, targets, max_copies, damping)
+    plan = plan.withColumn("whole", F.floor("expected")).withColumn("inclusion", F.col("expected") - F.floor("expected"))
+    plan = materialize(plan.coalesce(1), "targets")
+    rooms = plan.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("room"))
+    plan = plan.drop("words").withColumnsRenamed({"source": "s", "class": "k"})
     cells = F.floor(F.least(pareto_rank(F.col("u"), F.col("inclusion")), F.lit(1 - 2.0**-40)) * FAN**LEVELS)
-    ranked = docs.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("cell", cells)
+    own = F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))
+    ranked = docs.join(plan, own).drop("s", "k").withColumn("cell", cells)
     taken = F.lit(0)
-    room = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("room"))
+    room = rooms
     ranked = ranked.filter("true")
     drawn = ranked.filter("inclusion > 0")
     for step in range(fills + 1):
@@ -105,8 +138,10 @@ def draw(docs: DataFrame, targets: DataFrame, fills: int = 2) -> DataFrame:
     return ranked.withColumn("copies", F.col("whole") + F.coalesce(taken, F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: float = 3, seed: int = 17) -> DataFrame:
-    """``doc_id, text_hash, size, source_size, target, copies, taken``, a row per document.
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: float = 3, seed: int = 17, damping: float = 0.25
+) -> DataFrame:
+    """``doc_id, text_hash, size, source_size, target, expected, copies, taken``, a row per document.
 
     Size is the number of words of the whole text, 0 for null. The random number of a
     document is a hash of seed, id and text, so runs agree, and repeated rows are taken
@@ -116,9 +151,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: float
     text_hash = F.xxhash64("text")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_hash), 11) + 0.5) / float(2**53)
     sizes = materialize(docs.select("doc_id", "source", text_hash.alias("text_hash"), word_count(F.col("text")).alias("size"), u.alias("u")), "sizes")
-    drawn = draw(sizes, source_targets(sizes, weights, max_copies))
+    drawn = draw(sizes, source_targets(sizes, weights, max_copies), max_copies, damping)
     return drawn.select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "text_hash", "size", "source_size", "target", "expected", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
